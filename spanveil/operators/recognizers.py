@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from spanveil.functions import dictionaries as D, patterns as P
 from spanveil.functions.arrays import add_columns, literal, settle
-from spanveil.functions.regex import DIGIT, NOT_SPACE, SPACE, matches, with_found
+from spanveil.functions.regex import DIGIT, NOT_SPACE, SPACE, with_found
 from spanveil.functions.text import strip_chars, valid_card, valid_ipv4
 from spanveil.schema import CANDIDATES
 
@@ -20,24 +20,35 @@ ORG_EDGE = " ,.;:"
 ADDRESS_EDGE = " \t\r\n,;:"
 
 
+# Characters of a number: every value of PHONE, IP_ADDRESS, SSN, CREDIT_CARD and DOB
+# contains one of these shapes, so one scan rules all five out for most texts.
+DIGIT_SHAPES = (
+    rf"{DIGIT}(?:\.{DIGIT}{{1,3}}\.{DIGIT}|-{DIGIT}{{2}}-{DIGIT}"
+    rf"|{DIGIT}{{4}}(?:{SPACE}|[.-])?{DIGIT}{{5}}|(?:[ -]?{DIGIT}){{12}}"
+    rf"|[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{2}})")
+FIELD_SHAPE = rf"(?:village|taluka|district|state|pin|code){SPACE}*[:\-]"
+
+
 def _has(column: str, *words: str) -> str:
     return "(" + " OR ".join(f"contains({column}, {literal(w)})" for w in words) + ")"
 
 
-def _like(pattern: str) -> str:
-    return f"rlike({{text}}, {literal(pattern).replace('{', '{{').replace('}', '}}')})"
+def _digits(pattern: str) -> str:
+    return f"(_digits AND rlike({{text}}, {literal(pattern).replace('{', '{{').replace('}', '}}')}))"
 
 
-# The text has one of the words when case is ignored. Three letters outside ASCII
-# match i, k or s in that sense; texts with one of them are not held back.
-def _has_word(*words: str) -> str:
-    return f"({_has('_low', *words)} OR {_has('{text}', 'İ', 'ı', 'ſ', 'K')})"
+def _shared_hints(text: str) -> dict[str, str]:
+    """``_odd``: letters outside ASCII that match i, k or s when case is ignored; texts with
+    one of them are not held back by word hints."""
+    return {"_low": f"lower({text})",
+            "_digits": f"rlike({text}, {literal(DIGIT_SHAPES)})",
+            "_odd": _has(text, "İ", "ı", "ſ", "K")}
 
 
 class Recognizer(NamedTuple):
     entity_type: str
     pattern: P.Pattern
-    hint: str                    # SQL over {text} and _low (the lower-cased text)
+    hint: str                    # SQL over {text}, _low (lower-cased text), _digits, _odd
     edge: str = ""               # characters to strip from the value
     framing: bool = False        # drop leading framing words
     invalid: tuple[str, str] | None = None  # (SQL validity of s.text, reason if not valid)
@@ -46,22 +57,23 @@ class Recognizer(NamedTuple):
 # In this order; the order decides between otherwise equal candidates.
 RECOGNIZERS: dict[str, Recognizer] = {
     "email": Recognizer("EMAIL", P.EMAIL, _has("{text}", "@")),
-    "phone": Recognizer("PHONE", P.PHONE, _like(
+    "phone": Recognizer("PHONE", P.PHONE, _digits(
         f"[6-9]{DIGIT}{{4}}(?:{SPACE}|[.-])?{DIGIT}{{5}}")),
-    "ip": Recognizer("IP_ADDRESS", P.IP_ADDRESS, _like(rf"{DIGIT}\.{DIGIT}{{1,3}}\.{DIGIT}"),
+    "ip": Recognizer("IP_ADDRESS", P.IP_ADDRESS, _digits(rf"{DIGIT}\.{DIGIT}{{1,3}}\.{DIGIT}"),
                      invalid=(valid_ipv4("s.text"), "invalid_ip")),
-    "ssn": Recognizer("SSN", P.SSN, _like(f"{DIGIT}-{DIGIT}{{2}}-{DIGIT}")),
-    "card": Recognizer("CREDIT_CARD", P.CREDIT_CARD, _like(f"{DIGIT}(?:[ -]?{DIGIT}){{12}}"),
+    "ssn": Recognizer("SSN", P.SSN, _digits(f"{DIGIT}-{DIGIT}{{2}}-{DIGIT}")),
+    "card": Recognizer("CREDIT_CARD", P.CREDIT_CARD, _digits(f"{DIGIT}(?:[ -]?{DIGIT}){{12}}"),
                        invalid=(valid_card("s.text"), "invalid_card")),
-    "dob": Recognizer("DOB", P.DOB, _has_word("birth", "dob", "born")),
+    "dob": Recognizer("DOB", P.DOB,
+                      f"(_digits AND (_odd OR {_has('_low', 'birth', 'dob', 'born')}))"),
     "org": Recognizer("ORG", P.COMPANY, _has(
         "{text}", "Limited", "Ltd", "LLP", "Inc", "Corporation"), ORG_EDGE, framing=True),
-    "address_office": Recognizer("ADDRESS", P.OFFICE_ADDRESS, _has_word("office", "address"),
-                                 ADDRESS_EDGE),
+    "address_office": Recognizer("ADDRESS", P.OFFICE_ADDRESS,
+                                 f"(_odd OR {_has('_low', 'office', 'address')})", ADDRESS_EDGE),
     "address_field": Recognizer(
         "ADDRESS", P.FIELD_ADDRESS,
-        f"({_has_word('village', 'taluka', 'district', 'state', 'pin')} "
-        f"AND {_like(matches(P.FIELD_ADDRESS))})", ADDRESS_EDGE),
+        f"(_odd OR ({_has('_low', 'village', 'taluka', 'district', 'state', 'pin')} "
+        f"AND rlike(_low, {literal(FIELD_SHAPE)})))", ADDRESS_EDGE),
 }
 
 
@@ -100,11 +112,11 @@ def recognize(df: DataFrame, text: str = "text", *, output: str = "candidates",
               names: list[str] | None = None) -> DataFrame:
     """Add the candidates of the pattern recognizers, in recognizer order: ARRAY<CANDIDATE>."""
     chosen = {n: RECOGNIZERS[n] for n in (names or RECOGNIZERS)}
-    df = add_columns(df, {"_low": f"lower({text})"})
+    df = add_columns(df, _shared_hints(text))
     df = add_columns(df, {f"_hint_{n}": r.hint.format(text=text) for n, r in chosen.items()})
     df = with_found(df, text, {f"_hit_{n}": (r.pattern, f"_hint_{n}") for n, r in chosen.items()})
     df = settle(df, {output: "concat(" + ", ".join(
         _candidates(f"_hit_{n}", r) for n, r in chosen.items()) + ")"})
-    return df.drop("_low", *[f"_hint_{n}" for n in chosen], *[f"_hit_{n}" for n in chosen])
+    return df.drop("_low", "_digits", "_odd", *[f"_hint_{n}" for n in chosen], *[f"_hit_{n}" for n in chosen])
 
 
