@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanveil.functions import dictionaries as D
+from spanveil.functions.arrays import literal, settle
 from spanveil.functions.text import casefold
 from spanveil.schema import CANDIDATES, RAW_SPANS
 
@@ -50,38 +51,32 @@ def attach_spans(texts: DataFrame, spans: DataFrame, key: str | list[str], text_
             s["label"].alias("label"), s["score"].cast("double").alias("score"))))
 
 
-def _mapped(label: Column, labels: dict[str, str]) -> Column:
-    value = F.lit(None).cast("string")
-    for name, entity_type in labels.items():
-        value = F.when(label == name, entity_type).otherwise(value)
-    return value
+def _as_candidates(raw: str, labels: dict[str, str], source: str, score: str) -> str:
+    cases = " ".join(f"WHEN {literal(n)} THEN {literal(t)}" for n, t in labels.items())
+    typed = (f"transform({raw}, s -> named_struct('start', s.start, 'end', s.end, 'text', s.text, "
+             f"'entity_type', CASE s.label {cases} END, 'score', {score}, "
+             f"'source', {literal(source)}, 'reason', CAST(NULL AS STRING)))")
+    return f"CAST(filter({typed}, c -> c.entity_type IS NOT NULL) AS {CANDIDATES})"
 
 
-def _as_candidates(raw: Column, labels: dict[str, str], source: str,
-                   score: Callable[[Column], Column]) -> Column:
-    typed = F.transform(raw, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
-        _mapped(s["label"], labels).alias("entity_type"), score(s).alias("score"),
-        F.lit(source).alias("source"), F.lit(None).cast("string").alias("reason")))
-    return F.filter(typed, lambda c: c["entity_type"].isNotNull()).cast(CANDIDATES)
-
-
-def ner_candidates(raw: Column, score: float = D.NER_SCORE) -> Column:
+def ner_candidates(df: DataFrame, raw: str, output: str,
+                   score: float = D.NER_SCORE) -> DataFrame:
     """Named-entity spans: labels PERSON and ORG only, one fixed score, source ``spacy``."""
-    return _as_candidates(raw, D.NER_LABELS, "spacy", lambda s: F.lit(float(score)))
+    return settle(df, {output: _as_candidates(raw, D.NER_LABELS, "spacy", f"{float(score)!r}D")})
 
 
-def has_address_context(text: Column, start: Column, end: Column) -> Column:
+def address_context(text: str, start: str, end: str) -> str:
     """Address vocabulary within 80 characters of the span."""
-    left = F.greatest(start - D.LOCATION_RADIUS, F.lit(0))
-    window = F.substring(text, left + 1, end + D.LOCATION_RADIUS - left)
-    return casefold(window).rlike("|".join(D.LOCATION_CONTEXT))
+    left = f"greatest({start} - {D.LOCATION_RADIUS}, 0)"
+    window = f"substring({text}, {left} + 1, {end} + {D.LOCATION_RADIUS} - {left})"
+    return f"rlike({casefold(window)}, {literal('|'.join(D.LOCATION_CONTEXT))})"
 
 
-def analyzer_candidates(raw: Column, text: Column,
-                        min_score: float = D.ANALYZER_MIN_SCORE) -> Column:
+def analyzer_candidates(df: DataFrame, raw: str, output: str, text: str = "text",
+                        min_score: float = D.ANALYZER_MIN_SCORE) -> DataFrame:
     """Analyzer spans, source ``presidio``: known labels, score at least ``min_score``, and
     locations only beside address vocabulary."""
-    mapped = _as_candidates(raw, D.ANALYZER_LABELS, "presidio", lambda s: s["score"])
-    return F.filter(mapped, lambda c: (c["score"] >= min_score) & (
-        (c["entity_type"] != "ADDRESS") | has_address_context(text, c["start"], c["end"])))
+    typed = _as_candidates(raw, D.ANALYZER_LABELS, "presidio", "s.score")
+    return settle(df, {output: (
+        f"filter({typed}, c -> c.score >= {float(min_score)!r}D AND (c.entity_type <> 'ADDRESS' "
+        f"OR {address_context(text, 'c.start', 'c.end')}))")})
