@@ -77,9 +77,11 @@ def with_scans(df: DataFrame, arrays: dict[str, str], zero: int,
     df = add_columns(df, {head[n]: (
         f"aggregate({cut[n]}, array({zero}), (acc, b) -> array_append(acc, "
         f"aggregate(b, element_at(acc, -1), (a, x) -> {combine('a', 'x')})))") for n in arrays})
+    # Arrays meet by zip_with: an array indexed inside a lambda may be inlined by the
+    # optimizer and then be computed again for each element.
     df = add_columns(df, {n: (
-        f"flatten(transform({cut[n]}, (b, i) -> aggregate(b, "
-        f"named_struct('at', {head[n]}[i], 'out', CAST(array() AS ARRAY<INT>)), "
+        f"flatten(zip_with({cut[n]}, slice({head[n]}, 1, size({cut[n]})), (b, h) -> aggregate(b, "
+        f"named_struct('at', h, 'out', CAST(array() AS ARRAY<INT>)), "
         f"(s, x) -> named_struct('at', {combine('s.at', 'x')}, "
         f"'out', array_append(s.out, s.at)), s -> s.out)))") for n in arrays})
     return df.drop(*cut.values(), *head.values())

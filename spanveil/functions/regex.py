@@ -70,8 +70,8 @@ def marked_pieces(text: str, pattern: str, replacement: str) -> str:
 
 
 def _odd_pieces(pieces: str, starts: str) -> str:
-    return (f"filter(transform({pieces}, (t, i) -> named_struct('start', {starts}[i], "
-            f"'end', {starts}[i] + length(t), 'text', t)), (s, i) -> i % 2 = 1)")
+    return (f"filter(zip_with({pieces}, {starts}, (t, at) -> named_struct('start', at, "
+            f"'end', at + length(t), 'text', t)), (s, i) -> i % 2 = 1)")
 
 
 def with_found(df: DataFrame, text: str, wanted: dict[str, tuple[Pattern, str]]) -> DataFrame:

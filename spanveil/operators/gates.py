@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from spanveil.functions import dictionaries as D, patterns as P
-from spanveil.functions.arrays import add_columns, is_in, literal, string_array
+from spanveil.functions.arrays import add_columns, is_in, literal, settle, string_array
 from spanveil.functions.regex import matches
 from spanveil.functions.text import (
     casefold, count_tokens, digits_only, drop_article, has_letter, is_legal_reference, is_upper,
@@ -108,7 +108,7 @@ def apply_semantics(df: DataFrame, candidates: str, output: str) -> DataFrame:
     An organisation without a legal suffix needs an overlapping organisation from
     another source that passed the confidence gate.
     """
-    df = add_columns(df, {"_orgs": (
+    df = settle(df, {"_orgs": (
         f"filter({candidates}, c -> c.reason IS NULL AND c.entity_type = 'ORG')")})
     n = count_tokens("c.text")
     bare = f"transform({tokens('c.text')}, w -> {strip_chars(casefold('w'), WORD_EDGE)})"

@@ -70,7 +70,8 @@ def resolve_overlaps(df: DataFrame, candidates: str, output: str, *, key: str =
     df = with_scans(df, {"_reach": f"if(_touch, transform({candidates}, c -> c.end), NULL)"},
                     -1, maximum)
     df = add_columns(df, {"_heads": (
-        f"filter({indexes('size(_reach)')}, i -> {candidates}[i].start >= _reach[i])")})
+        f"filter(transform(zip_with({candidates}, _reach, (c, r) -> c.start >= r), "
+        f"(first, i) -> if(first, i, -1)), i -> i >= 0)")})
     df = add_columns(df, {"_islands": (
         f"transform(_heads, (b, j) -> slice({candidates}, b + 1, "
         f"coalesce(get(_heads, j + 1), size({candidates})) - b))")})

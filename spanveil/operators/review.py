@@ -61,15 +61,15 @@ def _value_buckets(values: pd.Series) -> pd.DataFrame:
 
 
 def _bit_set(buckets: DataFrame, column: str) -> np.ndarray:
-    """The set of buckets as a boolean array of fixed size, gathered as bitmaps."""
-    parts = buckets.groupBy(F.bitmap_bucket_number(column).alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("bits")).collect()
-    out = np.zeros(2 ** BITS + 2 * 32768, dtype=bool)
-    for row in parts:  # bucket b holds the numbers from (b - 1) * 32768 on
-        first = (row["b"] - 1) * 32768 if row["b"] > 0 else 0
-        bits = np.unpackbits(np.frombuffer(bytes(row["bits"]), dtype=np.uint8), bitorder="little")
-        out[first:first + len(bits)] |= bits.astype(bool)
-    return np.packbits(out)
+    """The set of buckets as bits in an array of fixed size, gathered as bitmaps."""
+    # Bitmap numbers start at 1: number v + 1 stands at bit v of the whole set.
+    parts = buckets.select((F.col(column) + 1).alias("v")).groupBy(
+        F.bitmap_bucket_number("v").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+    out = np.zeros((2 ** BITS // 32768, 4096), dtype=np.uint8)
+    for row in parts:  # at most 512 parts of 4 KB
+        out[row["b"] - 1] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def occurrences(texts: DataFrame, values: DataFrame, order: list[str], text_col: str = "text",
@@ -100,7 +100,8 @@ def occurrences(texts: DataFrame, values: DataFrame, order: list[str], text_col:
 
     @F.pandas_udf("array<struct<v:string,n:int,at:int>>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        whole_set, prefix_set = np.unpackbits(whole.value), np.unpackbits(prefix.value)
+        whole_set = np.unpackbits(whole.value, bitorder="little")
+        prefix_set = np.unpackbits(prefix.value, bitorder="little")
 
         def find(text: str | None) -> list[dict]:
             if not text:

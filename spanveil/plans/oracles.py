@@ -263,11 +263,11 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(round(tp / nullif(tp + fn, 0), 6), 0) AS recall,
                 coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1 FROM cells""",
         "review_sheet": f"""WITH found AS (SELECT DISTINCT text AS original, lower(text) AS v FROM ({ALL_HITS})),
-            hits AS (SELECT original, doc_id, d.text, strpos(lower(d.text), v) AS at, length(v) AS n,
+            hits AS (SELECT original, doc_id, d.text, strpos(lower(d.text), v) AS pos, length(v) AS n,
                 (length(d.text) - length(replace(lower(d.text), v, ''))) / length(v) AS c
                 FROM found JOIN documents d ON contains(lower(d.text), v))
             SELECT original, CAST(sum(c) AS BIGINT) AS original_occurrences,
-                min_by(replace(replace(substr(text, greatest(at - 100, 1), CAST(at - greatest(at - 100, 1)
+                min_by(replace(replace(substr(text, greatest(pos - 100, 1), CAST(pos - greatest(pos - 100, 1)
                     + n + 100 AS BIGINT)), chr(13), ' '), chr(10), ' '), doc_id) AS source_context,
                 '' AS is_actual_pii FROM hits GROUP BY original""",
         "word_occurrences": """WITH words AS (SELECT DISTINCT CASE c_custkey % 6 WHEN 0 THEN 'Th'
@@ -292,11 +292,11 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
                   FROM (SELECT doc_id, string_split(regexp_replace(text,
                         '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), chr(10)) AS p FROM documents))""",
-        "redact_pages": """SELECT page_id, '"<MASK_HERE>' AS planted_part, 1 AS cards FROM pages""",
+        "redact_pages": """SELECT page_id, '"4111111111111111">Paid by <CREDIT_CARD><b></b> twice</p>'
+            || '<p>4111 1111</p><p>1111 1111</p>' AS planted_part FROM pages""",
     }
     texts = (f"CASE {K} % {len(CASES)} " + " ".join(
         f"WHEN {i} THEN {c.prefix} || {c.value} || {c.suffix}" for i, c in enumerate(CASES)) + " END")
     sql["confidence_gate"] = sql["confidence_gate"].replace("{TEXT}", texts)
     sql["distinct_type_counts"] = sql["type_counts"]
-    del sql["redact_pages"]
     return sql

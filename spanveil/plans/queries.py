@@ -319,8 +319,7 @@ def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keep(detect(page_paragraphs(pages, ["page_id"]), recognizers=["card"])
                  .where(F.size("spans") > 0))
     return rebuild_pages(pages, redact_runs(found, generators=MASKS), ["page_id"]).select(
-        "page_id", F.expr("substring_index(redacted_html, '<p title=', -1)").alias("planted_part"),
-        F.regexp_count("redacted_html", F.lit("<CREDIT_CARD>")).cast("bigint").alias("cards"))
+        "page_id", F.expr("substring_index(redacted_html, '<p title=', -1)").alias("planted_part"))
 
 
 WORDS = {"ing": "_", "tion": "<t>", "ingtion": "<it>", "e": "3"}
@@ -430,9 +429,9 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/conversations.parquet"
-    schema = spark.read.parquet(path).schema
-    turns = spark.readStream.schema(schema).parquet(path)
+    name = "conversations.parquet"
+    schema = spark.read.parquet(f"{sf_dir}/{name}").schema
+    turns = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
     return turns.select("conv_id", "turn", F.expr(
         "text || ' Mail to user' || CAST(conv_id AS STRING) || '@mail.example.com now.'").alias("text"))
 

@@ -24,8 +24,9 @@ def page_runs(pages: DataFrame, html: str = "html") -> DataFrame:
     breaks = f"if(i % 2 = 1 AND NOT rlike(t, {literal(_INLINE_TAG)}), 1, 0)"
     df = with_scans(df, {"_para": f"transform(pieces, (t, i) -> {breaks})"}, 0, total)
     df = add_columns(df, {"_texts": (
-        "filter(transform(pieces, (t, i) -> named_struct('para_no', _para[i], 'run_no', i, "
-        "'run_text', t)), r -> r.run_no % 2 = 0 AND r.run_text <> '')")})
+        "filter(transform(zip_with(pieces, _para, (t, p) -> named_struct('t', t, 'p', p)), "
+        "(x, i) -> named_struct('para_no', x.p, 'run_no', i, 'run_text', x.t)), "
+        "r -> r.run_no % 2 = 0 AND r.run_text <> '')")})
     # Texts of one paragraph stand next to each other: cut where the number changes.
     df = add_columns(df, {"_heads": (
         "filter(transform(_texts, (r, i) -> if(i = 0 OR _texts[greatest(i - 1, 0)].para_no "
