@@ -58,15 +58,16 @@ def redact_with_mapping(texts: DataFrame, keys: list[str], mapping_path: str, ou
     Output and mapping are written per batch number, so both are exactly-once.
     """
 
+    staging = f"{checkpoint}/staging"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A batch is read several times: keep what was detected while it is worked on.
-        detected = detect(batch, text_col, **options).persist()
-        try:
-            mapped_batch(detected, batch_id, keys, mapping_path, text_col=text_col, seed=seed,
-                         generators=generators).write.mode("overwrite").parquet(
-                f"{output_path}/batch_id={batch_id}")
-        finally:
-            detected.unpersist()
+        # A batch is read several times: write what was detected and go on from the table.
+        # Batches follow each other, so one folder per stream is enough.
+        detect(batch, text_col, **options).write.mode("overwrite").parquet(staging)
+        detected = batch.sparkSession.read.parquet(staging)
+        mapped_batch(detected, batch_id, keys, mapping_path, text_col=text_col, seed=seed,
+                     generators=generators).write.mode("overwrite").parquet(
+            f"{output_path}/batch_id={batch_id}")
 
     return (texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
