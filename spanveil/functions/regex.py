@@ -13,8 +13,12 @@ from spanveil.functions.patterns import Pattern
 
 DIGIT = r"\p{Nd}"
 SPACE_BODY = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD_BODY = r"\p{L}\p{N}_"
-SPACE, NOT_SPACE = f"[{SPACE_BODY}]", f"[^{SPACE_BODY}]"
+WORD_BODY = r"a-zA-Z0-9_\p{L}\p{N}"  # ASCII first: tried in this order
+# The complement of SPACE_BODY as ranges, the frequent ones first: several times faster
+# than a negated class.
+NOT_SPACE_BODY = (r"!-~\xa1-\u167f\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\u1681-\u1fff\u200b-\u2027"
+                  r"\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\x{10ffff}")
+SPACE, NOT_SPACE = f"[{SPACE_BODY}]", f"[{NOT_SPACE_BODY}]"
 WORD = f"[{WORD_BODY}]"
 BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 _OUTSIDE = {"d": DIGIT, "s": SPACE, "S": NOT_SPACE, "w": WORD, "b": BOUNDARY}
@@ -90,9 +94,9 @@ def with_found(df: DataFrame, text: str, wanted: dict[str, tuple[Pattern, str]])
     df = with_scans(df, {starts[n]: f"transform({pieces[n]}, t -> length(t))" for n in wanted},
                     0, total)
     # Values are cut from the text itself where the mark character occurs in it.
-    df = add_columns(df, {n: _odd_pieces(pieces[n], starts[n]) for n in wanted})
     df = add_columns(df, {n: (
-        f"if(NOT _has_mark, {n}, transform({n}, s -> named_struct('start', s.start, 'end', s.end, "
+        f"if(NOT _has_mark, {_odd_pieces(pieces[n], starts[n])}, transform("
+        f"{_odd_pieces(pieces[n], starts[n])}, s -> named_struct('start', s.start, 'end', s.end, "
         f"'text', substring({text}, s.start + 1, s.end - s.start))))") for n in wanted})
     return df.drop("_has_mark", *pieces.values(), *starts.values())
 

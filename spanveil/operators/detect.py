@@ -83,6 +83,16 @@ def explode_spans(df: DataFrame, keys: list[str], spans: str = "spans") -> DataF
     return df.select(*keys, F.inline_outer(spans)).where(F.col("start").isNotNull())
 
 
+def explode_fates(df: DataFrame, keys: list[str], spans: str = "spans",
+                  rejected: str = "rejected") -> DataFrame:
+    """One row per candidate: span fields and reason (``kept`` for accepted spans)."""
+    every = F.expr(
+        f"concat({rejected}, transform({spans}, s -> named_struct('start', s.start, 'end', s.end, "
+        f"'text', s.text, 'entity_type', s.entity_type, 'score', s.score, 'source', s.source, "
+        f"'reason', 'kept')))")
+    return df.select(*keys, F.inline_outer(every)).where(F.col("start").isNotNull())
+
+
 def detect_distinct(df: DataFrame, key_cols: list[str], text_col: str = "text", *,
                     output: str = "spans", copies: int = 16, **options) -> DataFrame:
     """Detect once per distinct text instead of once per row.

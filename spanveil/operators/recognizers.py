@@ -113,10 +113,10 @@ def recognize(df: DataFrame, text: str = "text", *, output: str = "candidates",
     """Add the candidates of the pattern recognizers, in recognizer order: ARRAY<CANDIDATE>."""
     chosen = {n: RECOGNIZERS[n] for n in (names or RECOGNIZERS)}
     df = add_columns(df, _shared_hints(text))
-    df = add_columns(df, {f"_hint_{n}": r.hint.format(text=text) for n, r in chosen.items()})
-    df = with_found(df, text, {f"_hit_{n}": (r.pattern, f"_hint_{n}") for n, r in chosen.items()})
+    df = with_found(df, text, {f"_hit_{n}": (r.pattern, r.hint.format(text=text))
+                               for n, r in chosen.items()})
     df = settle(df, {output: "concat(" + ", ".join(
         _candidates(f"_hit_{n}", r) for n, r in chosen.items()) + ")"})
-    return df.drop("_low", "_digits", "_odd", *[f"_hint_{n}" for n in chosen], *[f"_hit_{n}" for n in chosen])
+    return df.drop("_low", "_digits", "_odd", *[f"_hit_{n}" for n in chosen])
 
 

@@ -60,16 +60,19 @@ def _value_buckets(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"whole": [of(c) for c in coded], "prefix": [of(c[:PREFIX]) for c in coded]})
 
 
-def _bit_set(buckets: DataFrame, column: str) -> np.ndarray:
-    """The set of buckets as bits in an array of fixed size, gathered as bitmaps."""
+def _bit_sets(numbers: DataFrame) -> dict[str, np.ndarray]:
+    """Sets of numbers below 2^BITS, by kind, as bits in arrays of fixed size.
+
+    Gathered as bitmaps: at most 512 parts of 4 KB per kind reach the driver.
+    """
     # Bitmap numbers start at 1: number v + 1 stands at bit v of the whole set.
-    parts = buckets.select((F.col(column) + 1).alias("v")).groupBy(
-        F.bitmap_bucket_number("v").alias("b")).agg(
+    parts = numbers.select("kind", (F.col("v") + 1).alias("v")).groupBy(
+        "kind", F.bitmap_bucket_number("v").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
-    out = np.zeros((2 ** BITS // 32768, 4096), dtype=np.uint8)
-    for row in parts:  # at most 512 parts of 4 KB
-        out[row["b"] - 1] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return out.reshape(-1)
+    out = {k: np.zeros((2 ** BITS // 32768, 4096), dtype=np.uint8) for k in ("whole", "prefix", "length")}
+    for row in parts:
+        out[row["kind"]][row["b"] - 1] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return {k: v.reshape(-1) for k, v in out.items()}
 
 
 def occurrences(texts: DataFrame, values: DataFrame, order: list[str], text_col: str = "text",
@@ -87,16 +90,18 @@ def occurrences(texts: DataFrame, values: DataFrame, order: list[str], text_col:
     """
     spark = texts.sparkSession
     wanted = values.select(F.lower(value_col).alias("v")).where("v <> ''").distinct()
-    lengths = [r["n"] for r in wanted.select(F.length("v").alias("n")).distinct().collect()]
-    if not lengths:
-        lengths = [1]
     buckets = F.pandas_udf(_value_buckets, "struct<whole:bigint,prefix:bigint>")
-    hashed = wanted.select("v", buckets("v").alias("h")).select("v", "h.whole", "h.prefix")
-    whole = spark.sparkContext.broadcast(_bit_set(hashed, "whole"))
-    prefix = spark.sparkContext.broadcast(_bit_set(
-        hashed.where(F.length("v") >= PREFIX), "prefix"))
-    short = sorted(n for n in lengths if n < PREFIX)
-    long = sorted(n for n in lengths if n >= PREFIX)
+    numbers = wanted.select(F.length("v").cast("bigint").alias("n"), buckets("v").alias("h")).select(
+        F.inline(F.expr(f"filter(array(named_struct('kind', 'length', 'v', n), "
+                        f"named_struct('kind', 'whole', 'v', h.whole), "
+                        f"if(n >= {PREFIX}, named_struct('kind', 'prefix', 'v', h.prefix), NULL)), "
+                        f"x -> x IS NOT NULL)")))
+    sets = _bit_sets(numbers)
+    lengths = np.flatnonzero(np.unpackbits(sets["length"], bitorder="little")).tolist()
+    whole = spark.sparkContext.broadcast(sets["whole"])
+    prefix = spark.sparkContext.broadcast(sets["prefix"])
+    short = [n for n in lengths if n < PREFIX]
+    long = [n for n in lengths if n >= PREFIX]
 
     @F.pandas_udf("array<struct<v:string,n:int,at:int>>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanveil.functions.arrays import is_in, literal, string_array
 from spanveil.functions.text import count_tokens
 from spanveil.operators.gates import has_company_suffix
 
@@ -37,19 +38,17 @@ def rejection_counts(detected: DataFrame, rejected: str = "rejected", *,
     rows = detected.select(*columns)
     if distinct_by:
         rows = rows.dropDuplicates([distinct_by])
-    counters = F.expr("CASE r.reason " + " ".join(
-        f"WHEN '{reason}' THEN array({', '.join(repr(n) for n in names)})"
-        for reason, names in COUNTERS.items()) + " ELSE array(r.reason) END")
-    reasons = rows.select(F.explode(rejected).alias("r")).select(
-        F.explode(counters).alias("reason"))
+    cases = " ".join(f"WHEN '{reason}' THEN {string_array(names)}"
+                     for reason, names in COUNTERS.items())
+    parts = [f"flatten(transform({rejected}, r -> CASE r.reason {cases} "
+             f"ELSE array(r.reason) END))"]
     if semantic_input:
-        kept = rows.select(F.explode(semantic_input).alias("r")).select("r.entity_type", "r.text")
-        late = rows.select(F.explode(rejected).alias("r")).where(
-            "r.reason IN ('frequency_suppressed', 'duplicate', 'overlap')").select(
-            "r.entity_type", "r.text")
-        reasons = reasons.unionByName(kept.unionByName(late).where("entity_type = 'ORG'").where(
-            has_company_suffix("text")).select(
-            F.lit("private_organizations_anonymized").alias("reason")))
+        late = is_in("r.reason", ("frequency_suppressed", "duplicate", "overlap"))
+        company = f"r.entity_type = 'ORG' AND {has_company_suffix('r.text')}"
+        name = literal("private_organizations_anonymized")
+        parts += [f"transform(filter({semantic_input}, r -> {company}), r -> {name})",
+                  f"transform(filter({rejected}, r -> {late} AND {company}), r -> {name})"]
+    reasons = rows.select(F.explode(F.expr(f"concat({', '.join(parts)})")).alias("reason"))
     return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanveil.functions.pseudonyms import constant_masks
 from spanveil.functions.dictionaries import ENTITY_TYPES
 from spanveil.operators import metrics as M, review as V, stats as A
-from spanveil.operators.detect import detect, detect_distinct, explode_spans
+from spanveil.operators.detect import detect, detect_distinct, explode_fates, explode_spans
 from spanveil.operators.external import (
     analyzer_candidates, attach_spans, model_spans, ner_candidates,
 )
@@ -105,11 +105,8 @@ def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protected_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = detect(_phrases(spark, sf_dir), recognizers=["email"], rejected="rejected")
-    kept = explode_spans(judged, ["p_partkey"]).select(
-        "p_partkey", "text", F.lit("kept").alias("fate"))
-    dropped = explode_spans(judged, ["p_partkey"], "rejected").select(
+    return explode_fates(judged, ["p_partkey"]).select(
         "p_partkey", "text", F.col("reason").alias("fate"))
-    return kept.unionByName(dropped)
 
 
 # --- gates -----------------------------------------------------------------------------
@@ -128,10 +125,7 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _gated(spark, sf_dir)
-    kept = explode_spans(judged, ["note_id"]).withColumn("reason", F.lit("kept"))
-    dropped = explode_spans(judged, ["note_id"], "rejected")
-    return kept.unionByName(dropped.select(*kept.columns)).select(
+    return explode_fates(_gated(spark, sf_dir), ["note_id"]).select(
         "note_id", "entity_type", F.col("start").cast("bigint").alias("span_start"),
         F.col("end").cast("bigint").alias("span_end"), F.col("source").alias("span_source"),
         F.col("reason").alias("fate"))
@@ -238,7 +232,7 @@ def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.text_statistics(paragraphs(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return A.text_statistics(paragraphs(documents(spark, sf_dir), ["doc_id"]))
 
 
 def paragraph_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
