@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanveil.functions import dictionaries as D
 from spanveil.functions.pseudonyms import SEED, Generator, fake
+from spanveil.functions.text import casefold
 from spanveil.operators.detect import explode_spans
 
 HOT_SHARE = 1000  # a value is hot if it makes up at least 1/HOT_SHARE of all spans
@@ -50,23 +52,42 @@ def shared_fakes(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("replacement").agg(F.count("*").alias("originals")).where("originals > 1")
 
 
-def look_up(spans: DataFrame, mapping: DataFrame, value: str = "text") -> DataFrame:
-    """Add ``replacement`` to spans by value, safe for values that fill the table.
+def join_by_value(rows: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """Left join of rows with a table that has one row per ``value`` (and no null columns).
 
-    Values with at least 1/1000 of all spans (so at most 1000 of them) are joined by
-    broadcast and not shuffled; the others hold too few rows each to make a large
-    partition.
+    Safe for values that fill the rows: those with at least 1/1000 of all rows (so at
+    most 1000 of them) are joined by broadcast and not shuffled; the others hold too
+    few rows each to make a large partition.
     """
-    counts = spans.groupBy(value).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     hot = counts.where(F.col("n") * HOT_SHARE >= total).select(value)
-    pairs = mapping.select(F.col("original").alias(value), "replacement")
-    hot_pairs = pairs.join(F.broadcast(hot), value, "left_semi").withColumn("_hot", F.lit(True))
-    tagged = spans.join(F.broadcast(hot_pairs), value, "left")
-    cold = tagged.where("_hot IS NULL").drop("replacement").join(pairs, value, "left")
+    hot_part = table.join(F.broadcast(hot), value, "left_semi").withColumn("_hot", F.lit(True))
+    tagged = rows.join(F.broadcast(hot_part), value, "left")
+    added = [c for c in table.columns if c != value]
+    cold = tagged.where("_hot IS NULL").drop(*added).join(table, value, "left")
     return tagged.where("_hot").unionByName(cold).drop("_hot")
 
 
+def look_up(spans: DataFrame, mapping: DataFrame, value: str = "text") -> DataFrame:
+    """Add ``replacement`` to spans by value; null where the mapping has none."""
+    return join_by_value(spans, mapping.select(F.col("original").alias(value), "replacement"), value)
+
+
+def suppress_frequent_in_corpus(spans: DataFrame, limit: int = D.FREQUENCY_LIMIT) -> DataFrame:
+    """Drop PERSON/ORG spans below 0.995 whose value occurs more than ``limit`` times overall.
+
+    The table-wide form of the frequency rule inside one text. ``spans`` is read
+    twice: pass a table or a checkpoint.
+    """
+    folded = spans.withColumn("_folded", F.expr(casefold("text")))
+    often = folded.groupBy("_folded").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    tagged = join_by_value(folded, often, "_folded")
+    frequent = F.col("entity_type").isin("PERSON", "ORG") & (F.col("score") < D.FREQUENCY_SCORE) & (
+        F.col("_n").isNotNull())
+    return tagged.where(~frequent).drop("_folded", "_n")
+
+
 def with_replacements(detected: DataFrame, keys: list[str], mapping: DataFrame, *,
                       spans: str = "spans", output: str = "fakes") -> DataFrame:
     """Add the replacements of each text's spans, in span order: ARRAY<STRING>.

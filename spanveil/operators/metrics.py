@@ -69,10 +69,12 @@ def character_counts(texts: DataFrame, truth: DataFrame, predicted: DataFrame, k
     covered = steps.select(
         (F.sum("t").over(order) > 0).alias("t"), (F.sum("p").over(order) > 0).alias("p"),
         (F.lead("pos").over(order) - F.col("pos")).alias("n"))
-    differ = covered.agg(F.coalesce(F.sum(F.when(F.col("t") != F.col("p"), F.col("n"))),
-                                    F.lit(0)).alias("differ"))
-    total = lengths.agg(F.coalesce(F.sum("_len"), F.lit(0)).alias("characters"))
-    return total.join(differ, how="full").select(
+    zero = F.lit(0).cast("bigint")
+    parts = lengths.agg(F.sum("_len").alias("characters")).withColumn("differ", zero).unionByName(
+        covered.agg(F.sum(F.when(F.col("t") != F.col("p"), F.col("n"))).alias("differ")).withColumn(
+            "characters", zero))
+    return parts.agg(F.coalesce(F.sum("characters"), zero).alias("characters"),
+                     F.coalesce(F.sum("differ"), zero).alias("differ")).select(
         "characters", (F.col("characters") - F.col("differ")).alias("agree"))
 
 
@@ -90,26 +92,31 @@ def type_totals(compared: DataFrame) -> DataFrame:
 
 def span_report(compared: DataFrame, accuracy: DataFrame) -> DataFrame:
     """Metrics frame of a scored run; dictionaries as JSON with sorted keys."""
-    def counts(side: str) -> Column:
-        pairs = F.expr(to_sorted_json(f"filter({side}, x -> x.value > 0)"))
-        return F.coalesce(pairs, F.lit("{}"))
-
-    per_type = type_totals(compared).agg(
-        F.collect_list(F.struct(F.col("entity_type").alias("key"), F.col("truth").alias("value"))
-                       ).alias("truths"),
-        F.collect_list(F.struct(F.col("entity_type").alias("key"),
-                                F.col("predicted").alias("value"))).alias("predictions"))
-    one = exact_metrics(compared).join(per_type, how="full").join(
-        accuracy.select("accuracy"), how="full")
+    zero = F.lit(0).cast("bigint")
+    per_type = match_counts(compared, ["entity_type"]).withColumn(
+        "accuracy", F.lit(None).cast("double"))
+    extra = accuracy.select(
+        F.lit(None).cast("string").alias("entity_type"), zero.alias("tp"), zero.alias("fp"),
+        zero.alias("fn"), "accuracy")
+
+    def counts(other: str) -> Column:
+        n = F.col("tp") + F.col(other)
+        return F.collect_list(F.when(n > 0, F.struct(
+            F.col("entity_type").alias("key"), n.alias("value"))))
+
+    one = per_type.unionByName(extra).agg(
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+        F.max("accuracy").alias("accuracy"), counts("fn").alias("truths"),
+        counts("fp").alias("predictions"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return one.select(F.inline(F.array(
-        metric_row("Total ground-truth entities", F.col("tp") + F.col("fn")),
-        metric_row("Total detected entities", F.col("tp") + F.col("fp")),
-        metric_row("True positives", F.col("tp")), metric_row("False positives", F.col("fp")),
-        metric_row("False negatives", F.col("fn")), metric_row("Precision", F.col("precision")),
-        metric_row("Recall", F.col("recall")), metric_row("F1 Score", F.col("f1")),
-        metric_row("Accuracy", F.col("accuracy")),
-        metric_row("Ground-truth entity counts", counts("truths")),
-        metric_row("Detected entity counts", counts("predictions")))))
+        metric_row("Total ground-truth entities", tp + fn),
+        metric_row("Total detected entities", tp + fp), metric_row("True positives", tp),
+        metric_row("False positives", fp), metric_row("False negatives", fn),
+        metric_row("Precision", ratio(tp, tp + fp)), metric_row("Recall", ratio(tp, tp + fn)),
+        metric_row("F1 Score", f1(tp, fp, fn)), metric_row("Accuracy", F.col("accuracy")),
+        metric_row("Ground-truth entity counts", F.expr(to_sorted_json("truths"))),
+        metric_row("Detected entity counts", F.expr(to_sorted_json("predictions"))))))
 
 
 def binary_counts(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:

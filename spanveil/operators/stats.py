@@ -82,15 +82,18 @@ def detection_report(spans: DataFrame, replacements: DataFrame) -> DataFrame:
     gathered.
     """
     per_type = spans.groupBy("entity_type").agg(F.count("*").alias("n"))
-    gathered = per_type.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.sort_array(F.collect_list(F.struct("entity_type", "n"))).alias("types"))
-    both = gathered.join(replacements.select(F.col("n").alias("unique")), how="full")
-    rows = F.concat(
+    rows = per_type.withColumn("unique", F.lit(0).cast("bigint")).unionByName(replacements.select(
+        F.lit(None).cast("string").alias("entity_type"), F.lit(0).cast("bigint").alias("n"),
+        F.col("n").alias("unique")))
+    gathered = rows.agg(
+        F.sum("n").alias("total"), F.sum("unique").alias("unique"),
+        F.sort_array(F.collect_list(F.when(
+            F.col("entity_type").isNotNull(), F.struct("entity_type", "n")))).alias("types"))
+    lines = F.concat(
         F.array(metric_row("Total entities detected", F.col("total")),
                 metric_row("Unique replacements", F.col("unique"))),
         F.transform("types", lambda t: F.struct(
             F.concat(F.lit("Detected "), t["entity_type"]).alias("metric"),
             t["n"].cast("string").alias("value"))),
         F.array(*[metric_row(n, F.lit(NO_TRUTH)) for n in NO_TRUTH_METRICS]))
-    return both.select(F.inline(rows))
+    return gathered.select(F.inline(lines))

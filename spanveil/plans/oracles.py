@@ -164,6 +164,13 @@ def oracle_sql() -> dict[str, str]:
         "frequency_gate": """SELECT s_suppkey, CASE WHEN n > 50 THEN 0 ELSE n END AS kept,
             CASE WHEN n > 50 THEN n ELSE 0 END AS suppressed
             FROM (SELECT s_suppkey, 45 + s_suppkey % 12 AS n FROM supplier)""",
+        "corpus_frequency": """SELECT text, entity_type, count(*) AS n FROM (
+            SELECT *, count(*) OVER (PARTITION BY lower(text)) AS often FROM (
+                SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Acme ' ELSE 'ACME ' END
+                       || CAST(l_partkey AS STRING) AS text,
+                CASE l_suppkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'EMAIL' END AS entity_type,
+                l_suppkey % 4 = 0 AS sure FROM lineitem))
+            WHERE entity_type = 'EMAIL' OR sure OR often <= 30 GROUP BY text, entity_type""",
         "confidence_gate": f"""WITH {FATES_CTE}, externals AS (SELECT note_id, s, e, fate FROM fates
                 WHERE entity_type = 'PERSON' AND source IN ('spacy', 'presidio')
                 UNION ALL SELECT {K}, length('Met '), length('Met ') + length('Rashi Patil'

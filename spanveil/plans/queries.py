@@ -20,7 +20,9 @@ from spanveil.operators.detect import detect, detect_distinct, explode_fates, ex
 from spanveil.operators.external import (
     analyzer_candidates, attach_spans, model_spans, ner_candidates,
 )
-from spanveil.operators.mapping import build_mapping, shared_fakes
+from spanveil.operators.mapping import (
+    build_mapping, shared_fakes, suppress_frequent_in_corpus,
+)
 from spanveil.operators.protected import with_protected
 from spanveil.operators.recognizers import recognize
 from spanveil.operators.redact import redact, redact_runs, replace_text, runs_text
@@ -162,6 +164,16 @@ def frequency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
             "bigint").alias("suppressed"))
 
 
+def corpus_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by supplier; some suppliers have far more line items than the limit."""
+    spans = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "concat(if(l_linenumber % 2 = 0, 'Acme ', 'ACME '), l_partkey) AS text",
+        "CASE l_suppkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'EMAIL' END AS entity_type",
+        "CASE WHEN l_suppkey % 4 = 0 THEN 1.0D ELSE 0.99D END AS score")
+    kept = suppress_frequent_in_corpus(spans, limit=30)
+    return kept.groupBy("text", "entity_type").agg(F.count("*").alias("n"))
+
+
 def _find_names(texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
     name = re.compile(r"\b[A-Z][a-z]+ [A-Z][a-z]+(?=\d)")
     return [[(m.start(), m.end(), "PERSON", 0.97) for m in name.finditer(t)] for t in texts]
@@ -484,7 +496,7 @@ def queries() -> dict[str, Query]:
         "protected_spans": protected_spans, "protected_drop": protected_drop,
         "gate_reasons": gate_reasons, "gate_tally": gate_tally,
         "confidence_gate": confidence_gate, "frequency_gate": frequency_gate,
-        "model_recognizer": model_recognizer,
+        "corpus_frequency": corpus_frequency, "model_recognizer": model_recognizer,
         "dedupe_spans": dedupe_spans, "resolve_overlaps": resolved_spans,
         "type_counts": type_counts, "distinct_type_counts": distinct_type_counts,
         "detection_report": detection_report, "doc_stats": doc_stats,
