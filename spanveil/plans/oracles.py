@@ -10,7 +10,7 @@ TYPES = ("PERSON", "EMAIL", "PHONE", "ADDRESS", "ORG", "SSN", "CREDIT_CARD", "IP
 # RE2 forms for the driver's tables (RE2 has no lookaround, and its \b is ASCII).
 RE_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 RE_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-RE_CARD = r"\d+"
+RE_DIGITS = r"\d+"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
@@ -23,8 +23,9 @@ def _luhn(d: str) -> str:
 
 VALID = {
     "EMAIL": "true", "IP_ADDRESS": f"regexp_full_match(v, '({OCTET}\\.){{3}}{OCTET}')",
-    "CREDIT_CARD": f"length(v) BETWEEN 13 AND 19 AND {_luhn('v')}"}
-PATTERN = {"EMAIL": RE_EMAIL, "IP_ADDRESS": RE_IP, "CREDIT_CARD": RE_CARD}
+    "CREDIT_CARD": f"length(v) BETWEEN 13 AND 19 AND {_luhn('v')}",
+    "PHONE": "length(v) = 10 AND v[1] >= '6'"}
+PATTERN = {"EMAIL": RE_EMAIL, "IP_ADDRESS": RE_IP, "CREDIT_CARD": RE_DIGITS, "PHONE": RE_DIGITS}
 
 
 def _hits(entity_type: str) -> str:
