@@ -55,7 +55,8 @@ def java_flags(flags: str) -> str:
 
 def grouped(p: Pattern) -> str:
     """Java form with group 1 = prefix and group 2 = value."""
-    return f"{java_flags(p.flags)}({java(p.prefix)})({java(p.value)}){java(p.tail)}"
+    ahead = f"(?={p.first})" if p.first else ""
+    return f"{java_flags(p.flags)}{ahead}({java(p.prefix)})({java(p.value)}){java(p.tail)}"
 
 
 def matches(p: Pattern) -> str:
