@@ -37,18 +37,21 @@ def _digits(pattern: str) -> str:
     return f"(_digits AND rlike({{text}}, {literal(pattern).replace('{', '{{').replace('}', '}}')}))"
 
 
+# Letters outside ASCII that match i or s when case is ignored and that lower() leaves.
+ODD_LETTERS, THEIR_FOLD = "\u0130\u0131\u017f", "iis"
+
+
 def _shared_hints(text: str) -> dict[str, str]:
-    """``_odd``: letters outside ASCII that match i, k or s when case is ignored; texts with
-    one of them are not held back by word hints."""
-    return {"_low": f"lower({text})",
-            "_digits": f"rlike({text}, {literal(DIGIT_SHAPES)})",
-            "_odd": _has(text, "İ", "ı", "ſ", "K")}
+    """``_low``: the lower-cased text, with letters that match an ASCII letter replaced by it."""
+    folded = f"translate({text}, {literal(ODD_LETTERS)}, {literal(THEIR_FOLD)})"
+    return {"_low": f"lower(if({_has(text, *ODD_LETTERS)}, {folded}, {text}))",
+            "_digits": f"rlike({text}, {literal(DIGIT_SHAPES)})"}
 
 
 class Recognizer(NamedTuple):
     entity_type: str
     pattern: P.Pattern
-    hint: str                    # SQL over {text}, _low (lower-cased text), _digits, _odd
+    hint: str                    # SQL over {text}, _low (lower-cased text), _digits
     edge: str = ""               # characters to strip from the value
     framing: bool = False        # drop leading framing words
     invalid: tuple[str, str] | None = None  # (SQL validity of s.text, reason if not valid)
@@ -65,15 +68,15 @@ RECOGNIZERS: dict[str, Recognizer] = {
     "card": Recognizer("CREDIT_CARD", P.CREDIT_CARD, _digits(f"{DIGIT}(?:[ -]?{DIGIT}){{12}}"),
                        invalid=(valid_card("s.text"), "invalid_card")),
     "dob": Recognizer("DOB", P.DOB,
-                      f"(_digits AND (_odd OR {_has('_low', 'birth', 'dob', 'born')}))"),
+                      f"(_digits AND {_has('_low', 'birth', 'dob', 'born')})"),
     "org": Recognizer("ORG", P.COMPANY, _has(
         "{text}", "Limited", "Ltd", "LLP", "Inc", "Corporation"), ORG_EDGE, framing=True),
     "address_office": Recognizer("ADDRESS", P.OFFICE_ADDRESS,
-                                 f"(_odd OR {_has('_low', 'office', 'address')})", ADDRESS_EDGE),
+                                 _has("_low", "office", "address"), ADDRESS_EDGE),
     "address_field": Recognizer(
         "ADDRESS", P.FIELD_ADDRESS,
-        f"(_odd OR ({_has('_low', 'village', 'taluka', 'district', 'state', 'pin')} "
-        f"AND rlike(_low, {literal(FIELD_SHAPE)})))", ADDRESS_EDGE),
+        f"({_has('_low', 'village', 'taluka', 'district', 'state', 'pin')} "
+        f"AND rlike(_low, {literal(FIELD_SHAPE)}))", ADDRESS_EDGE),
 }
 
 
@@ -117,6 +120,6 @@ def recognize(df: DataFrame, text: str = "text", *, output: str = "candidates",
                                for n, r in chosen.items()})
     df = settle(df, {output: "concat(" + ", ".join(
         _candidates(f"_hit_{n}", r) for n, r in chosen.items()) + ")"})
-    return df.drop("_low", "_digits", "_odd", *[f"_hit_{n}" for n in chosen])
+    return df.drop("_low", "_digits", *[f"_hit_{n}" for n in chosen])
 
 
