@@ -79,3 +79,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, most_rows: int = 400_000) -> DataFrame:
+    """Join with a held frame: broadcast it if it has few rows, else leave the shuffle to Spark."""
+    small = right.limit(most_rows + 1).count() <= most_rows
+    return left.join(F.broadcast(right) if small else right.hint("shuffle_merge"), on, how)

@@ -9,15 +9,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanveil.llm.common import table
 from spanveil.llm.decontaminate import benchmark_matches, contaminated
+from spanveil.llm.jaccard_join import similar_components
+from spanveil.llm.substrings import remove_repeats
 from spanveil.llm.tokenize import encode
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), shingle=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False)
     return contaminated(found).select(
@@ -26,4 +38,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_substrings, op9_decontaminate)}
