@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanveil.llm.common import table
 from spanveil.llm.decontaminate import benchmark_matches, contaminated
 from spanveil.llm.jaccard_join import similar_components
+from spanveil.llm.quality import apply_policy, ledger
 from spanveil.llm.substrings import remove_repeats
 from spanveil.llm.tokenize import encode
+from spanveil.llm.urls import judge
+from spanveil.llm.warc import round_trip
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,6 +33,19 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(table(spark, sf_dir, "pages"), least_bytes=0).where("record_type <> 'gap'")
+    return records.select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_policy(apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "base", "base_kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         (~F.col("base_kept")).alias("base_failed"), "kept")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False)
     return contaminated(found).select(
@@ -37,5 +53,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_substrings, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_substrings, op7_warc, op8_quality_rules,
+                                   op9_decontaminate, op10_url_filter)}
