@@ -81,7 +81,11 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str, most_rows: int = 400_000) -> DataFrame:
-    """Join with a held frame: broadcast it if it has few rows, else leave the shuffle to Spark."""
-    small = right.limit(most_rows + 1).count() <= most_rows
-    return left.join(F.broadcast(right) if small else right.hint("shuffle_merge"), on, how)
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, elements: str = "1",
+                 most: int = 200_000) -> DataFrame:
+    """Join with a held frame: broadcast it if it is small, else leave the shuffle to Spark.
+
+    ``elements``: SQL for how many values a row of it holds; ``most`` bounds their sum.
+    """
+    total = right.agg(F.sum(F.expr(elements))).first()[0] or 0
+    return left.join(F.broadcast(right) if total <= most else right.hint("shuffle_merge"), on, how)

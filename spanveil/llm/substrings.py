@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         "contents > 1 AND a < b").select("key")
     open_blocks = hold(contents.join(open_keys, "key", "left_semi").groupBy(F.col("first.doc").alias("doc")).agg(
         F.collect_list(F.struct("first.tag", "first.start", "first.n")).alias("open")), "open")
-    single = hold(join_checked(given, open_blocks, "doc", "inner").mapInArrow(
+    single = hold(join_checked(given, open_blocks, "doc", "inner", "size(open)").mapInArrow(
         _windows(window), "doc long, tag long, start int, window long"), "windows")
     refs = single.groupBy("window").agg(F.min("doc").alias("ref"), F.max("doc").alias("last")).where("ref < last")
     bordering = single.join(refs, "window").where("ref < doc").select(
@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     copies = hold(copied.unionByName(bordering).groupBy("doc").agg(
         F.collect_list(F.struct("tag", "start", "n", "ref")).alias("copies")), "copies")
-    return join_checked(given, copies, "doc", "left").mapInArrow(
+    return join_checked(given, copies, "doc", "left", "size(copies)").mapInArrow(
         _parse(window, with_text), "doc long, n_words long, n_removed long, kept_sha256 string, "
         "factors array<struct<start: long, end: long, ref: long>>" + ", kept string" * with_text
     ).withColumnRenamed("doc", key)
