@@ -4,16 +4,21 @@ Documents are sets of hashed shingles under the Jaccard distance d = 1 - |x & y|
 obeys the triangle inequality. Linked are sets with d <= r (r = 1 - threshold).
 
 1. Equal sets are one point: a class with its smallest id as representative.
-2. Points that can be linked share a shingle among the first n - ceil(t * n) + 1 of their n, in any
-   order that is the same for all. Rare shingles go first (a count sketch of fixed size, filled by
-   all documents, orders them). The points that share such a shingle form a region.
-3. Each region gets pivots. All distances to its pivots are computed, which finds all links with
-   them, and pivots leave. Every other point belongs to the Voronoi cell of its nearest pivot when
-   that is within ``RADIUS``, else to the rest of the region. By the triangle inequality a point
-   linked with one of cell p is at most 2r further from p than from its own pivot, and at most
-   RADIUS + r away from p: points in that window are replicated into the cell. Points within r of
-   the pivot are settled, they are in one component; settled points that no unsettled point of the
-   cell can reach are dropped, and so are cells without a pair left to compare.
+2. The first pivot is the empty set: it orders points by size, in bands that grow by 1 / t. Linked
+   points are in one band or in neighbouring ones, so each point is replicated into the next band
+   when it can reach it. Within a band, points that can be linked share a shingle among the first
+   n - o + 1 of their n, o being the least overlap with any partner, in any order that is the same
+   for all. Rare shingles go first (a count sketch of fixed size, filled by all documents, orders
+   them). The points of a band that share such a shingle form a region.
+3. Each region gets pivots. The distances of all its points to its pivots are computed, which finds
+   all links with them, and pivots leave. A distance that a small signature (members counted per
+   hash bucket) shows to be over RADIUS + r is not computed: it matters to no rule below. Every
+   other point belongs to the Voronoi cell of its nearest pivot when that is within ``RADIUS``, else
+   to the rest of the region. By the triangle inequality a point linked with one of cell p is at
+   most 2r further from p than from its own pivot, and at most RADIUS + r away from p: points in
+   that window are replicated into the cell. Points within r of the pivot are settled, they are in
+   one component; settled points that no unsettled point of the cell can reach are dropped, and so
+   are cells without a pair left to compare.
 4. Cells and rests are the regions of the next round, with four times as many pivots at most.
    Rounds go on until no region is left.
 5. Components of the links join the classes; each document takes its class's component.
@@ -23,7 +28,7 @@ distance each. Texts are read again only for points that share a region with ano
 
 Lower-casing is of A-Z only. A text with fewer words than a shingle is one shingle; a null or empty
 text is the empty set, linked with nothing, its own component. Repeated ids are classed row by row;
-a null id never names a component unless no other id is in it. Other columns are ignored.
+a row with a null id makes no link and takes the component of its class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from spanveil.llm.words import Words, mix, slices, whole_windows, windows, words
 
 U = np.uint64
 SKETCH_BITS, SKETCH_PARTS = 20, 64
-RADIUS = 0.5
+RADIUS = 0.2
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -67,25 +72,51 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(np.sum(mix(s, 5), dtype=U)[None] ^ U(len(s)), 6).view(np.int64)[0]) if len(s) else 0
 
 
+def signature(s: np.ndarray) -> bytes | None:
+    """How many members fall in each hash bucket; about n / 8 buckets, a power of two of them."""
+    bits = max(3, (len(s) // 8).bit_length())
+    counts = np.bincount((mix(s, 8) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def most_common(a: bytes | None, b: bytes | None, n: int, m: int) -> int:
+    """An upper bound of the members that two sets share, from their signatures."""
+    if a is None or b is None:
+        return min(n, m)
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))  # buckets are leading bits: fold the finer signature
+    x, y = x.reshape(size, -1).sum(axis=1, dtype=np.int64), y.reshape(size, -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(x, y).sum())
+
+
+def band_bounds(percent: int, most: int) -> np.ndarray:
+    """Least size of each band. A linked partner of a size is at most one band away."""
+    out = [1, 2]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
+    return np.array([*out, max(out[-1] + 1, -(-100 * out[-1] // percent))])
+
+
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
+        names = ["doc", "n", "cls", "sig", "part", "counts"]
         for batch in slices(batches, "text", 4 << 20):
-            sets = shingle_sets(words(batch.column("text")), k)
+            sets, kind = shingle_sets(words(batch.column("text")), k), batch.column("doc").type
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64),
                                       minlength=1 << SKETCH_BITS)
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([class_of(s) for s in sets], pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc", "n", "cls", "part", "counts"])
+                 pa.array([class_of(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if sketch.any():
             parts = [p.astype("<u4").tobytes() for p in np.split(sketch, SKETCH_PARTS)]
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
-                ["doc", "n", "cls", "part", "counts"])
+                [none.cast(kind), none, none, pa.nulls(len(parts), pa.binary()),
+                 pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -100,27 +131,44 @@ def _prefixes(k: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = np.frombuffer(counts.value, "<u4"), set()
         for batch in slices(batches, "text", 4 << 20):
-            keys, classes, sizes = [], [], []
-            for s in shingle_sets(words(batch.column("text")), k):
+            regions, classes, sizes, homes = [], [], [], []
+            sets = shingle_sets(words(batch.column("text")), k)
+            bounds = band_bounds(percent, max([1, *map(len, sets)]))
+            for s in sets:
                 n, cls = len(s), class_of(s)
                 if not n or cls in seen:
                     continue
                 if len(seen) < 1_000_000:  # copies in the same task: their rows would be equal
                     seen.add(cls)
                 count = order[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                most = n - -(-percent * n // 100) + 1
-                first = s[np.argsort(count, kind="stable")[:most]]
-                keys.append(first)
-                classes.append(np.full(len(first), cls, np.int64))
-                sizes.append(np.full(len(first), n, np.int32))
-            if keys:
+                s = s[np.argsort(count, kind="stable")]
+                band, least = int(np.searchsorted(bounds, n, side="right")) - 1, -(-percent * n // 100)
+                # partners of the own band and the one below; then those of the band above
+                for at, partner in ((band, max(least, int(bounds[max(band - 1, 0)]))), (band + 1, int(bounds[band + 1]))):
+                    if percent * partner > 100 * n:
+                        continue
+                    overlap = -(-percent * (n + partner) // (100 + percent))
+                    first = s[:n - overlap + 1]
+                    regions.append(mix(first, 100 + at))
+                    classes.append(np.full(len(first), cls, np.int64))
+                    sizes.append(np.full(len(first), n, np.int32))
+                    homes.append(np.full(len(first), at == band))
+            if regions:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes)),
-                     pa.array(np.concatenate(sizes))], ["g", "x", "n"])
+                    [pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.concatenate(classes)),
+                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(homes))], ["g", "x", "n", "home"])
 
     return run
 
 
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c = {name: batch.column(name).to_pylist() for name in ("su", "sv", "nu", "nv")}
+        most = [most_common(*row) for row in zip(c["su"], c["sv"], c["nu"], c["nv"])]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(most, pa.int64()),
+                                          batch.column("nu"), batch.column("nv")], ["u", "v", "most", "nu", "nv"])
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -149,13 +197,13 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     given = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = given.schema["doc"].dataType.simpleString()
     features = hold(given.mapInArrow(
-        _features(shingle), f"doc {kind}, n long, cls long, part int, counts binary"), "features")
+        _features(shingle), f"doc {kind}, n long, cls long, sig binary, part int, counts binary"), "features")
     points = features.where("part IS NULL").select("doc", "n", "cls")
-    classes = hold(points.where("n > 0").groupBy("cls").agg(
-        F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
+    classes = hold(features.where("part IS NULL AND n > 0 AND doc IS NOT NULL").groupBy("cls").agg(
+        F.min("doc").alias("doc"), F.max("n").cast("int").alias("n"), F.first("sig").alias("sig")), "classes")
     links = _links(spark, given, features, classes, shingle, percent)
 
-    names = classes.where("doc IS NOT NULL").select("cls", "doc")
+    names = classes.select("cls", "doc")
     edges = (links.join(names.withColumnRenamed("doc", "a"), links.x == names.cls).drop("cls")
              .join(names.withColumnRenamed("doc", "b"), F.col("p") == F.col("cls")).select("a", "b"))
     merged = components(edges)
@@ -174,29 +222,27 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
         _add, "part int, counts binary").collect()  # SKETCH_PARTS rows of a fixed size
     whole = b"".join(r["counts"] for r in sorted(parts, key=lambda r: r["part"]))
     counts = spark.sparkContext.broadcast(whole or bytes(4 << SKETCH_BITS))
-    rows = given.where("text IS NOT NULL").mapInArrow(_prefixes(k, percent, counts), "g long, x long, n int")
+    rows = given.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(
+        _prefixes(k, percent, counts), "g long, x long, n int, home boolean")
     group = Window.partitionBy("g")
-    regions = hold(rows.withColumns({"low": F.min("x").over(group), "high": F.max("x").over(group)}).where(
-        "low < high").select("g", "x", "n").distinct().withColumns(
-        {"home": F.lit(True), "label": F.lit(None).cast("bigint")}), "regions")
-
-    wanted = regions.select(F.col("x").alias("cls")).distinct()
-    texts = hold(classes.join(wanted, "cls", "left_semi").select("doc").distinct(), "wanted")
-    sets = hold(join_checked(given, texts, "doc", "left_semi").mapInArrow(
-        _sets(k), "x long, members array<bigint>").join(
-            wanted.withColumnRenamed("cls", "x"), "x", "left_semi").dropDuplicates(["x"]), "sets")
-
-    reach = 100 - percent  # r, in hundredths
-    radius = int(100 * RADIUS)
-    found, pivots, n = None, 1, regions.count()
+    rows = rows.withColumns({"low": F.min("x").over(group), "high": F.max("x").over(group),
+                             "any_home": F.max("home").over(group)}).where("low < high AND any_home")
+    regions = hold(_once(rows.select("g", "x", "n", "home").distinct().withColumn(
+        "label", F.lit(None).cast("bigint"))), "regions")
+
+    reach, radius = 100 - percent, round(100 * RADIUS)  # r and the radius, in hundredths
+    kept = 100 - radius - reach
+    found, sets, pivots, n = None, None, 1, regions.count()
     while n:
-        chosen = _pivots(regions, pivots)
+        chosen = hold(_pivots(regions, pivots), "pivots")
         near = regions.join(chosen, "g").where("x <> p")
-        # beyond RADIUS + r a distance is as good as 1; sizes alone may say so
-        near = near.withColumn("far", 100 * F.least("n", "pn") < (100 - radius - reach) * F.greatest("n", "pn"))
-        near = hold(near, "near")
-        pairs = near.where("NOT far").select(
+        pairs = near.where(f"100 * least(n, pn) >= {kept} * greatest(n, pn)").select(
             F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")).distinct()
+        half = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias("s" + c), F.col("n").alias("n" + c))
+        pairs = hold(pairs.join(half("u"), "u").join(half("v"), "v").mapInArrow(
+            _bounds, "u long, v long, most long, nu int, nv int").where(
+            f"100 * most >= {kept} * (nu + nv - most)").select("u", "v"), "pairs")
+        sets = _fetch(given, classes, pairs, sets, k)
         known = pairs.join(sets.select(F.col("x").alias("u"), F.col("members").alias("su")), "u").join(
             sets.select(F.col("x").alias("v"), F.col("members").alias("sv")), "v").select(
             "u", "v", F.size(F.array_intersect("su", "sv")).alias("both"),
@@ -218,6 +264,27 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
     return found if found is not None else spark.createDataFrame([], "x long, p long")
 
 
+def _fetch(given: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFrame | None, k: int) -> DataFrame:
+    """The sets (x, members) of all points of the pairs, those that are there already included."""
+    wanted = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select(F.col("x").alias("cls")), "cls", "left_anti")
+    wanted = hold(classes.join(wanted, "cls", "left_semi").select("cls", "doc"), "wanted")
+    new = join_checked(given, wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(
+        _sets(k), "x long, members array<bigint>").join(
+        wanted.select(F.col("cls").alias("x")), "x", "left_semi").dropDuplicates(["x"])
+    new = hold(new, "sets")
+    return new if sets is None else sets.unionByName(new)
+
+
+def _once(regions: DataFrame) -> DataFrame:
+    """Regions of the same points and labels (met under several shingles) only once."""
+    prints = regions.groupBy("g").agg(
+        F.count("*").alias("rows"), F.sum(F.xxhash64("x", "home", "label").cast("decimal(38,0)")).alias("print"))
+    once = prints.where("rows > 1").groupBy("rows", "print").agg(F.min("g").alias("g")).select("g")
+    return regions.join(once, "g", "left_semi")
+
+
 def _next(near: DataFrame, r: float, radius: float, slack: float = 1e-9) -> DataFrame:
     """Cells and rests of all regions, without those that have no pair left to compare."""
     own = near.groupBy("g", "x").agg(
@@ -238,8 +305,4 @@ def _next(near: DataFrame, r: float, radius: float, slack: float = 1e-9) -> Data
         F.count("label").alias("labelled"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("closest"))
     open_ = per.where("rows > 1 AND any_home AND NOT (labelled = rows AND l1 = l2)").select("g", "closest")
     out = out.join(open_, "g").where(~F.col("linked") | (F.col("d") + r + slack >= F.col("closest")))
-    # equal regions (the same points met under several shingles) go on once
-    prints = out.groupBy("g").agg(
-        F.count("*").alias("rows"), F.sum(F.xxhash64("x", "home", "label").cast("decimal(38,0)")).alias("print"))
-    once = prints.where("rows > 1").groupBy("rows", "print").agg(F.min("g").alias("g")).select("g")
-    return out.join(once, "g", "left_semi").select("g", "x", "n", "home", "label")
+    return _once(out.select("g", "x", "n", "home", "label"))
