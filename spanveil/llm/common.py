@@ -42,8 +42,8 @@ def hold(df: DataFrame, name: str) -> DataFrame:
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """crc32 of the id as text (null: empty), modulo ``folds``."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanveil.llm.common import table
+from spanveil.llm.common import crc_fold, table
 from spanveil.llm.decontaminate import benchmark_matches, contaminated
 from spanveil.llm.jaccard_join import similar_components
+from spanveil.llm.languages import learn, predict
 from spanveil.llm.quality import apply_policy, ledger
+from spanveil.llm.secrets import find_secrets, infer, labelled
 from spanveil.llm.substrings import remove_repeats
 from spanveil.llm.tokenize import encode
 from spanveil.llm.urls import judge
@@ -33,6 +35,24 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = learn(docs.where(crc_fold(F.col("doc_id"), 3) != 1))
+    return predict(docs.select("doc_id", "text"), prototypes).select(
+        "doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, infer(labelled(docs)))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(told(F.filter("secrets", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
+                        told(F.col("secrets")).alias("spans"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = round_trip(table(spark, sf_dir, "pages"), least_bytes=0).where("record_type <> 'gap'")
     return records.select(
@@ -58,5 +78,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_substrings, op7_warc, op8_quality_rules,
-                                   op9_decontaminate, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_substrings, op5_languages, op6_secrets, op7_warc,
+                                   op8_quality_rules, op9_decontaminate, op10_url_filter)}
