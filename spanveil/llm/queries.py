@@ -11,6 +11,7 @@ from spanveil.llm.common import crc_fold, table
 from spanveil.llm.decontaminate import benchmark_matches, contaminated
 from spanveil.llm.jaccard_join import similar_components
 from spanveil.llm.languages import learn, predict
+from spanveil.llm.mixing import language_scores
 from spanveil.llm.quality import apply_policy, ledger
 from spanveil.llm.secrets import find_secrets, infer, labelled
 from spanveil.llm.substrings import remove_repeats
@@ -30,6 +31,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_fold(F.col("doc_id"), 7) == 2
+    scored = language_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score", "bits_per_byte")
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -78,5 +86,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op4_substrings, op5_languages, op6_secrets, op7_warc,
-                                   op8_quality_rules, op9_decontaminate, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_lm_scoring, op4_substrings, op5_languages, op6_secrets,
+                                   op7_warc, op8_quality_rules, op9_decontaminate, op10_url_filter)}
