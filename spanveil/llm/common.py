@@ -82,7 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, elements: str = "1",
-                 most: int = 200_000) -> DataFrame:
+                 most: int = 20_000) -> DataFrame:
     """Join with a held frame: broadcast it if it is small, else leave the shuffle to Spark.
 
     ``elements``: SQL for how many values a row of it holds; ``most`` bounds their sum.
