@@ -41,6 +41,13 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text (null: empty), modulo ``folds``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -41,23 +41,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements (all long)."""
     df = docs.drop(*MEASURES)
     kept = df.columns
-    df = settle(df, {"_text": f"coalesce(CAST(`{text}` AS STRING), '')"})
+    df = settle(df, {"_quality_text": f"coalesce(CAST(`{text}` AS STRING), '')"})
     df = settle(df, {
-        "_words": f"array_remove(split(_text, '{BLANK}+'), '')",
-        "_lines": f"filter(split(_text, '\\\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"})
+        "_quality_words": f"array_remove(split(_quality_text, '{BLANK}+'), '')",
+        "_quality_lines": f"filter(split(_quality_text, '\\\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"})
     df = settle(df, {
-        "n_words": "CAST(size(_words) AS BIGINT)",
-        "word_chars": "CAST(char_length(array_join(_words, '')) AS BIGINT)",
-        "n_symbols": "CAST(regexp_count(_text, '[#*$%&|<>]') AS BIGINT)",
-        "n_lines": "CAST(size(_lines) AS BIGINT)",
-        "n_dup_lines": "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)",
-        "_windows": ("sort_array(transform(if(size(_words) < 3, CAST(array() AS ARRAY<INT>), sequence(0, size(_words) - 3)), "
-                     "i -> named_struct('h', xxhash64(_words[i], _words[i + 1], _words[i + 2]), 'i', i)))")})
-    df = settle(df, {"_at": (
-        "sort_array(transform(filter(_windows, (w, i) -> (i > 0 AND _windows[greatest(i - 1, 0)].h = w.h) OR "
-        "(i < size(_windows) - 1 AND _windows[least(i + 1, size(_windows) - 1)].h = w.h)), w -> w.i))")})
+        "n_words": "CAST(size(_quality_words) AS BIGINT)",
+        "word_chars": "CAST(char_length(array_join(_quality_words, '')) AS BIGINT)",
+        "n_symbols": "CAST(regexp_count(_quality_text, '[#*$%&|<>]') AS BIGINT)",
+        "n_lines": "CAST(size(_quality_lines) AS BIGINT)",
+        "n_dup_lines": "CAST(size(_quality_lines) - size(array_distinct(_quality_lines)) AS BIGINT)",
+        "_quality_windows": ("sort_array(transform(if(size(_quality_words) < 3, CAST(array() AS ARRAY<INT>), sequence(0, size(_quality_words) - 3)), "
+                     "i -> named_struct('h', xxhash64(_quality_words[i], _quality_words[i + 1], _quality_words[i + 2]), 'i', i)))")})
+    df = settle(df, {"_quality_at": (
+        "sort_array(transform(filter(_quality_windows, (w, i) -> (i > 0 AND _quality_windows[greatest(i - 1, 0)].h = w.h) OR "
+        "(i < size(_quality_windows) - 1 AND _quality_windows[least(i + 1, size(_quality_windows) - 1)].h = w.h)), w -> w.i))")})
     df = settle(df, {"n_repeat_words": (
-        "aggregate(_at, named_struct('n', 0L, 'to', 0), (a, i) -> named_struct("
+        "aggregate(_quality_at, named_struct('n', 0L, 'to', 0), (a, i) -> named_struct("
         "'n', a.n + (i + 3 - greatest(i, a.to)), 'to', i + 3), a -> a.n)")})
     return df.select(*[F.col(f"`{c}`") for c in kept], *MEASURES)
 
@@ -72,11 +72,7 @@ def failures(rules: dict[str, str] = RULES) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text", rules: dict[str, str] = RULES) -> DataFrame:
     """Add the measurements and ``failures``."""
-    return settle_failures(measure(docs.drop("failures"), text), rules)
-
-
-def settle_failures(measured: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    return measured.withColumn("failures", failures(rules))
+    return measure(docs.drop("failures"), text).withColumn("failures", failures(rules))
 
 
 def mask(policy: str, rules: dict[str, str] = RULES, policies: dict[str, tuple[str, ...]] = POLICIES) -> int:

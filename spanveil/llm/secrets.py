@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from spanveil.llm.common import free_name
 from spanveil.llm.words import slices, text_bytes
 
 #: Fixed patterns: kind, expression, group that is measured, least length of it.
@@ -252,13 +253,14 @@ def find_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "t
 
 def mask_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The rows with every secret of the text replaced; overlapping spans are one. Null stays null."""
-    found = find_secrets(docs, automata, text, "_secrets")
+    spans, out = free_name(docs, "_secrets"), free_name(docs, "_masked")
+    found = find_secrets(docs, automata, text, spans)
     merged = F.expr(
-        "aggregate(_secrets, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>), (a, x) -> if(size(a) > 0 AND "
+        f"aggregate({spans}, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>), (a, x) -> if(size(a) > 0 AND "
         "x.start < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, "
         "'e', greatest(element_at(a, -1).e, x.end)))), array_append(a, named_struct('s', x.start, 'e', x.end))))")
-    done = found.withColumn("_secrets", merged).withColumn("_out", F.expr(
-        f"aggregate(_secrets, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.e, 'out', "
+    done = found.withColumn(spans, merged).withColumn(out, F.expr(
+        f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.e, 'out', "
         f"concat(a.out, substring(`{text}`, a.at + 1, x.s - a.at), '{mask}')), "
         f"a -> concat(a.out, substring(`{text}`, a.at + 1, length(`{text}`))))"))
-    return done.select(*[F.col("_out").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*[F.col(out).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
