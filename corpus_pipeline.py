@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanveil.llm.common import crc_fold, hold, table
+from spanveil.llm.common import crc_fold, free_name, hold, table
 from spanveil.llm.decontaminate import decontaminate
 from spanveil.llm.jaccard_join import similar_components
 from spanveil.llm.languages import UNDETERMINED, learn, predict
@@ -29,18 +29,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Languages are learned from the labelled rows of this stage's input, one fold of three apart.
     """
     prototypes = learn(docs.where(crc_fold(F.col("doc_id"), 3) != 1))
-    named = predict(docs, prototypes, lang_as="_lang", score_as="_score").where(F.col("_lang") != UNDETERMINED)
-    return named.select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    named = predict(docs, prototypes, lang_as=lang, score_as=score).where(F.col(lang) != UNDETERMINED)
+    return named.select(*[F.col(lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Rows that repeat the id that stays: one of them stays. Empty texts are linked with nothing.
+    Of rows that repeat an id one stays. Empty texts are linked with nothing; rows with a null id
+    make no link and stay.
     """
     groups = similar_components(docs, shingle=SHINGLE, percent=PERCENT)
     gone = hold(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = hold(groups.where("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count().where(
+        "count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
+        kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
