@@ -16,11 +16,12 @@ obeys the triangle inequality. Linked are sets with d <= r (r = 1 - threshold).
    other point belongs to the Voronoi cell of its nearest pivot when that is within ``RADIUS``, else
    to the rest of the region. By the triangle inequality a point linked with one of cell p is at
    most 2r further from p than from its own pivot, and at most RADIUS + r away from p: points in
-   that window are replicated into the cell. Points within r of the pivot are settled, they are in
-   one component; settled points that no unsettled point of the cell can reach are dropped, and so
-   are cells without a pair left to compare.
-4. Cells and rests are the regions of the next round, with four times as many pivots at most.
-   Rounds go on until no region is left.
+   that window are replicated into the cell. Where windows would more than double a region it stays
+   in one piece.
+4. Cells and rests are the regions of the next round, with four times as many pivots at most. Links
+   found so far join points to components; a region in which all points are of one component has no
+   pair left to compare and is dropped. Pivots are taken from all but a region's largest component,
+   so it is done when the others are. Rounds go on until no region is left.
 5. Components of the links join the classes; each document takes its class's component.
 
 No pair of a region is made except with pivots, so a group of thousands of near copies costs one
@@ -180,11 +181,32 @@ def _sets(k: int):
     return run
 
 
+def _open(regions: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """Regions with pairs left to compare, each only once: (g, x, n, home, minor).
+
+    ``minor``: not of the largest component in the region.
+    """
+    if merged is None:
+        rows = regions.withColumn("label", F.col("x"))
+    else:
+        rows = regions.join(merged.withColumnRenamed("node", "x"), "x", "left").withColumn(
+            "label", F.coalesce("component", "x")).drop("component")
+    parts = rows.groupBy("g", "label").agg(
+        F.count("*").alias("rows"), F.max("home").alias("home"),
+        F.sum(F.xxhash64("x", "home").cast("decimal(38,0)")).alias("print"))
+    per = parts.groupBy("g").agg(F.max(F.struct("rows", "label")).alias("largest"), F.count("*").alias("parts"),
+                                 F.max("home").alias("any_home"), F.sum("rows").alias("rows"), F.sum("print").alias("print"))
+    # regions of the same points, met under several shingles, go on once
+    once = per.where("parts > 1 AND any_home").groupBy("rows", "print").agg(
+        F.min(F.struct("g", "largest.label")).alias("one")).select(F.col("one.g").alias("g"), F.col("one.label").alias("most"))
+    return rows.join(once, "g").select("g", "x", "n", "home", (F.col("label") != F.col("most")).alias("minor"))
+
+
 def _pivots(regions: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` points per region as pivots (g, p, pn), unsettled ones first."""
+    """Up to ``most`` points per region as pivots (g, p, pn), none of the largest component."""
     salt = F.pmod(F.xxhash64("x", F.lit(most)), F.lit(most))
-    return (regions.groupBy("g", salt.alias("salt"))
-            .agg(F.min(F.struct(F.col("label").isNotNull(), "x", "n")).alias("m")).select("g", F.col("m.x").alias("p"), F.col("m.n").alias("pn")))
+    return (regions.where("minor").groupBy("g", salt.alias("salt")).agg(F.min(F.struct("x", "n")).alias("m"))
+            .select("g", F.col("m.x").alias("p"), F.col("m.n").alias("pn")))
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4,
@@ -227,13 +249,15 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
     group = Window.partitionBy("g")
     rows = rows.withColumns({"low": F.min("x").over(group), "high": F.max("x").over(group),
                              "any_home": F.max("home").over(group)}).where("low < high AND any_home")
-    regions = hold(_once(rows.select("g", "x", "n", "home").distinct().withColumn(
-        "label", F.lit(None).cast("bigint"))), "regions")
+    regions = hold(rows.select("g", "x", "n", "home").distinct(), "rows")
 
     reach, radius = 100 - percent, round(100 * RADIUS)  # r and the radius, in hundredths
     kept = 100 - radius - reach
-    found, sets, pivots, n = None, None, 1, regions.count()
-    while n:
+    found, sets, merged, pivots = None, None, None, 1
+    while True:
+        regions = hold(_open(regions, merged), "regions")
+        if regions.isEmpty():
+            break
         chosen = hold(_pivots(regions, pivots), "pivots")
         near = regions.join(chosen, "g").where("x <> p")
         pairs = near.where(f"100 * least(n, pn) >= {kept} * greatest(n, pn)").select(
@@ -252,14 +276,12 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
         new = known.where(f"100 * both >= {percent} * either").select(F.col("u").alias("x"), F.col("v").alias("p"))
         found = new if found is None else found.unionByName(new)
 
-        # from here on distances are exact fractions: d = 1 - both / either
+        if not new.isEmpty():
+            merged = hold(components(found.select(F.col("x").alias("a"), F.col("p").alias("b"))), "merged")
         near = near.join(known, (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v")), "left").select(
-            "g", "x", "n", "home", "label", "p",
-            F.coalesce(1 - F.col("both") / F.col("either"), F.lit(1.0)).alias("d"),
-            F.coalesce(F.expr(f"100 * both >= {percent} * either"), F.lit(False)).alias("linked"))
+            "g", "x", "n", "home", "p", F.coalesce(1 - F.col("both") / F.col("either"), F.lit(1.0)).alias("d"))
         near = near.join(chosen.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")  # pivots leave
-        regions = hold(_next(near, reach / 100, RADIUS), "regions")
-        n = regions.count()
+        regions = hold(_next(near, reach / 100, RADIUS), "rows")
         pivots = min(pivots * 4, 1 << 20)
     return found if found is not None else spark.createDataFrame([], "x long, p long")
 
@@ -277,32 +299,21 @@ def _fetch(given: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFra
     return new if sets is None else sets.unionByName(new)
 
 
-def _once(regions: DataFrame) -> DataFrame:
-    """Regions of the same points and labels (met under several shingles) only once."""
-    prints = regions.groupBy("g").agg(
-        F.count("*").alias("rows"), F.sum(F.xxhash64("x", "home", "label").cast("decimal(38,0)")).alias("print"))
-    once = prints.where("rows > 1").groupBy("rows", "print").agg(F.min("g").alias("g")).select("g")
-    return regions.join(once, "g", "left_semi")
-
-
 def _next(near: DataFrame, r: float, radius: float, slack: float = 1e-9) -> DataFrame:
-    """Cells and rests of all regions, without those that have no pair left to compare."""
+    """Cells and rests of all regions (g, x, n, home), or whole regions where windows would blow them up."""
     own = near.groupBy("g", "x").agg(
         F.min(F.struct("d", "p")).alias("nearest"), F.first("n").alias("n"), F.first("home").alias("home"),
-        F.first("label").alias("label"))
-    rest = own.where(F.col("nearest.d") > radius).select(
-        F.xxhash64("g", F.lit("rest")).alias("g"), "x", "n", "home", "label", F.lit(1.0).alias("d"), F.lit(False).alias("linked"))
-    at = near.join(own.select("g", "x", "nearest"), ["g", "x"])
+        F.sort_array(F.collect_list(F.when(F.col("d") <= radius + r + slack, F.struct("d", "p")))).alias("reached"))
+    # where a point goes: its own cell (or the rest), then the cells whose windows hold it
     celled = F.col("nearest.d") <= radius
-    in_cell = celled & (F.col("p") == F.col("nearest.p"))
-    window = (F.col("d") <= radius + r + slack) & (~celled | (F.col("d") <= F.col("nearest.d") + 2 * r + slack))
-    cells = at.where(in_cell | window).select(
-        F.xxhash64("g", "p").alias("g"), "x", "n", (F.col("home") & in_cell).alias("home"),
-        F.when(F.col("linked"), F.col("p")).otherwise(F.col("label")).alias("label"), "d", "linked")
-    out = cells.unionByName(rest)
-    per = out.groupBy("g").agg(
-        F.count("*").alias("rows"), F.max("home").alias("any_home"), F.min("label").alias("l1"), F.max("label").alias("l2"),
-        F.count("label").alias("labelled"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("closest"))
-    open_ = per.where("rows > 1 AND any_home AND NOT (labelled = rows AND l1 = l2)").select("g", "closest")
-    out = out.join(open_, "g").where(~F.col("linked") | (F.col("d") + r + slack >= F.col("closest")))
-    return _once(out.select("g", "x", "n", "home", "label"))
+    home = F.struct(F.when(celled, F.xxhash64("g", "nearest.p")).otherwise(F.xxhash64("g", F.lit("rest"))).alias("g"),
+                    F.col("home").alias("home"))
+    more = F.transform(
+        F.filter("reached", lambda c: (~celled | (c["p"] != F.col("nearest.p")))
+                 & (~celled | (c["d"] <= F.col("nearest.d") + 2 * r + slack))),
+        lambda c: F.struct(F.xxhash64("g", c["p"]).alias("g"), F.lit(False).alias("home")))
+    own = own.select("g", "x", "n", "home", F.concat(F.array(home), more).alias("places"))
+    whole = own.groupBy("g").agg((F.sum(F.size("places")) > 2 * F.count("*")).alias("whole"))
+    placed = own.join(whole, "g").select("x", "n", F.explode(F.when(
+        F.col("whole"), F.array(F.struct(F.col("g").alias("g"), F.col("home").alias("home")))).otherwise(F.col("places"))).alias("at"))
+    return placed.select("at.g", "x", "n", "at.home")
