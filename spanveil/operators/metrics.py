@@ -51,13 +51,14 @@ def character_counts(texts: DataFrame, truth: DataFrame, predicted: DataFrame, k
 
     Spans become +1/-1 events per position; a running sum per text gives the
     cover between two positions. Nothing grows with the number of characters.
-    Spans outside their text raise an error.
+    Spans outside their text, or of no text, raise an error.
     """
     lengths = texts.select(*keys, F.length(text_col).alias("_len"))
     spans = truth.select(*keys, "start", "end", F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
         predicted.select(*keys, "start", "end", F.lit(0).alias("t"), F.lit(1).alias("p")))
     bad = (F.col("start") < 0) | (F.col("end") < F.col("start")) | (F.col("end") > F.col("_len"))
-    checked = spans.join(lengths, keys).select(
+    bad = bad | F.col("_len").isNull()  # of a text that is not there
+    checked = spans.join(lengths, keys, "left").select(
         *keys, "t", "p", F.when(bad, F.raise_error(F.concat_ws(
             " ", F.lit("Invalid entity span:"), F.col("start"), F.col("end")))).otherwise(
             F.col("start")).alias("start"), "end")

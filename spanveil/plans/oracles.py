@@ -251,12 +251,20 @@ def oracle_sql() -> dict[str, str]:
                 - len(list_filter(range(0, len), lambda i: coalesce(i >= ts AND i < te, false)
                   <> coalesce(i >= ps AND i < pe, false)))) AS BIGINT) AS agree FROM sides)
             SELECT characters, agree, round(agree / characters, 6) AS accuracy FROM counts""",
-        "span_metrics_report": f"""WITH {TRUTH_CTE},
+        "span_metrics_report": f"""WITH {TRUTH_CTE}, sides AS (
+                SELECT n.note_id, length(n.text) AS len, t.s AS ts, t.e AS te, p.s AS ps, p.e AS pe
+                FROM notes n LEFT JOIN truth t USING (note_id) LEFT JOIN predicted p USING (note_id)),
+            counts AS (SELECT sum(len) AS characters, sum(len
+                - len(list_filter(range(0, len), lambda i: coalesce(i >= ts AND i < te, false)
+                  <> coalesce(i >= ps AND i < pe, false)))) AS agree FROM sides),
             kinds AS (SELECT kind, count(*) FILTER (t) AS nt, count(*) FILTER (p) AS np
                       FROM compared GROUP BY kind)
             SELECT unnest(['Total ground-truth entities', 'Total detected entities', 'True positives',
                 'False positives', 'False negatives']) AS metric,
                 CAST(unnest([tp + fn, tp + fp, tp, fp, fn]) AS STRING) AS value FROM cells
+            UNION ALL SELECT unnest(['Precision', 'Recall', 'F1 Score']), format('{{:.6f}}',
+                unnest([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)])) FROM cells
+            UNION ALL SELECT 'Accuracy', format('{{:.6f}}', agree / characters) FROM counts
             UNION ALL SELECT 'Ground-truth entity counts', '{{' || string_agg('"' || kind || '":' || nt, ','
                 ORDER BY kind) || '}}' FROM kinds WHERE nt > 0
             UNION ALL SELECT 'Detected entity counts', '{{' || string_agg('"' || kind || '":' || np, ','
@@ -270,14 +278,16 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(round(tp / nullif(tp + fp, 0), 6), 0) AS precision,
                 coalesce(round(tp / nullif(tp + fn, 0), 6), 0) AS recall,
                 coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1 FROM cells""",
-        "review_sheet": f"""WITH found AS (SELECT DISTINCT text AS original, lower(text) AS v FROM ({ALL_HITS})),
-            hits AS (SELECT original, doc_id, d.text, strpos(lower(d.text), v) AS pos, length(v) AS n,
+        "review_sheet": f"""WITH found AS (SELECT DISTINCT text AS original, lower(text) AS v, entity_type AS kind FROM ({ALL_HITS})),
+            kinds AS (SELECT entity_type AS kind, count(*) AS spans FROM ({ALL_HITS}) GROUP BY entity_type),
+            hits AS (SELECT original, kind, doc_id, d.text, strpos(lower(d.text), v) AS pos, length(v) AS n,
                 (length(d.text) - length(replace(lower(d.text), v, ''))) / length(v) AS c
                 FROM found JOIN documents d ON contains(lower(d.text), v))
-            SELECT original, CAST(sum(c) AS BIGINT) AS original_occurrences,
+            SELECT original, '<' || kind || '>' AS replacement, CAST(sum(c) AS BIGINT) AS original_occurrences,
+                any_value(spans) AS replacement_occurrences, '' AS entity_type, '' AS notes,
                 min_by(replace(replace(substr(text, greatest(pos - 100, 1), CAST(pos - greatest(pos - 100, 1)
                     + n + 100 AS BIGINT)), chr(13), ' '), chr(10), ' '), doc_id) AS source_context,
-                '' AS is_actual_pii FROM hits GROUP BY original""",
+                '' AS is_actual_pii FROM hits JOIN kinds USING (kind) GROUP BY original, kind""",
         "word_occurrences": """WITH words AS (SELECT DISTINCT CASE c_custkey % 6 WHEN 0 THEN 'Th'
                 WHEN 1 THEN 'ingin' WHEN 2 THEN 'E' WHEN 3 THEN 'the entionly' WHEN 4 THEN 'ANDTHE'
                 ELSE 'Not There ' || CAST(c_custkey AS STRING) END AS value FROM customer)
@@ -295,7 +305,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_redaction": f"""SELECT conv_id, turn, replace(text, 'user' || CAST(conv_id AS STRING)
             || '@mail.example.com', '<EMAIL>') AS redacted FROM ({CHATS})""",
         "stream_mapping": f"""SELECT DISTINCT 'user' || CAST(conv_id AS STRING) || '@mail.example.com'
-            AS original, 'EMAIL' AS entity_type, '<EMAIL>' AS replacement FROM ({CHATS})""",
+            AS original, 'EMAIL' AS entity_type, CASE WHEN conv_id % 3 = 0 THEN 'saved-' ||
+            CAST(conv_id AS STRING) ELSE '<EMAIL>' END AS replacement FROM ({CHATS})""",
+        "stream_mapped_texts": f"""SELECT conv_id, turn, replace(text, 'user' || CAST(conv_id AS STRING)
+            || '@mail.example.com', CASE WHEN conv_id % 3 = 0 THEN 'saved-' || CAST(conv_id AS STRING)
+            ELSE '<EMAIL>' END) AS redacted FROM ({CHATS})""",
         "docx_runs": """SELECT doc_id, CAST(i - 1 AS BIGINT) AS para_no, p[i] AS run_text
             FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
                   FROM (SELECT doc_id, string_split(regexp_replace(text,

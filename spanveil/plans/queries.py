@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -28,12 +26,12 @@ from spanveil.operators.recognizers import recognize
 from spanveil.operators.redact import redact, redact_runs, replace_text, runs_text
 from spanveil.operators.resolve import dedupe, resolve_overlaps
 from spanveil.plans.planted import gate_cases, notes
-from spanveil.plans.redaction import keep, redact_table
+from spanveil.plans.redaction import keep, new_folder, redact_table
 from spanveil.schema import CANDIDATES, MAPPING
 from spanveil.sources.docx import register_docx
 from spanveil.sources.html import page_paragraphs, page_runs, rebuild_pages
-from spanveil.sources.tables import paragraphs, spread
-from spanveil.streaming.redaction import redact_stream, redact_with_mapping
+from spanveil.sources.tables import paragraphs, spread, write_mapping
+from spanveil.streaming.redaction import redact_stream, redact_with_mapping, stream_mapping_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 MASKS = constant_masks(ENTITY_TYPES)
@@ -77,8 +75,8 @@ def _planted(*types: str) -> Query:
 def _planted_by_label(label: str) -> Query:
     """ADDRESS spans after an office label or a field label."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        some = _notes(spark, sf_dir).where(F.col("prefix") == label)
-        return _long(explode_spans(detect(some), ["note_id"]), "note_id")
+        spans = explode_spans(detect(_notes(spark, sf_dir)), ["note_id", "prefix"])
+        return _long(spans.where(F.col("prefix") == label), "note_id")
     return query
 
 
@@ -139,14 +137,15 @@ def gate_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower bars let more through: PERSON spans under relaxed thresholds."""
-    cases = gate_cases(table(spark, sf_dir, "customer")).where("label = 'PERSON'")
+    cases = gate_cases(table(spark, sf_dir, "customer"))
     texts = cases.withColumn("raw", F.array(F.struct(
         "start", "end", F.expr("substring(text, start + 1, end - start)").alias("text"), "label",
         "score")))
     df = ner_candidates(texts, "raw", "ner")
     relaxed = detect(df, external=["ner"], confidence=0.5, thresholds={"PERSON": 0.6},
                      source_thresholds={"spacy": 0.7})
-    return _long(explode_spans(relaxed, ["note_id"]).where("source = 'spacy'"), "note_id")
+    spans = explode_spans(relaxed, ["note_id", "label"])
+    return _long(spans.where("source = 'spacy' AND label = 'PERSON'"), "note_id")
 
 
 def frequency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,14 +379,18 @@ def span_metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, predicted = _truth(spark, sf_dir), explode_spans(detected, ["note_id"])
     accuracy = M.character_accuracy(M.character_counts(detected, truth, predicted, ["note_id"]))
     report = M.span_report(M.compare_spans(truth, predicted, ["note_id"]), accuracy)
-    return report.where("metric NOT IN ('Precision', 'Recall', 'F1 Score', 'Accuracy')")
+    return report.withColumn("value", F.when(
+        F.col("metric").isin("Precision", "Recall", "F1 Score", "Accuracy"),
+        F.format_number(F.col("value").try_cast("double"), 6)).otherwise(F.col("value")))
 
 
 def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does a card number or mail address predict the label ``toxic``?"""
-    docs = detect(documents(spark, sf_dir), recognizers=["email", "card"]).select(
+    labels = table(spark, sf_dir, "labels")
+    docs = detect(documents(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi"),
+                  recognizers=["email", "card"]).select(
         "doc_id", (F.size("spans") > 0).cast("int").alias("predicted"))
-    pairs = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    pairs = docs.join(labels, "doc_id")
     scores = ["accuracy", "precision", "recall", "f1"]
     return M.binary_metrics(M.binary_counts(pairs, "toxic", "predicted")).select(
         "total", "fp", "fn", *[F.round(c, 6).alias(c) for c in scores])
@@ -397,10 +400,10 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir)
-    detected, mapping, redacted = redact_table(texts, ["doc_id"])
+    detected, mapping, redacted = redact_table(texts, ["doc_id"], generators=MASKS)
     sheet = V.review_sheet(mapping, detected, redacted.select(
         "doc_id", F.col("redacted").alias("text")), ["doc_id"])
-    return sheet.select("original", "original_occurrences", "source_context", "is_actual_pii")
+    return sheet
 
 
 def word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,9 +432,7 @@ def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams and files -----------------------------------------------------------------
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the cluster; local only if none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/spanveil-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spanveil-")
+    return new_folder(spark, "stream")
 
 
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +445,7 @@ def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark)
-    out = redact_stream(_chats(spark, sf_dir), recognizers=["email"], generators=MASKS)
+    out = redact_stream(_chats(spark, sf_dir), generators=MASKS)
     query = out.select("conv_id", "turn", "redacted").writeStream.format("parquet").option(
         "path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
         availableNow=True).start()
@@ -452,12 +453,27 @@ def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("conv_id bigint, turn bigint, redacted string").parquet(f"{folder}/out")
 
 
-def stream_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mapped_chats(spark: SparkSession, sf_dir: str) -> str:
+    """Two jobs, each with a checkpoint of its own, over a mapping that was saved before."""
     folder = _scratch(spark)
-    redact_with_mapping(_chats(spark, sf_dir), ["conv_id", "turn"], f"{folder}/mapping",
-                        f"{folder}/out", f"{folder}/state", recognizers=["email"],
-                        generators=MASKS).awaitTermination()
-    return spark.read.parquet(f"{folder}/mapping").select("original", "entity_type", "replacement")
+    saved = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select(
+        F.expr("'user' || CAST(conv_id AS STRING) || '@mail.example.com'").alias("original"),
+        F.lit("EMAIL").alias("entity_type"),
+        F.expr("'saved-' || CAST(conv_id AS STRING)").alias("replacement")).distinct()
+    write_mapping(saved, f"{folder}/mapping")
+    for job, masks in (("first", MASKS), ("second", None)):  # the second makes no entry anew
+        redact_with_mapping(_chats(spark, sf_dir), ["conv_id", "turn"], f"{folder}/mapping",
+                            f"{folder}/{job}", f"{folder}/state-{job}", generators=masks).awaitTermination()
+    return folder
+
+
+def stream_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_mapping_table(spark, f"{_mapped_chats(spark, sf_dir)}/mapping")
+
+
+def stream_mapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema("conv_id bigint, turn bigint, redacted string").parquet(
+        f"{_mapped_chats(spark, sf_dir)}/second").select("conv_id", "turn", "redacted")
 
 
 def _as_docx(texts: pd.Series) -> pd.Series:
@@ -510,5 +526,6 @@ def queries() -> dict[str, Query]:
         "binary_metrics": binary_metrics, "review_sheet": review_sheet,
         "word_occurrences": word_occurrences, "review_metrics": review_metrics,
         "stream_redaction": stream_redaction, "stream_mapping": stream_mapping,
+        "stream_mapped_texts": stream_mapped_texts,
         "docx_runs": docx_runs,
     }

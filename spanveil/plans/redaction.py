@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +20,34 @@ class Redaction(NamedTuple):
     redacted: DataFrame   # texts with the column ``redacted``
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one in local mode where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spanveil-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one; it goes when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that is read several times: a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a session
-    without one (tests) gets a temporary folder. Checkpoints survive lost executors.
+    The folder is the shared one, so checkpoints survive lost executors; it goes with the session.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanveil-"))
+        context.setCheckpointDir(new_folder(spark, "checkpoints"))
     return df.checkpoint()
 
 

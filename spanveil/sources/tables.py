@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanveil.functions.regex import NOT_SPACE
@@ -30,16 +31,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_mapping(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The saved mapping; empty if there is none."""
+def read_mapping(spark: SparkSession, path: str, fmt: str = "parquet",
+                 unreadable: str = "empty") -> DataFrame:
+    """The saved mapping; empty if there is none, or if it cannot be read (or "error" then)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], MAPPING)
     try:
-        df = spark.read.schema(MAPPING).format(fmt).load(path)
-        df.schema  # resolve now, so that an unreadable folder counts as no mapping
-        return df.where("original IS NOT NULL AND replacement IS NOT NULL")
-    except AnalysisException:
+        # without a schema Spark reads the files' own, so that unreadable ones show now
+        spark.read.option("mergeSchema", True).format(fmt).load(path).schema
+    except (AnalysisException, Py4JJavaError, SparkException):
+        if unreadable != "empty":
+            raise
         return spark.createDataFrame([], MAPPING)
+    return spark.read.schema(MAPPING).format(fmt).load(path).where(
+        "original IS NOT NULL AND replacement IS NOT NULL")
 
 
 def read_legacy_mapping(spark: SparkSession, path: str) -> DataFrame:

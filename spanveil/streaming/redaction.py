@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanveil.functions.pseudonyms import SEED, Generator
@@ -22,42 +24,103 @@ def redact_stream(texts: DataFrame, text_col: str = "text", *, seed: int = SEED,
     return redact(detect(texts, text_col, **options), text_col, seed=seed, generators=generators)
 
 
+BUCKETS = 64
+
+
+def _bucket(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def stream_entries(spark: SparkSession, mapping_path: str) -> DataFrame:
+    """All entries of a mapping folder, with the job and batch that made them.
+
+    Entries that ``write_mapping`` put there have no job. Streams keep theirs in job=../batch_id=../bucket=...
+    """
+    system, root = _files(spark, mapping_path)
+    there = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
+    found = spark.createDataFrame([], f"{MAPPING}, job string, batch_id bigint, bucket int")
+    if any(n.startswith("job=") for n in there):
+        found = spark.read.schema(found.schema).option("basePath", mapping_path).parquet(f"{mapping_path}/job=*")
+    plain = [f"{mapping_path}/{n}" for n in there if n.startswith("part-")]
+    if plain:
+        found = found.unionByName(spark.read.schema(MAPPING).parquet(*plain).withColumns(
+            {"job": F.lit(None).cast("string"), "batch_id": F.lit(None).cast("bigint"), "bucket": _bucket("original")}))
+    return found
+
+
+def stream_mapping_table(spark: SparkSession, mapping_path: str) -> DataFrame:
+    """The mapping in a folder that streams have written, ready for ``write_mapping``.
+
+    An entry made twice (by jobs that ran side by side) counts once: the one that was there
+    before any stream, else that of the first job by name.
+    """
+    rank = F.struct(F.col("job").isNotNull(), "job", "batch_id")
+    return stream_entries(spark, mapping_path).groupBy("original").agg(F.min_by(
+        F.struct("entity_type", "replacement"), rank).alias("e")).select("original", "e.entity_type", "e.replacement")
+
+
+def job_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the job of a checkpoint: made once, kept beside the stream's own state."""
+    system, path = _files(spark, f"{checkpoint}/mapping-job")
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(path, uuid.uuid4().hex))
+    return sorted(s.getPath().getName() for s in system.listStatus(path))[0]
+
+
 def mapped_batch(detected: DataFrame, batch_id: int, keys: list[str], mapping_path: str, *,
-                 text_col: str = "text", seed: int = SEED,
-                 generators: dict[str, Generator] | None = None) -> DataFrame:
+                 job: str = "job", existing: DataFrame | None = None, text_col: str = "text",
+                 seed: int = SEED, generators: dict[str, Generator] | None = None) -> DataFrame:
     """Redact one detected batch with the mapping so far; add its new values to the mapping.
 
-    New entries go to the folder of this batch number. A repeated batch ignores what
-    it wrote before and writes the same again, so retries change nothing.
+    Known is what ``existing`` and the mapping folder hold, of any job, but for the entries
+    that this job made in this batch or later: a repeated batch ignores what it wrote before
+    and writes the same again, so retries change nothing. Only the hash buckets of the
+    mapping that the batch touches are read.
     """
     spark = detected.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(mapping_path)
-    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        known = spark.read.schema(f"{MAPPING}, batch_id bigint").parquet(mapping_path).where(
-            F.col("batch_id") < batch_id).drop("batch_id")
-    else:
-        known = spark.createDataFrame([], MAPPING)
     values = first_types(explode_spans(detected, keys), keys)
+    touched = [r[0] for r in values.select(_bucket("original").alias("b")).distinct().collect()]
+    entries = stream_entries(spark, mapping_path).where(F.col("bucket").isin(touched))
+    own = F.coalesce((F.col("job") == job) & (F.col("batch_id") >= batch_id), F.lit(False))
+    known = entries.where(~own).select("original", "entity_type", "replacement", F.struct(
+        F.lit(1).alias("place"), "job", "batch_id").alias("rank"))
+    if existing is not None:
+        known = known.unionByName(existing.select("original", "entity_type", "replacement", F.struct(
+            F.lit(0).alias("place"), F.lit(None).cast("string").alias("job"),
+            F.lit(None).cast("bigint").alias("batch_id")).alias("rank")))
     # Only entries for values of this batch are needed; the batch is the small side.
-    relevant = known.join(values.select("original"), "original", "left_semi")
+    relevant = known.join(values.select("original"), "original", "left_semi").groupBy("original").agg(
+        F.min_by(F.struct("entity_type", "replacement"), "rank").alias("e")).select(
+        "original", "e.entity_type", "e.replacement")
     new = extend_mapping(values.join(relevant, "original", "left_anti"), seed=seed,
                          generators=generators)
-    folder = f"{mapping_path}/batch_id={batch_id}"
-    new.write.mode("overwrite").parquet(folder)
-    mapping = relevant.unionByName(spark.read.schema(MAPPING).parquet(folder))
+    folder = f"{mapping_path}/job={job}/batch_id={batch_id}"
+    new.withColumn("bucket", _bucket("original")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    mapping = relevant.unionByName(spark.read.schema(f"{MAPPING}, bucket int").parquet(folder).drop("bucket"))
     return redact(with_replacements(detected, keys, mapping), text_col, fakes="fakes", seed=seed,
                   generators=generators).drop("fakes")
 
 
 def redact_with_mapping(texts: DataFrame, keys: list[str], mapping_path: str, output_path: str,
-                        checkpoint: str, *, text_col: str = "text", seed: int = SEED,
+                        checkpoint: str, *, existing: DataFrame | None = None,
+                        text_col: str = "text", seed: int = SEED,
                         generators: dict[str, Generator] | None = None,
                         trigger: dict | None = None, **options) -> StreamingQuery:
     """Stream texts to redacted texts while the mapping grows from batch to batch.
 
-    Output and mapping are written per batch number, so both are exactly-once.
+    Output and mapping are written per batch number, the mapping also per job (kept with the
+    checkpoint), so both are exactly-once and a new checkpoint never touches older entries.
+    The mapping starts from ``existing`` and from all that ``mapping_path`` holds, whether a
+    stream or ``write_mapping`` put it there.
     """
-
+    job = job_of(texts.sparkSession, checkpoint)
     staging = f"{checkpoint}/staging"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -65,8 +128,8 @@ def redact_with_mapping(texts: DataFrame, keys: list[str], mapping_path: str, ou
         # Batches follow each other, so one folder per stream is enough.
         detect(batch, text_col, **options).write.mode("overwrite").parquet(staging)
         detected = batch.sparkSession.read.parquet(staging)
-        mapped_batch(detected, batch_id, keys, mapping_path, text_col=text_col, seed=seed,
-                     generators=generators).write.mode("overwrite").parquet(
+        mapped_batch(detected, batch_id, keys, mapping_path, job=job, existing=existing,
+                     text_col=text_col, seed=seed, generators=generators).write.mode("overwrite").parquet(
             f"{output_path}/batch_id={batch_id}")
 
     return (texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
