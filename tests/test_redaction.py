@@ -192,3 +192,37 @@ def test_stream_equals_batch(spark, tmp_path):
         availableNow=True).start().awaitTermination()
     batch = redact_stream(spark.read.parquet(path)).select("id", "redacted")
     assert sorted(spark.table("redacted_rows").collect()) == sorted(batch.collect())
+
+
+def test_stream_mapping_starts_from_saved_and_survives_new_checkpoints(spark, tmp_path):
+    from spanveil.sources.tables import write_mapping
+    from spanveil.streaming.redaction import redact_with_mapping, stream_entries, stream_mapping_table
+
+    source, mapping = str(tmp_path / "in"), str(tmp_path / "map")
+    write_mapping(spark.createDataFrame([("u1@m.com", "EMAIL", "OLD")], "original string, entity_type string, replacement string"), mapping)
+    given = spark.createDataFrame([("u2@m.com", "EMAIL", "GIVEN"), ("u1@m.com", "EMAIL", "WINS")],
+                                  "original string, entity_type string, replacement string")
+    spark.createDataFrame([(str(i), f"see u{i}@m.com") for i in range(4)], "id string, text string").write.parquet(source)
+    outs = []
+    for job in range(2):
+        texts = spark.readStream.schema("id string, text string").parquet(source)
+        redact_with_mapping(texts, ["id"], mapping, str(tmp_path / f"out{job}"), str(tmp_path / f"state{job}"),
+                            existing=given if job == 0 else None, recognizers=["email"]).awaitTermination()
+        outs.append({r.id: r.redacted for r in spark.read.parquet(str(tmp_path / f"out{job}")).collect()})
+    assert outs[0]["1"] == "see WINS" and outs[0]["2"] == "see GIVEN"
+    assert outs[1]["1"] == "see OLD" and outs[1]["0"] == outs[0]["0"] and outs[1]["3"] == outs[0]["3"]
+    entries = stream_entries(spark, mapping).collect()
+    assert sorted(r.original for r in entries) == ["u0@m.com", "u1@m.com", "u2@m.com", "u3@m.com"]
+    table = {r.original: r.replacement for r in stream_mapping_table(spark, mapping).collect()}
+    assert {f"see {table[f'u{i}@m.com']}" for i in range(4)} == set(outs[1].values())
+
+
+def test_unreadable_mapping(spark, tmp_path):
+    from spanveil.sources.tables import read_mapping
+
+    folder = tmp_path / "broken"
+    folder.mkdir()
+    (folder / "part-0.parquet").write_bytes(b"no parquet")
+    assert read_mapping(spark, str(folder)).count() == 0
+    with pytest.raises(Exception, match="parquet"):
+        read_mapping(spark, str(folder), unreadable="error")
