@@ -2,8 +2,9 @@
 
 A pattern is (flags, prefix, value, tail, first): only ``value`` becomes the span,
 ``tail`` never consumes characters. ``regex.java`` turns them into Java's
-notation with Python's meaning of the character classes. ``first`` (Java notation)
-is implied by the rest and only there for speed: what every match starts with.
+notation with Python's meaning of the character classes. Two parts are only there for
+speed: ``first`` (Java notation) is implied by the rest, what every match starts with;
+``scan`` stands for the prefix on the JVM and finds the same matches in linear time.
 """
 
 from typing import NamedTuple
@@ -15,6 +16,7 @@ class Pattern(NamedTuple):
     value: str
     tail: str = ""
     first: str = ""
+    scan: str = ""
 
     @property
     def python(self) -> str:
@@ -25,7 +27,9 @@ class Pattern(NamedTuple):
 
 # One pattern per recognizer.
 EMAIL = Pattern("", r"\b", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b",
-                "[A-Za-z0-9._%+-]++@")
+                # once per run of local characters (or where the last match ended): is there an
+                # @ after it? If so, from the first word boundary in the run
+                scan=r"(?:\G|(?<![A-Za-z0-9._%+-]))(?=[A-Za-z0-9._%+-]++@)(?>[A-Za-z0-9._%+-]*?\b)")
 PHONE = Pattern("", r"(?<!\d)",
                 r"(?:\+91[\s.-]?)?(?:[6-9]\d{4}[\s.-]?\d{5}|[6-9]\d{9})", r"(?!\d)", "[+6-9]")
 IP_ADDRESS = Pattern("", r"\b", r"(?:\d{1,3}\.){3}\d{1,3}", r"\b", r"\p{Nd}")

@@ -103,3 +103,24 @@ def test_patterns_have_python_form():
     for p in NAMES.values():
         re.compile(p.python)
     assert re.search(P.COMPANY_SUFFIX.python, "Unlimited")
+
+
+def test_mails_in_runs_equal_python(spark, find):
+    """Dense runs of the characters of mail addresses: every start, end and neighbour."""
+    rng = random.Random(11)
+    parts = ["a", "b.co", "@", "@x.com", "%", "+", "-", ".", "_", " ", "é", "ab9", "@y.c", "z@q.org", "中"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    found, _ = find(texts, recognizers=["email"])
+    pattern = re.compile(P.EMAIL.python)
+    for i, t in enumerate(texts):
+        want = [(m.start("v"), m.end("v")) for m in pattern.finditer(t)]
+        assert [(s["start"], s["end"]) for s in found[i]] == want, t
+
+
+def test_mail_pattern_is_linear(find):
+    import time
+
+    find(["x@y " + "a" * 100], recognizers=["email"])
+    start = time.perf_counter()
+    find(["x@y " + "a" * 200_000, "a@" * 60_000, "%" * 200_000 + "@x.com", "a.b" * 60_000 + " @"], recognizers=["email"])
+    assert time.perf_counter() - start < 8
