@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
             least = down.groupBy("a").agg(F.min("b").alias("m"))
             moved = (down.join(least, "a").select(F.col("b").alias("x"), "m")
                      .unionByName(least.select(F.col("a").alias("x"), "m")))
-        return moved.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+        return moved.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -79,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = hold(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = mark(e)
     while before[0]:
-        e = hold(step(step(e, True), False), "edges")
+        e = hold(step(step(e, True), False).distinct(), "edges")
         after = mark(e)
         if after == before:
             break

@@ -274,10 +274,11 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
         known = hold(known.select("u", "v", F.col("both").cast("long").alias("both"),
                                   (F.col("sum") - F.col("both")).cast("long").alias("either")), "known")
         new = known.where(f"100 * both >= {percent} * either").select(F.col("u").alias("x"), F.col("v").alias("p"))
-        found = new if found is None else found.unionByName(new)
-
         if merged is None:  # later links are few: components as they are after the first round will do
-            merged = hold(components(found.select(F.col("x").alias("a"), F.col("p").alias("b"))), "merged")
+            merged = hold(components(new.select(F.col("x").alias("a"), F.col("p").alias("b"))), "merged")
+            found = merged.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("p"))
+        else:
+            found = found.unionByName(new)
         near = near.join(known, (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v")), "left").select(
             "g", "x", "n", "home", "p", F.coalesce(1 - F.col("both") / F.col("either"), F.lit(1.0)).alias("d"))
         near = near.join(chosen.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")  # pivots leave
