@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spanveil.plans import oracles, queries as registered
 
 
 def _rows(names, data):
@@ -25,13 +26,15 @@ def twins(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_query(spark, sf, twins, name):
-    df = entry.queries()[name](spark, sf)
-    cursor = twins.execute(entry.oracle_sql()[name])
+    df = registered.queries()[name](spark, sf)
+    cursor = twins.execute(oracles.oracle_sql()[name])
     assert _rows(df.columns, df.collect()) == _rows(
         [d[0] for d in cursor.description], cursor.fetchall())
 
 
 def test_entry(spark):
+    assert entry.queries().keys() >= registered.queries().keys()
+    assert entry.oracle_sql().keys() >= oracles.oracle_sql().keys()
     assert entry.entry(spark).count() > 0
