@@ -103,5 +103,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
                                            F.first("confidence").alias("confidence"), F.first("support").alias("support"))
             .where("n = size"))
     best = fits.groupBy("set").agg(F.max(F.struct("confidence", "support", "v")).alias("best")).select("set", F.col("best.v").alias("mined"))
-    out = seen.withColumn("set", F.when(F.col("verdict").isNull(), F.xxhash64(F.array_sort("tokens")))).join(best, "set", "left")
+    # decided rows take no part in the join: their sets would all be null, one key
+    open_ = seen.where("verdict IS NULL").withColumn("set", F.xxhash64(F.array_sort("tokens"))).join(best, "set", "left")
+    out = seen.where("verdict IS NOT NULL").withColumn("mined", F.lit(None).cast("string")).unionByName(open_.drop("set"))
     return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", "mined", F.lit(default)).alias("verdict"))
