@@ -18,8 +18,8 @@ obeys the triangle inequality. Linked are sets with d <= r (r = 1 - threshold).
    most 2r further from p than from its own pivot, and at most RADIUS + r away from p: points in
    that window are replicated into the cell. Where windows would more than double a region it stays
    in one piece.
-4. Cells and rests are the regions of the next round, with 16 times as many pivots at most. The
-   links of the first round join points to components; a region in which all points are of one component has no
+4. Cells and rests are the regions of the next round, with four times as many pivots at most. Links
+   found so far join points to components; a region in which all points are of one component has no
    pair left to compare and is dropped. Pivots are taken from all but a region's largest component,
    so it is done when the others are. Rounds go on until no region is left.
 5. Components of the links join the classes; each document takes its class's component.
@@ -253,7 +253,7 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
 
     reach, radius = 100 - percent, round(100 * RADIUS)  # r and the radius, in hundredths
     kept = 100 - radius - reach
-    found, sets, merged, pivots = None, None, None, 1
+    sets, merged, pivots = None, None, 1
     while True:
         regions = hold(_open(regions, merged), "regions")
         if regions.isEmpty():
@@ -274,17 +274,24 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
         known = hold(known.select("u", "v", F.col("both").cast("long").alias("both"),
                                   (F.col("sum") - F.col("both")).cast("long").alias("either")), "known")
         new = known.where(f"100 * both >= {percent} * either").select(F.col("u").alias("x"), F.col("v").alias("p"))
-        if merged is None:  # later links are few: components as they are after the first round will do
-            merged = hold(components(new.select(F.col("x").alias("a"), F.col("p").alias("b"))), "merged")
-            found = merged.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("p"))
-        else:
-            found = found.unionByName(new)
+        links = new.select(F.col("x").alias("a"), F.col("p").alias("b"))
+        if merged is None:
+            merged = hold(components(links), "merged")
+        elif not new.isEmpty():
+            merged = hold(components(links.unionByName(_stars(merged))), "merged")
         near = near.join(known, (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v")), "left").select(
             "g", "x", "n", "home", "p", F.coalesce(1 - F.col("both") / F.col("either"), F.lit(1.0)).alias("d"))
         near = near.join(chosen.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")  # pivots leave
         regions = hold(_next(near, reach / 100, RADIUS), "rows")
-        pivots = min(pivots * 16, 1 << 20)
-    return found if found is not None else spark.createDataFrame([], "x long, p long")
+        pivots = min(pivots * 4, 1 << 20)
+    if merged is None:
+        return spark.createDataFrame([], "x long, p long")
+    return _stars(merged).select(F.col("a").alias("x"), F.col("b").alias("p"))
+
+
+def _stars(merged: DataFrame) -> DataFrame:
+    """Components as links (a, b) of each point with its component's smallest."""
+    return merged.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _fetch(given: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFrame | None, k: int) -> DataFrame:
