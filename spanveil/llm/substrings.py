@@ -8,9 +8,9 @@ is found in a block of the same key, whatever stands around it.
 Factoring is greedy by blocks: a block whose whole content also stands in an earlier document (one
 with a smaller id) is copied from the first such document in one factor. Where only part of a block
 may be copied, at the boundary of a factor, its windows are compared one by one with those of all
-other contents under the key: each content is represented by its first document, and a minimum per
-window finds the first reference. Only sums and minima meet in a group, so passages that stand in a
-third of all rows cost no more than their rows.
+other contents under the key: each content is represented by all its places in its first document
+(later documents copy it whole), and a minimum per window finds the first reference. Only sums and
+minima meet in a group, so passages that stand in a third of all rows cost no more than their rows.
 
 A null text has no words. Documents with a null id are kept whole and are no reference. Rows that
 repeat an id are each compared with smaller ids. Texts of fewer than 50 words lose nothing. Columns
@@ -149,7 +149,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     index = hold(given.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(
         _index(window, gram), "doc long, tag long, start int, n int, key long, content long"), "blocks")
     contents = hold(index.groupBy("key", "content").agg(
-        F.min(F.struct("doc", "tag", "start", "n")).alias("first"), F.max("doc").alias("last")), "contents")
+        F.min(F.struct("doc", "tag", "start", "n")).alias("first"), F.max("doc").alias("last"),
+        F.count("*").alias("places")), "contents")
 
     copied = (index.join(contents.where("first.doc < last").select("key", "content", F.col("first.doc").alias("ref")),
                          ["key", "content"]).where("ref < doc").select("doc", "tag", "start", "n", "ref"))
@@ -157,8 +158,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     open_keys = contents.groupBy("key").agg(
         F.count("*").alias("contents"), F.min("first.doc").alias("a"), F.max("first.doc").alias("b")).where(
         "contents > 1 AND a < b").select("key")
-    open_blocks = hold(contents.join(open_keys, "key", "left_semi").groupBy(F.col("first.doc").alias("doc")).agg(
-        F.collect_list(F.struct("first.tag", "first.start", "first.n")).alias("open")), "open")
+    opened = hold(contents.join(open_keys, "key", "left_semi").select("key", "content", "first.*", "places"), "opened")
+    # the document is part of the join key: places in other documents, of which a content may have many, do not meet
+    again = index.join(opened.where("places > 1").select("key", "content", "doc"), ["key", "content", "doc"])
+    open_blocks = hold(opened.where("places = 1").select("doc", "tag", "start", "n").unionByName(
+        again.select("doc", "tag", "start", "n").distinct()).groupBy("doc").agg(
+        F.collect_list(F.struct("tag", "start", "n")).alias("open")), "open")
     single = hold(join_checked(given, open_blocks, "doc", "inner", "size(open)").mapInArrow(
         _windows(window), "doc long, tag long, start int, window long"), "windows")
     refs = single.groupBy("window").agg(F.min("doc").alias("ref"), F.max("doc").alias("last")).where("ref < last")

@@ -271,6 +271,32 @@ def test_substrings(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_passages_twice_in_a_document(spark):
+    from spanveil.llm.substrings import remove_repeats
+    rng = random.Random(5)
+    say = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    said = []
+    for i in range(0, 80, 4):  # a small document has part of a passage that larger ones, also two of one id, hold twice
+        passage = say(140)
+        part = passage[rng.randint(5, 50):rng.randint(100, 135)]
+        said += [(i, say(20) + part + say(20)), (i + 1, say(9) + passage + say(30) + passage + passage + say(9)),
+                 (i + 2, say(9) + passage[:120] + say(9)), (i + 2, say(7) + passage[:120] + say(3))]
+    first = {}
+    for i, w in said:
+        for a in range(len(w) - 49):
+            k = tuple(w[a:a + 50])
+            first[k] = min(i, first.get(k, i))
+    want = []
+    for i, w in said:
+        gone = [False] * len(w)
+        for a in range(len(w) - 49):
+            if first[tuple(w[a:a + 50])] < i:
+                gone[a:a + 50] = [True] * 50
+        want.append((i, " ".join(x for x, g in zip(w, gone) if not g), sum(gone)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in said], "doc_id bigint, text string").repartition(3)
+    assert sorted((r.doc_id, r.kept, r.n_removed) for r in remove_repeats(df).collect()) == sorted(want)
+
+
 def test_languages(spark, docs, empty):
     from spanveil.llm.languages import Encoder, learn, predict
     import numpy as np
