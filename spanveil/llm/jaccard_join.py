@@ -319,7 +319,8 @@ def _next(near: DataFrame, r: float, radius: float, slack: float = 1e-9) -> Data
     more = F.transform(
         F.filter("reached", lambda c: (~celled | (c["p"] != F.col("nearest.p")))
                  & (~celled | (c["d"] <= F.col("nearest.d") + 2 * r + slack))),
-        lambda c: F.struct(F.xxhash64("g", c["p"]).alias("g"), F.lit(False).alias("home")))
+        # a point of the rest meets those of a cell only in the cell: it is as much at home there
+        lambda c: F.struct(F.xxhash64("g", c["p"]).alias("g"), (~celled & F.col("home")).alias("home")))
     own = own.select("g", "x", "n", "home", F.concat(F.array(home), more).alias("places"))
     whole = own.groupBy("g").agg((F.sum(F.size("places")) > 2 * F.count("*")).alias("whole"))
     placed = own.join(whole, "g").select("x", "n", F.explode(F.when(

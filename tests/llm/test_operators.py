@@ -133,6 +133,44 @@ def test_jaccard_odd_rows(docs, empty):
     assert all(c == i for (i, n), c in by.items() if n == 0)
 
 
+def test_jaccard_rest_meets_replicas(spark):
+    """A point of the rest stays at home in cells: with a replica from the band below it meets only there."""
+    from spanveil.llm.jaccard_join import _next, _open
+    near = spark.createDataFrame([(1, 10, 100, False, 5, 0.18), (1, 11, 108, True, 5, 0.27), (1, 12, 108, True, 5, 0.9)],
+                                 "g bigint, x bigint, n int, home boolean, p bigint, d double")
+    for home in (False, True):  # the second: the point of the rest is the replica
+        flip = near.withColumn("home", F.when(F.col("x") < 12, F.col("home") != F.lit(home)).otherwise(F.col("home")))
+        left = defaultdict(set)
+        for r in _open(_next(flip, 0.15, 0.2), None).collect():
+            left[r.g].add(r.x)
+        assert any({10, 11} <= g for g in left.values())
+    both = near.withColumn("home", F.lit(False))
+    assert _open(_next(both, 0.15, 0.2), None).count() == 0
+
+
+def test_jaccard_across_bands(spark, monkeypatch):
+    """Groups around a band bound, with other hash orders and every shingle equally rare."""
+    import numpy as np
+    from spanveil.llm import jaccard_join as J
+    monkeypatch.setattr(J, "_add", lambda key, part: part.select(["part", "counts"]).slice(0, 1).set_column(
+        1, "counts", J.pa.array([np.ones(1 << J.SKETCH_BITS, "<u4")[:(1 << J.SKETCH_BITS) // J.SKETCH_PARTS].tobytes()], J.pa.binary())))
+    for seed in range(1):
+        rng = random.Random(seed)
+        values = []
+        for g in range(12):
+            base = [f"{seed}w{g}x{k}" for k in range(115)]
+            for _ in range(12):
+                w = base[:rng.randint(92, 115)]
+                for _ in range(rng.randint(0, 12)):
+                    w[rng.randrange(len(w))] = f"{seed}n{g}y{rng.randrange(30)}"
+                values.append(" ".join(w))
+        df = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string").repartition(4)
+        sets = {i: shingles(t, 1) for i, t in enumerate(values)}
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        got = {r.doc_id: r.component_id for r in J.similar_components(df, shingle=1, percent=85).collect()}
+        assert links and got == components_of(sets, links)
+
+
 def test_metric_bounds():
     from spanveil.llm.jaccard_join import band_bounds, most_common, signature
     import numpy as np
