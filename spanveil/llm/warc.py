@@ -3,7 +3,7 @@
 Writing. Each record is one row of text; the sink ends rows with the two line ends that close a
 record, so the part files are plain WARC/1.1 files with one record after the other. Records with
 equal payloads (SHA-1 and length) are one response, that of the smallest id, and revisits of it.
-Pages over ``LARGE`` characters go to files of few records, so no file depends on one size of page.
+The larger a record, the fewer share its file (``FILES``), so no file passes 1 GiB but by one record.
 
 Reading. A file is one row of a task; its records stream out. Bytes are consumed from good record to
 good record. Where a version line, a header, a length, the closing line ends or the payload digest
@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from spanveil.llm.common import hold, join_checked, new_folder
 
 VERSION, MEMBER, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
-MOST_HEADER, MOST_RECORD, LARGE = 1 << 16, 1 << 30, 1 << 18
+MOST_RECORD = 1 << 30
+FILES = ((1 << 18, 4000), (1 << 25, 32), (None, 1))  # records of at most so many bytes: so many a file
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 URN = "urn:spanveil:page:"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -72,30 +73,35 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         F.concat(F.lit("WARC-Payload-Length: "), "bytes"),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block"))]
-    records = rows.select(F.concat_ws("\r\n", *fields, F.concat(F.lit("\r\n"), "block")).alias("value"),
-                          (F.length("payload") > LARGE).alias("large"))
-    for large, most in ((False, records_per_file), (True, 32)):
-        records.where(F.col("large") == large).select("value").write.mode("append").option(
-            "lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
+    records = rows.select(F.concat_ws("\r\n", *fields, F.concat(F.lit("\r\n"), "block")).alias("value"))
+    size, least = F.octet_length("value"), -1
+    for most, together in FILES:
+        some = records.where((size > least) if most is None else (size > least) & (size <= most))
+        some.write.mode("append").option("lineSep", "\r\n\r\n").option(
+            "maxRecordsPerFile", min(together, records_per_file)).text(path)
+        least = most
 
 
 def _plain(data: bytes, at: int, check: bool):
     """The record at a version line: (record, end), or (None, reason)."""
-    cut = data.find(END, at, at + MOST_HEADER)
-    if cut < 0:
-        return None, "no end of header"
-    lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/1\.[01]", lines[0]):
-        return None, "version line"
-    head = {}
-    for line in lines[1:]:
-        field, colon, value = line.partition(":")
-        if not colon:
-            return None, "header line"
-        head[field.strip().lower()] = value.strip()
+    head, line, to = None, b"", at
+    while head is None or line:  # line by line: a header may be of any length
+        since, to = to, data.find(b"\r\n", to)
+        if to < 0:
+            return None, "no end of header"
+        line, to = data[since:to], to + 2
+        if head is None:
+            if not re.fullmatch(rb"WARC/1\.[01]", line):
+                return None, "version line"
+            head = {}
+        elif line:
+            field, colon, value = line.decode("utf-8", "replace").partition(":")
+            if not colon:
+                return None, "header line"
+            head[field.strip().lower()] = value.strip()
     if not re.fullmatch(r"[0-9]{1,12}", head.get("content-length", "")) or "warc-type" not in head:
         return None, "missing field"
-    start, size = cut + 4, int(head["content-length"])
+    start, size = to, int(head["content-length"])
     if size > MOST_RECORD or start + size > len(data):
         return None, "truncated"
     if data[start + size:start + size + 4] != END:
@@ -171,8 +177,9 @@ def salvage(data: bytes, check: bool = True) -> Iterator[dict]:
         yield {"offset": gap, "length": n - gap, "record_type": "gap", "reason": reason}
 
 
-def read_warc(spark: SparkSession, path: str, check: bool = True, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of all files of a folder; see ``RECORDS``."""
+def read_warc(spark: SparkSession, path: str, check: bool = True, with_payload: bool = True,
+              gaps: bool = True) -> DataFrame:
+    """Records and gaps of all files of a folder; see ``RECORDS``. Without ``gaps`` one is an error."""
     schema = RECORDS if with_payload else RECORDS.removesuffix(", payload binary")
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -186,6 +193,8 @@ def read_warc(spark: SparkSession, path: str, check: bool = True, with_payload:
             for path_, content in zip(files.column("path").to_pylist(), files.column("content")):
                 rows, size = [], 0
                 for record in salvage(content.as_py(), check):
+                    if not gaps and record["record_type"] == "gap":
+                        raise ValueError(f"{path_}: gap of {record['length']} bytes at {record['offset']}: {record['reason']}")
                     rows.append(record | {"file": path_})
                     size += record["length"]
                     if size > 4 << 20 or len(rows) >= 5000:
@@ -198,8 +207,8 @@ def read_warc(spark: SparkSession, path: str, check: bool = True, with_payload:
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", least_bytes: int = 0, with_payload: bool = False) -> DataFrame:
-    """Write pages to a fresh folder of archives and read them back."""
+    """Write pages to a fresh folder of archives and read them back; what cannot be read is an error."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write_warc(pages, folder, key, least_bytes=least_bytes)
-    return read_warc(spark, folder, with_payload=with_payload)
+    return read_warc(spark, folder, with_payload=with_payload, gaps=False)

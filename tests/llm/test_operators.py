@@ -440,6 +440,21 @@ def record(i, payload, kind="response"):
             b"Content-Type: application/http\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (kind.encode(), i, digest, len(block), block))
 
 
+def test_warc_long_urls_and_sizes(spark, tmp_path):
+    from spanveil.llm import warc as W
+    urls = {i: "data:," + "x" * n for i, n in enumerate((10, 65_000, 70_000, 400_000))}
+    df = spark.createDataFrame([(i, u, f"<p>{i % 2}") for i, u in urls.items()], "page_id bigint, url string, html string")
+    assert {int(r.record_id): r.target for r in W.round_trip(df.repartition(1)).collect()} == urls
+    sizes = spark.range(70).selectExpr("id AS page_id", "'u' AS url", "repeat('日', 90000) || id AS html")  # over 2^18 bytes
+    W.write_warc(sizes.repartition(1), str(tmp_path / "sizes"))
+    assert max(p.stat().st_size for p in (tmp_path / "sizes").glob("part-*")) < 33 * 271_000
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a").write_bytes(b"no archive at all")
+    assert [r.record_type for r in W.read_warc(spark, str(tmp_path / "bad")).collect()] == ["gap"]
+    with pytest.raises(Exception, match="gap of 17 bytes"):
+        W.read_warc(spark, str(tmp_path / "bad"), gaps=False).collect()
+
+
 def test_salvage():
     from spanveil.llm.warc import salvage
     records = [record(i, b"page %d" % i * (i + 1)) for i in range(8)]
