@@ -316,6 +316,12 @@ def oracle_sql() -> dict[str, str]:
                         '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), chr(10)) AS p FROM documents))""",
         "redact_pages": """SELECT page_id, '"4111111111111111">Paid by <CREDIT_CARD><b></b> twice</p>'
             || '<p>4111 1111</p><p>1111 1111</p>' AS planted_part FROM pages""",
+        "redact_page_bodies": f"""WITH {NOTES_CTE} SELECT page_id, replace(regexp_replace(regexp_replace(html,
+                '{RE_EMAIL}', '<EMAIL>', 'g'), '\\b{OCTET}(\\.{OCTET}){{3}}\\b', '<IP_ADDRESS>', 'g'), '<article>', '<article><p>' ||
+                CASE WHEN note_id IS NULL THEN '' ELSE prefix || CASE WHEN kind IS NULL THEN left(value, 2) || '<b>'
+                || substr(value, 3) || '</b>' ELSE '<' || kind || '><b></b>' END || suffix END || '</p>')
+            || '<p title="4111111111111111">Paid by <CREDIT_CARD><b></b> twice</p><p>4111 1111</p><p>1111 1111</p>'
+            AS redacted_html FROM pages LEFT JOIN notes ON page_id = note_id""",
     }
     texts = (f"CASE {K} % {len(CASES)} " + " ".join(
         f"WHEN {i} THEN {c.prefix} || {c.value} || {c.suffix}" for i, c in enumerate(CASES)) + " END")

@@ -321,12 +321,24 @@ def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(_noted_pages(spark, sf_dir))
-    found = keep(detect(page_paragraphs(pages, ["page_id"]), recognizers=["card"])
-                 .where(F.size("spans") > 0))
-    return rebuild_pages(pages, redact_runs(found, generators=MASKS), ["page_id"]).select(
+    return _redacted_pages(pages).select(
         "page_id", F.expr("substring_index(redacted_html, '<p title=', -1)").alias("planted_part"))
 
 
+def _redacted_pages(pages: DataFrame) -> DataFrame:
+    found = keep(detect(page_paragraphs(pages, ["page_id"])).where(F.size("spans") > 0))
+    return rebuild_pages(pages, redact_runs(found, generators=MASKS), ["page_id"])
+
+
+def redact_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages, all types: the note of the page's number opens its article, markup inside the value."""
+    notes = _notes(spark, sf_dir).selectExpr(
+        "note_id AS page_id", "prefix || left(value, 2) || '<b>' || substring(value, 3) || '</b>' || suffix AS note")
+    pages = _noted_pages(spark, sf_dir).join(notes, "page_id", "left").selectExpr(
+        "page_id", "replace(html, '<article>', '<article><p>' || coalesce(note, '') || '</p>') AS html")
+    return _redacted_pages(spread(pages)).select("page_id", "redacted_html")
+
+
 WORDS = {"ing": "_", "tion": "<t>", "ingtion": "<it>", "e": "3"}
 
 
@@ -520,7 +532,7 @@ def queries() -> dict[str, Query]:
         "pseudonym_map": pseudonym_map, "fake_collisions": fake_collisions,
         "redact_documents": redact_documents, "redact_notes": redact_notes,
         "redact_runs": redact_note_runs, "page_round_trip": page_round_trip,
-        "redact_pages": redact_pages, "literal_replace": literal_replace,
+        "redact_pages": redact_pages, "redact_page_bodies": redact_page_bodies, "literal_replace": literal_replace,
         "exact_match_metrics": exact_match_metrics, "span_type_totals": span_type_totals,
         "char_accuracy": char_accuracy, "span_metrics_report": span_metrics_report,
         "binary_metrics": binary_metrics, "review_sheet": review_sheet,
