@@ -17,8 +17,8 @@ side. The sum of the log probabilities is the score, spelling of unknown words i
 The base score is that of a unigram model with one added to each count. Training counts every word
 of every training row. Words with the highest counts, at most ``FREQUENT`` of them (whole levels of
 counts), travel to the tasks; the counts of all others come by a shuffle of the tokens that are not
-among them. Tables have a fixed size; the word-so-far context learns the most frequent words, at most
-``SPELLED``, the others all.
+among them. Every context learns every word. The table of the word-so-far context grows with the
+vocabulary (``table_bits``), the others have a fixed size; all travel to the tasks whole.
 
 A null text is empty: its only token is the end. Repeated rows are scored each; rows with a null id
 count as an empty id. An empty table gives no rows; without training rows every count is 0. Columns
@@ -43,17 +43,29 @@ SYMBOLS = b" \nabcdefghijklmnopqrstuvwxyz.,\xc3"
 ESCAPE, BITS = 31, 5
 ORDERS = (0, 5, 3, 2)  # 0: the whole word so far
 TABLE_BITS = (22, 20, 18, 16)
-OFFSETS = tuple(int(x) for x in np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]))
 SPREAD = 0.3  # shorter contexts learn the spelling of words more than their use: counts to this power
 ADDED = (0.05, 0.1, 0.2, 0.4)  # added to each count
 PRIOR = (60.0, 100.0, 80.0, 0.0)  # counts at which a context is trusted by half
 TOPICS, MARKERS, SAMPLE, SAMPLE_CHARS = 8, 512, 2000, 1 << 14
-BLOCK, FREQUENT, SPELLED, CHUNK = 1024, 1 << 20, 1 << 19, 3 << 20
-PARTS, WORDS_PER_TABLE = 256, 1_000_000
+BLOCK, FREQUENT, CHUNK = 1024, 1 << 20, 3 << 20
+PART_BITS, WORDS_PER_TABLE = 16, 1_000_000
 START, RATE, BIAS_RATE, SCALE, LIMIT = 1.05, 0.02, 0.02, 16.0, 14.0
 END_WORD = int(mix(np.array([0x0A], U), 77)[0])
 
 
+def offsets(bits: tuple[int, ...]) -> tuple[int, ...]:
+    """Where each context's table begins, and the end of the last."""
+    return tuple(int(x) for x in np.concatenate([[0], np.cumsum([1 << b for b in bits])]))
+
+
+OFFSETS = offsets(TABLE_BITS)
+
+
+def table_bits(vocabulary: int) -> tuple[int, ...]:
+    """Bits of each table: that of the whole word has at least 8 slots a word."""
+    return (max(TABLE_BITS[0], (8 * vocabulary - 1).bit_length() if vocabulary else 0), *TABLE_BITS[1:])
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
@@ -143,7 +155,7 @@ def find_markers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], topic[order]
 
 
-def contexts(symbols: np.ndarray, starts: np.ndarray, topic: np.ndarray) -> np.ndarray:
+def contexts(symbols: np.ndarray, starts: np.ndarray, topic: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
     """Slot of the first bit of each symbol, under each context. ``starts``: where words begin; their topics."""
     p, inverse = powers(len(symbols))
     total = np.zeros(len(symbols) + 1, U)
@@ -151,52 +163,60 @@ def contexts(symbols: np.ndarray, starts: np.ndarray, topic: np.ndarray) -> np.n
     at = np.arange(len(symbols))
     length = np.diff(np.append(starts, len(symbols)))
     begin, about = np.repeat(starts, length), np.repeat(mix(topic.astype(U), 49), length)
-    out = np.empty((len(ORDERS), len(symbols)), np.int32)
+    place = offsets(bits)
+    out = np.empty((len(ORDERS), len(symbols)), np.int32 if place[-1] < 1 << 31 else np.int64)
     for c, order in enumerate(ORDERS):
         since = np.maximum(begin, at - order) if order else begin
         h = mix((total[at] - total[since]) * inverse[since] + (at - since).astype(U) + about, 50 + c)
-        out[c] = (h >> U(64 - TABLE_BITS[c])).astype(np.int32) + OFFSETS[c]
+        out[c] = (h >> U(64 - bits[c])).astype(out.dtype) + place[c]
     return out
 
 
-def _nodes() -> np.ndarray:
+def _nodes(bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
     """What the bits so far (a leading 1 before them) change in a slot, under each context."""
     h = mix(np.arange(1 << BITS, dtype=U), 60)
-    return np.stack([(h >> U(64 - bits)).astype(np.int32) for bits in TABLE_BITS])
+    return np.stack([(h >> U(64 - b)).astype(np.int32 if max(bits) < 32 else np.int64) for b in bits])
 
 
-def count_bits(vocabulary: list[bytes], topic: np.ndarray, counts: np.ndarray, whole: np.ndarray, table: np.ndarray) -> None:
+def count_bits(vocabulary: list[bytes], topic: np.ndarray, counts: np.ndarray, whole: np.ndarray, table: np.ndarray,
+               bits: tuple[int, ...] = TABLE_BITS, apart: list | None = None) -> None:
     """Add the bits of words (each with its blank or end mark) to a table of (slot, bit) counts.
 
-    ``whole``: which words the context of the whole word learns, too.
+    ``whole``: which words the context of the whole word learns, too. ``apart``: takes what that context
+    counts as (places, counts); the table is then that of the other contexts.
     """
     size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
     first = np.concatenate([[0], np.cumsum(size)])
     symbols, place = symbol_stream(np.frombuffer(b"".join(vocabulary), np.uint8))
     first = place[first]
-    slots, weight = contexts(symbols, first[:-1], topic), np.repeat(counts ** SPREAD, np.diff(first))
+    slots, weight = contexts(symbols, first[:-1], topic, bits), np.repeat(counts ** SPREAD, np.diff(first))
     top = np.repeat(np.where(whole, counts, 0.0), np.diff(first))
-    node, change = np.ones(len(symbols), np.int64), _nodes()
+    node, change, place = np.ones(len(symbols), np.int64), _nodes(bits), offsets(bits)
+    from_ = 0 if apart is None else place[1]
     for bit in range(BITS - 1, -1, -1):
         y = symbols >> bit & 1
         for c in range(len(ORDERS)):
-            at = (((slots[c] - OFFSETS[c]) ^ change[c][node]) + OFFSETS[c]).astype(np.int64) * 2 + y
-            np.add.at(table, at, weight if c else top)
+            at = (((slots[c] - place[c]) ^ change[c][node]) + place[c]).astype(np.int64) * 2 + y
+            if c or apart is None:
+                np.add.at(table, at - 2 * from_, weight if c else top)
+            else:
+                apart.append((at, top))
         node = node * 2 + y
 
 
-def log_odds(table: np.ndarray, offset: int = 0) -> np.ndarray:
+def log_odds(table: np.ndarray, offset: int = 0, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
     """Per slot: log odds (high byte) and trust (low byte) from its two counts."""
     pairs = table.reshape(-1, 2).astype(np.float64)
     n = pairs.sum(axis=1)
-    order = np.searchsorted(OFFSETS, np.arange(len(n)) + offset, side="right") - 1
+    order = np.searchsorted(offsets(bits), np.arange(len(n)) + offset, side="right") - 1
     added, prior = np.array(ADDED)[order], np.array(PRIOR)[order]
     odds = np.clip(np.rint(np.log((pairs[:, 1] + added) / (pairs[:, 0] + added)) * SCALE), -127, 127).astype(np.int16)
     trust = np.where(n > 0, n / np.maximum(n + prior, 1e-9), 0.0)
     return (odds << 8 | np.rint(255 * trust).astype(np.int16)).astype(np.int16)
 
 
-def mix_scores(symbols: np.ndarray, first: np.ndarray, slots: np.ndarray, table: np.ndarray) -> np.ndarray:
+def mix_scores(symbols: np.ndarray, first: np.ndarray, slots: np.ndarray, table: np.ndarray,
+               bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
     """Natural-log probability of each row of a symbol stream.
 
     Weights start at 1: a context speaks for the share that it is trusted with (by its counts) of
@@ -208,14 +228,14 @@ def mix_scores(symbols: np.ndarray, first: np.ndarray, slots: np.ndarray, table:
     length = np.minimum(first[row + 1] - start, BLOCK)
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    lanes, change = len(start), _nodes()
+    lanes, change, place = len(start), _nodes(bits), offsets(bits)
     weights = np.full((BITS, len(ORDERS), lanes), START, np.float32)
     bias, logs = np.zeros((BITS, lanes), np.float32), np.zeros(lanes)
     rate, bias_rate = np.float32(RATE), np.float32(BIAS_RATE)
     odds_of = (np.arange(-128, 128) / SCALE).astype(np.float32)
     trust_of = (np.arange(256) / 255).astype(np.float32)
-    slots = slots - np.array(OFFSETS[:-1], np.int32)[:, None]
-    tables = [table[a:b] for a, b in zip(OFFSETS, OFFSETS[1:])]
+    slots = slots - np.array(place[:-1], slots.dtype)[:, None]
+    tables = [table[a:b] for a, b in zip(place, place[1:])]
     for t in range(int(length[0]) if lanes else 0):
         n = int(np.searchsorted(-length, -t, side="left"))  # lanes still open
         at = start[:n] + t
@@ -292,27 +312,48 @@ def _count_words(markers):
     return run
 
 
-def _tables(spelled_from: int):
+def _tables(bits: tuple[int, ...]):
+    """Counts per part of 2 ** ``PART_BITS`` slots: ``at`` names the places, null means all in order.
+
+    A grown table of the whole word would not fit in a task; of it only the places that count are sent.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * OFFSETS[-1])
+        place, names, width = offsets(bits), ["part", "at", "counts"], 2 << PART_BITS
+        grown = bits[0] > TABLE_BITS[0]
+        since = place[1] if grown else 0
+        table = np.zeros(2 * (place[-1] - since))
         for batch in batches:
+            apart = [] if grown else None
             count_bits(batch.column("word").to_pylist(), batch.column("k").to_numpy(), batch.column("n").to_numpy().astype(np.float64),
-                       batch.column("total").to_numpy() >= spelled_from, table)
+                       np.ones(len(batch), bool), table, bits, apart)
+            if apart:
+                at, of = np.unique(np.concatenate([a for a, _ in apart]), return_inverse=True)
+                total = np.bincount(of, np.concatenate([n for _, n in apart])).astype("<f4")
+                part, first = np.unique(at // width, return_index=True)
+                cut = lambda x: [p.tobytes() for p in np.split(x, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cut((at % width).astype("<i4")), pa.binary()),
+                                                  pa.array(cut(total), pa.binary())], names)
         if table.any():
-            parts = np.split(table.astype("<f4"), PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()),
-                                              pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            parts = table.astype("<f4").reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32) + (since >> PART_BITS)), pa.nulls(len(parts), pa.binary()),
+                                              pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     return run
 
 
-def _add(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in part.column("counts"))
-    odds = log_odds(total, key[0].as_py() * (len(total) // 2))
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "odds": pa.array([odds.tobytes()], pa.binary())})
+def _add(bits: tuple[int, ...]):
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        total = np.zeros(2 << PART_BITS)
+        for at, counts in zip(part.column("at"), part.column("counts")):
+            place = np.frombuffer(at.as_py(), "<i4") if at.is_valid else slice(None)
+            total[place] += np.frombuffer(counts.as_py(), "<f4")
+        odds = log_odds(total, key[0].as_py() << PART_BITS, bits)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "odds": pa.array([odds.tobytes()], pa.binary())})
+
+    return run
 
 
-def _score(frequent, odds, markers):
+def _score(frequent, odds, markers, bits: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(frequent.value[0], np.uint64)
         counts = np.frombuffer(frequent.value[1], np.int64)
@@ -333,7 +374,7 @@ def _score(frequent, odds, markers):
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[~there[of]], minlength=rows))]).astype(np.int32)
             data, first, begin = byte_stream(w)
             symbols, place = symbol_stream(data)
-            score = mix_scores(symbols, place[first], contexts(symbols, place[begin], topics(w, markers)), table) / math.log(10)
+            score = mix_scores(symbols, place[first], contexts(symbols, place[begin], topics(w, markers), bits), table, bits) / math.log(10)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("doc"), pa.array(np.diff(w.first) + 1), pa.array(n_known),
                  pa.array(base), pa.array(score), pa.array(np.diff(first)),
@@ -363,29 +404,30 @@ def language_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     denominator = math.log10(sizes["n"] + sizes["v"] + 1)
 
     # whole levels of counts from the top, as long as they are few enough
-    levels, total = {FREQUENT: 1 << 62, SPELLED: 1 << 62}, 0
+    least, total = 1 << 62, 0
     for r in vocabulary.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         total += r["count"]
-        if total > max(levels):
+        if total > FREQUENT:
             break
-        levels = {most: r["n"] if total <= most else least for most, least in levels.items()}
-    top = vocabulary.where(F.col("n") >= levels[FREQUENT]).toArrow()
+        least = r["n"]
+    top = vocabulary.where(F.col("n") >= least).toArrow()
     hashes, counts = (top.column(c).to_numpy() for c in ("h", "n"))
     order = np.argsort(hashes.view(np.uint64))
     known = spark.sparkContext.broadcast((hashes.view(np.uint64)[order].tobytes(), counts[order].tobytes()))
 
     # each task makes tables of a fixed size, so that many words share a task
-    tasks = max(1, -(-sizes["v"] // WORDS_PER_TABLE))
-    parts = pairs.join(vocabulary.withColumnRenamed("n", "total"), "h").select("word", "k", "n", "total").repartition(
-        tasks).mapInArrow(_tables(levels[SPELLED]), "part int, counts binary").groupBy("part").applyInArrow(
-        _add, "part int, odds binary").collect()
-    odds = b"".join(r["odds"] for r in sorted(parts, key=lambda r: r["part"])) or bytes(2 * OFFSETS[-1])
+    tasks, bits = max(1, -(-sizes["v"] // WORDS_PER_TABLE)), table_bits(sizes["v"])
+    found = {r["part"]: r["odds"] for r in pairs.select("word", "k", "n").repartition(tasks).mapInArrow(
+        _tables(bits), "part int, at binary, counts binary").groupBy("part").applyInArrow(
+        _add(bits), "part int, odds binary").toLocalIterator()}
+    none = log_odds(np.zeros(2)).tobytes() * (1 << PART_BITS)
+    odds = b"".join(found.get(part, none) for part in range(offsets(bits)[-1] >> PART_BITS))
 
     rows = hold(given.select("doc", "text").withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _score(known, spark.sparkContext.broadcast(odds), markers),
+        _score(known, spark.sparkContext.broadcast(odds), markers, bits),
         f"rid long, doc {kind}, n_tokens long, known long, logs double, score double, bytes long, rest array<bigint>"), "scores")
     rare = rows.select("rid", F.explode("rest").alias("h")).join(
-        vocabulary.where(F.col("n") < levels[FREQUENT]), "h")
+        vocabulary.where(F.col("n") < least), "h")
     rare = rare.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
     end = math.log10(vocabulary.where(F.col("h") == _signed(END_WORD)).agg(F.max("n")).first()[0] + 1) if sizes["n"] else None
     return rows.join(rare, "rid", "left").select(

@@ -269,6 +269,32 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_whole_word_learns_all(spark, monkeypatch):
+    """However many words there are, the context of the whole word learns each; its table grows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+    from spanveil.llm import mixing as M
+    df = spark.createDataFrame([(i, f"seldom{i} often word{i}x") for i in range(60)], "doc_id bigint, text string")
+    score = lambda: {r.doc_id: round(r.score, 4) for r in M.language_scores(df, F.lit(True)).collect()}
+    all_ = score()
+    monkeypatch.setattr(M, "SPELLED", 2, raising=False)  # the former bound
+    assert score() == all_
+    assert M.table_bits(0) == M.table_bits(1 << 19) == M.TABLE_BITS and M.table_bits((1 << 19) + 1)[0] == 23
+    bits = (23, *M.TABLE_BITS[1:])
+    words_, n = [f"w{i}y ".encode() for i in range(500)], np.arange(1.0, 501)
+    table = np.zeros(2 * M.offsets(bits)[-1])
+    M.count_bits(words_, np.zeros(500, np.int64), n, np.ones(500, bool), table, bits)
+    batch = pa.RecordBatch.from_arrays([pa.array(words_), pa.array(np.zeros(500, np.int32)), pa.array(n.astype(np.int64))], ["word", "k", "n"])
+    got = pa.Table.from_batches(list(M._tables(bits)([batch.slice(0, 200), batch.slice(200)])))
+    odds = M.log_odds(table, 0, bits)
+    for part in set(got.column("part").to_pylist()):
+        some = M._add(bits)((pa.scalar(part),), got.filter(pa.compute.equal(got.column("part"), part)))
+        assert (np.frombuffer(some.column("odds")[0].as_py(), np.int16) == odds[part << M.PART_BITS:(part + 1) << M.PART_BITS]).all()
+        odds[part << M.PART_BITS:(part + 1) << M.PART_BITS] = M.log_odds(np.zeros(2))[0]
+    assert (odds[:M.offsets(bits)[1]] == M.log_odds(np.zeros(2))[0]).all()
+
+
 def test_lm_learns(spark):
     from spanveil.llm.mixing import language_scores
     rng = random.Random(8)
