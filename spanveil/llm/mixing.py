@@ -6,8 +6,7 @@ predicted under several contexts: the topic of the row so far together with the
 its last 5, 3 or 2 symbols. A hash of context and bits so far names a slot of a table, which holds
 the log odds that all training words showed there and how far they are trusted (by their number).
 The topic is the one of most marker words before, in the same row; markers come from k-means over the
-most frequent words of a bounded sample (the ``SAMPLE`` training rows of the smallest hash among
-those of at most ``SAMPLE_CHARS`` characters).
+``MARKERS`` most frequent words, by how many of all training rows hold two of them together.
 
 A mixer adds the log odds, each for the share of trust that longer contexts leave, with weights
 gated by the bit's place, and learns from every bit as it reads; a bias per place refines its
@@ -46,7 +45,7 @@ TABLE_BITS = (22, 20, 18, 16)
 SPREAD = 0.3  # shorter contexts learn the spelling of words more than their use: counts to this power
 ADDED = (0.05, 0.1, 0.2, 0.4)  # added to each count
 PRIOR = (60.0, 100.0, 80.0, 0.0)  # counts at which a context is trusted by half
-TOPICS, MARKERS, SAMPLE, SAMPLE_CHARS = 8, 512, 2000, 1 << 14
+TOPICS, MARKERS = 8, 512
 BLOCK, FREQUENT, CHUNK = 1024, 1 << 20, 3 << 20
 PART_BITS, WORDS_PER_TABLE = 16, 1_000_000
 START, RATE, BIAS_RATE, SCALE, LIMIT = 1.05, 0.02, 0.02, 16.0, 14.0
@@ -126,33 +125,58 @@ def topics(w: Words, markers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.insert(best[:-1], w.first[1:], ends)
 
 
-def find_markers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words that tell topics (languages, mostly) apart: k-means over a sample's most frequent words."""
-    w = words(pa.array(texts, pa.large_string()))
-    kinds, of, counts = np.unique(w.hash, return_inverse=True, return_counts=True)
-    top = np.argsort(-counts, kind="stable")[:MARKERS]
-    place = np.full(len(kinds), -1)
-    place[top] = np.arange(len(top))
-    at = place[of]
-    seen = np.zeros((len(texts), len(top)))
-    np.add.at(seen, (w.row[at >= 0], at[at >= 0]), 1)
-    seen = np.sqrt(seen[seen.sum(axis=1) > 0])
-    if len(seen) < TOPICS:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    seen /= np.linalg.norm(seen, axis=1, keepdims=True)
-    centres = [seen[0]]
-    while len(centres) < TOPICS:  # each next centre is the row least like those there
+def _together(hashes: np.ndarray):
+    """How many rows hold two words of a sorted list together, a row of the matrix each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(hashes)
+        total = np.zeros((m, m), np.int64)
+        for batch in slices(batches, "text", CHUNK):
+            w = words(batch.column("text"))
+            at = np.minimum(np.searchsorted(hashes, w.hash), m - 1)
+            there = hashes[at] == w.hash
+            row, at = np.divmod(np.unique(w.row[there].astype(np.int64) * m + at[there]), m)
+            of = np.unique(row, return_inverse=True)[1]
+            for since in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+                a, b = np.searchsorted(of, [since, since + 4096])
+                held = np.zeros((min(4096, int(of[-1]) + 1 - since), m), np.float32)
+                held[of[a:b] - since, at[a:b]] = 1
+                total += (held.T @ held).astype(np.int64)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), pa.array(
+                [r.astype("<i8").tobytes() for r in total], pa.binary())], ["i", "counts"])
+
+    return run
+
+
+def _sum_rows(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), "<i8") for x in part.column("counts"))
+    return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def find_markers(given: DataFrame, vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words that tell topics (languages, mostly) apart: k-means over the most frequent words of all rows."""
+    none = np.zeros(0, U), np.zeros(0, np.int64)
+    top = vocabulary.where(F.col("h") != _signed(END_WORD)).orderBy(F.desc("n"), "h").limit(MARKERS).toArrow()
+    hashes = np.sort(top.column("h").to_numpy().view(np.uint64))
+    if len(hashes) < TOPICS:
+        return none
+    rows = given.select("text").mapInArrow(_together(hashes), "i int, counts binary").groupBy("i").applyInArrow(
+        _sum_rows, "i int, counts binary").collect()
+    both = np.stack([np.frombuffer(r["counts"], "<i8") for r in sorted(rows, key=lambda r: r["i"])]).astype(np.float64)
+    like = both / np.sqrt(np.outer(both.diagonal(), both.diagonal()))
+    seen = like / np.linalg.norm(like, axis=1, keepdims=True)
+    centres = [seen[np.argmax(both.diagonal())]]
+    while len(centres) < TOPICS:  # each next centre is the word least like those there
         centres.append(seen[np.argmin(np.max(seen @ np.array(centres).T, axis=1))])
     centre = np.array(centres)
     for _ in range(20):
         group = np.argmax(seen @ centre.T, axis=1)
         centre = np.stack([seen[group == k].mean(axis=0) if (group == k).any() else centre[k] for k in range(TOPICS)])
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    share = centre / np.maximum(centre.sum(axis=0), 1e-12)
+    share = np.stack([like[:, group == k].mean(axis=1) if (group == k).any() else np.zeros(len(like)) for k in range(TOPICS)])
+    share /= share.sum(axis=0)
     sure = share.max(axis=0) > 0.4
-    hashes, topic = kinds[top][sure], share.argmax(axis=0)[sure]
-    order = np.argsort(hashes)
-    return hashes[order], topic[order]
+    return hashes[sure], share.argmax(axis=0)[sure]
 
 
 def contexts(symbols: np.ndarray, starts: np.ndarray, topic: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
@@ -393,13 +417,12 @@ def language_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     spark = docs.sparkSession
     given = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"), train.alias("train"))
     kind = given.schema["doc"].dataType.simpleString()
-    sample = given.where(F.col("train") & (F.length("text") <= SAMPLE_CHARS)).select("text").orderBy(
-        F.xxhash64("text"), "text").limit(SAMPLE).toArrow().column("text").to_pylist()
-    markers = find_markers(sample)
-    pairs = hold(given.where("train").select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        _count_words(markers), "h long, k int, word binary, n long").groupBy("h", "k").agg(
+    learned = given.where("train").select(F.coalesce("text", F.lit("")).alias("text"))
+    schema, unmarked = "h long, k int, word binary, n long", (np.zeros(0, U), np.zeros(0, np.int64))
+    vocabulary = hold(learned.mapInArrow(_count_words(unmarked), schema).groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
+    markers = find_markers(learned, vocabulary)
+    pairs = hold(learned.mapInArrow(_count_words(markers), schema).groupBy("h", "k").agg(
         F.min("word").alias("word"), F.sum("n").alias("n")), "pairs")
-    vocabulary = hold(pairs.groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
     sizes = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     denominator = math.log10(sizes["n"] + sizes["v"] + 1)
 

@@ -295,6 +295,23 @@ def test_lm_whole_word_learns_all(spark, monkeypatch):
     assert (odds[:M.offsets(bits)[1]] == M.log_odds(np.zeros(2))[0]).all()
 
 
+def test_lm_topics_of_all_rows(spark):
+    """Long texts and groups of copies: each of eight vocabularies gets a topic of its own."""
+    import numpy as np
+    import pyarrow as pa
+    from spanveil.llm import mixing as M
+    rng = random.Random(3)
+    said = lambda k, n: " ".join(f"t{k}w{rng.randrange(9)}" for _ in range(n))
+    rows_ = [said(0, 40)] * 3000 + [said(k, 5000 if k > 3 else 40) for k in range(8) for _ in range(12)]
+    df = spark.createDataFrame([(t,) for t in rows_], "text string").repartition(4)
+    w = M.words(pa.array(rows_))
+    kinds, n = np.unique(w.hash, return_counts=True)
+    vocabulary = spark.createDataFrame(list(zip(kinds.view(np.int64).tolist(), n.tolist())), "h bigint, n bigint")
+    topic = dict(zip(*(x.tolist() for x in M.find_markers(df, vocabulary))))
+    of = [{topic.get(h) for h in M.words(pa.array([" ".join(f"t{k}w{j}" for j in range(9))])).hash.tolist()} for k in range(8)]
+    assert all(len(x) == 1 for x in of) and set().union(*of) == set(range(8))
+
+
 def test_lm_learns(spark):
     from spanveil.llm.mixing import language_scores
     rng = random.Random(8)
