@@ -40,6 +40,16 @@ def _hits(entity_type: str) -> str:
     WHERE {VALID[entity_type]}"""
 
 
+# Page sources with mail addresses, addresses of machines and card numbers masked, and their planted end.
+_MAILS_MASKED = f"regexp_replace(html, '{RE_EMAIL}', '<EMAIL>', 'g')"
+_MACHINES_MASKED = f"regexp_replace({_MAILS_MASKED}, '\\b{OCTET}(\\.{OCTET}){{3}}\\b', '<IP_ADDRESS>', 'g')"
+MASKED_PAGE = (
+    f"array_to_string(list_transform(string_split(regexp_replace({_MACHINES_MASKED}, '{RE_DIGITS}', "
+    f"chr(1) || '\\0' || chr(1), 'g'), chr(1)), lambda v, nth: CASE WHEN nth % 2 = 0 AND {VALID['CREDIT_CARD']} "
+    f"THEN '<CREDIT_CARD>' ELSE v END), '')")
+PLANTED_TAIL = ("'<p title=\"4111111111111111\">Paid by <CREDIT_CARD><b></b> twice</p>"
+                "<p>4111 1111</p><p>1111 1111</p>'")
+
 ALL_HITS = " UNION ALL ".join(_hits(t) for t in PATTERN)
 
 
@@ -314,14 +324,11 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
                   FROM (SELECT doc_id, string_split(regexp_replace(text,
                         '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), chr(10)) AS p FROM documents))""",
-        "redact_pages": """SELECT page_id, '"4111111111111111">Paid by <CREDIT_CARD><b></b> twice</p>'
-            || '<p>4111 1111</p><p>1111 1111</p>' AS planted_part FROM pages""",
-        "redact_page_bodies": f"""WITH {NOTES_CTE} SELECT page_id, replace(regexp_replace(regexp_replace(html,
-                '{RE_EMAIL}', '<EMAIL>', 'g'), '\\b{OCTET}(\\.{OCTET}){{3}}\\b', '<IP_ADDRESS>', 'g'), '<article>', '<article><p>' ||
+        "redact_pages": f"""SELECT page_id, {MASKED_PAGE} || {PLANTED_TAIL} AS redacted_html FROM pages""",
+        "redact_page_bodies": f"""WITH {NOTES_CTE} SELECT page_id, replace({MASKED_PAGE}, '<article>', '<article><p>' ||
                 CASE WHEN note_id IS NULL THEN '' ELSE prefix || CASE WHEN kind IS NULL THEN left(value, 2) || '<b>'
                 || substr(value, 3) || '</b>' ELSE '<' || kind || '><b></b>' END || suffix END || '</p>')
-            || '<p title="4111111111111111">Paid by <CREDIT_CARD><b></b> twice</p><p>4111 1111</p><p>1111 1111</p>'
-            AS redacted_html FROM pages LEFT JOIN notes ON page_id = note_id""",
+            || {PLANTED_TAIL} AS redacted_html FROM pages LEFT JOIN notes ON page_id = note_id""",
     }
     texts = (f"CASE {K} % {len(CASES)} " + " ".join(
         f"WHEN {i} THEN {c.prefix} || {c.value} || {c.suffix}" for i, c in enumerate(CASES)) + " END")
