@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 HERE = "spanveil-llm"
+#: Spark removes an execution's shuffle files when it ends; here each held plan runs once.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +30,66 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one; it goes when the session's JVM ends."""
+    """A fresh folder in the shared one; it goes with the scope around it, else when the JVM ends."""
     path = f"{shared_folder(spark)}/{HERE}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    system, target = _place(spark, path)
+    system.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
 def hold(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there."""
+    """Write a frame to the shared folder and read it back: lineage and shuffle files end there."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.held_at = path
+    return held
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the tables of held frames that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "held_at", None)
+        if path:
+            system, target = _place(df.sparkSession, path)
+            system.delete(target, True)
+            for scope in _scopes:
+                if path in scope:
+                    scope.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders made inside go when the block ends, but for those given to ``outlive``."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            system, target = _place(spark, path)
+            system.delete(target, True)
+
+
+def outlive(df: DataFrame) -> DataFrame:
+    """Hand a held frame of the innermost scope to the scope around that one."""
+    _scopes[-1].remove(df.held_at)
+    if len(_scopes) > 1:
+        _scopes[-2].append(df.held_at)
+    return df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -79,7 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = hold(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = mark(e)
     while before[0]:
-        e = hold(step(step(e, True), False).distinct(), "edges")
+        e, last = hold(step(step(e, True), False).distinct(), "edges"), e
+        release(last)
         after = mark(e)
         if after == before:
             break

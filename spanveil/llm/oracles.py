@@ -110,6 +110,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN per USING (doc_id)"""
 
 
+# CRC-32 of a conversation's id in decimal, bit by bit: a character enters at the first of its eight steps.
+CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({} AS VARCHAR), ''),
+    lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, y: CASE WHEN xor(x, y) % 2 = 1 THEN xor(xor(x, y) >> 1, 3988292384) ELSE xor(x, y) >> 1 END), 4294967295)"""
+
+TRIE = f"""
+WITH turns AS (
+    SELECT conv_id, md5(length(r) || ':' || r || t) AS h, len({WORDS.format("t")}) AS w, turn
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id AS c, list({{'h': h, 'w': w}} ORDER BY turn NULLS FIRST, h) AS s FROM turns GROUP BY conv_id),
+whole AS (
+    SELECT c, list_concat(coalesce(f.s[1:k], []), own.s[k + 1:]) AS s
+    FROM (SELECT *, {CRC.format("c")} % 4 AS k FROM own) own LEFT JOIN (SELECT c AS d, s FROM own) f ON d = c - c % 20),
+prefixes AS (
+    SELECT c, len(s) AS size, d, array_to_string(list_transform(s[1:d], lambda x: x.h), '') AS p,
+        array_to_string(list_transform(s[1:d - 1], lambda x: x.h), '') AS above, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w
+    FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM whole)),
+nodes AS (
+    SELECT p, d, min(c) AS low, count(*) AS n, any_value(above) AS above, any_value(w) AS w,
+        sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (size = d), '')) AS ends
+    FROM prefixes GROUP BY p, d),
+kids AS (SELECT above, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY above, d),
+full_ AS (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN kids ON kids.above = n.p AND kids.d = n.d),
+totals AS (
+    SELECT up, count(*) FILTER (k = 0) AS leaves, sum((n - 1) * w) AS saved
+    FROM (SELECT k, n, w, left(p, 32 * unnest(range(0, d + 1))) AS up FROM full_) GROUP BY up)
+SELECT a.low AS conv_id, a.d AS depth, b.low AS parent_conv_id, a.n AS n_convs, a.k AS n_children,
+    leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM full_ a JOIN totals ON up = a.p LEFT JOIN nodes b ON a.d > 0 AND b.p = a.above"""
+
+EXACT = """
+WITH digests AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM digests WINDOW same AS (PARTITION BY text_sha256)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_substrings": SUBSTRINGS, "op7_warc": WARC,
-            "op8_quality_rules": QUALITY, "op9_decontaminate": DECONTAMINATE}
+            "op8_quality_rules": QUALITY, "op9_decontaminate": DECONTAMINATE, "op11_prefix_trie": TRIE,
+            "op12_exact_dedup": EXACT}

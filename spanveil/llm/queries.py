@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanveil.llm.common import crc_fold, table
 from spanveil.llm.decontaminate import benchmark_matches, contaminated
+from spanveil.llm.exact_dedup import exact_duplicates
 from spanveil.llm.jaccard_join import similar_components
 from spanveil.llm.languages import learn, predict
 from spanveil.llm.mixing import language_scores
+from spanveil.llm.prefix_trie import prefix_trie
 from spanveil.llm.quality import apply_policy, ledger
 from spanveil.llm.secrets import find_secrets, infer, labelled
 from spanveil.llm.substrings import remove_repeats
 from spanveil.llm.tokenize import encode
 from spanveil.llm.urls import judge
 from spanveil.llm.warc import round_trip
+from spanveil.llm.whitening import whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -85,6 +88,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_lm_scoring, op4_substrings, op5_languages, op6_secrets,
-                                   op7_warc, op8_quality_rules, op9_decontaminate, op10_url_filter)}
+                                   op7_warc, op8_quality_rules, op9_decontaminate, op10_url_filter,
+                                   op11_prefix_trie, op12_exact_dedup, op13_whitening)}
