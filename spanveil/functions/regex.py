@@ -56,7 +56,7 @@ def java_flags(flags: str) -> str:
 def grouped(p: Pattern) -> str:
     """Java form with group 1 = prefix and group 2 = value."""
     ahead = f"(?={p.first})" if p.first else ""
-    return f"{java_flags(p.flags)}{ahead}({java(p.scan or p.prefix)})({java(p.value)}){java(p.tail)}"
+    return f"{java_flags(p.flags)}{ahead}({java(p.scan or p.prefix)})({java(p.scan_value or p.value)}){java(p.scan_tail or p.tail)}"
 
 
 def matches(p: Pattern) -> str:

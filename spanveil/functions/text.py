@@ -21,8 +21,8 @@ def casefold(c: str) -> str:
 
 
 def strip(c: str) -> str:
-    """Remove white space at both ends."""
-    return f"regexp_replace({c}, {literal(f'^{SPACE}+|{SPACE}+$')}, '')"
+    """Remove white space at both ends. Each run of it is tried once, so long ones inside cost little."""
+    return f"regexp_replace({c}, {literal(f'^{SPACE}+|(?<!{SPACE}){SPACE}+$')}, '')"
 
 
 def strip_chars(c: str, chars: str) -> str:

@@ -124,3 +124,68 @@ def test_mail_pattern_is_linear(find):
     start = time.perf_counter()
     find(["x@y " + "a" * 200_000, "a@" * 60_000, "%" * 200_000 + "@x.com", "a.b" * 60_000 + " @"], recognizers=["email"])
     assert time.perf_counter() - start < 8
+
+
+def _awkward():
+    """Long runs, long blanks, labels and forms in all neighbourhoods."""
+    rng = random.Random(11)
+    org = ["A1" * 30, "Aa", "b.C", "-D", "Limited", "Ltd", "Ltd.", "Private", "Pvt.", "LLP", "Inc", "Corporation", "&", "(X)",
+           "Limited-B", "Including", "of", "Limiteds", "É", "x", "A'"]
+    blanks = [" ", "  ", "\n", "\u00a0", " " * 40, "\t \n ", "", ", "]
+    office = ["Registered Office", "registered  office", "Branch\nOffice", "Residential Address", "India", "(India", "xIndia",
+              "State", "PIN", "PIN  Code", "Village", "Taluka.", "a", "bc", ":", "-", ";", "::", "12 Road, ", "z" * 150, "; "]
+    dob = ["dob", "born on", "date of birth", ":", "-", "1/2/90", "11-12-1990", "x"]
+    fields = ["Village", "District", "PIN", "Code", ":", "-", "a", "b;", "Pune"]
+    out = []
+    for words in (org, office, dob, fields):
+        out += ["".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(1, 16))) for _ in range(1200)]
+    return out + ["Registered Office" + a + b + "India" + c for a in ("", " ", "  ", "\n\n") for b in ("", ":", ": ", ":  ", "-\n", ": :")
+                  for c in ("", ";", " x", "\n \n", "y")]
+
+
+def test_awkward_texts_equal_python(spark):
+    texts = _awkward()
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(8)
+    hits = dict.fromkeys(NAMES, 0)
+    for row in with_found(df, "text", {n: (p, "true") for n, p in NAMES.items()}).collect():
+        for name, pattern in NAMES.items():
+            got = [(s["start"], s["end"], s["text"]) for s in row[name]]
+            assert got == _expected(texts[row.id], pattern), (name, texts[row.id])
+            hits[name] += len(got)
+    assert min(hits[n] for n in ("org", "address_office", "address_field", "dob")) > 100, hits
+
+
+LONG = {
+    "capitals in a run": "Including " + "A1" * 100_000 + " Limite Limited",
+    "runs with forms": ("B-C" * 10 + " Limite ") * 6_000 + "Ltd",
+    "forms without names": "limited Ltd LLP " * 12_000 + "Limited",
+    "blanks": "Acme" + " " * 200_000 + "Limite Ltd",
+    "many blanks": ("Acme" + " " * 400) * 500 + "Ltd",
+    "label and blanks": "Registered Office" + " " * 200_000 + "Limited India ;",
+    "labels": "Registered Office " * 11_000 + "Limited",
+    "labels and places": "Branch Office India India " * 8_000 + "Limited",
+    "lines": "Registered Office: a India" + "\n" + " " * 200_000 + "Limited x",
+    "birth": "dob 1-1-1 Limited" + ("dob" + " " * 2_000) * 100 + "1-1",
+    "fields": ("State" + " " * 2_000) * 100 + "Limited: 1",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_long_texts_take_linear_time(spark, kind):
+    import time
+    df = spark.createDataFrame([(LONG[kind],)], "text string").cache()
+    assert df.count() == 1
+    recognize(df, names=["org", "address_office", "address_field", "dob"]).collect()
+    start = time.time()
+    recognize(df, names=["org", "address_office", "address_field", "dob"]).collect()
+    assert time.time() - start < 4  # a loaded machine included
+
+
+def test_strip_takes_linear_time(spark):
+    import time
+    from pyspark.sql import functions as F
+    from spanveil.functions.text import strip
+    df = spark.createDataFrame([(" \u00a0a" + " " * 200_000 + "b\t\n",), ("",), (" \u2003 ",), ("x",)], "text string")
+    start = time.time()
+    assert [r[0].replace(" " * 200_000, "_") for r in df.select(F.expr(strip("text"))).collect()] == ["a_b", "", "", "x"]
+    assert time.time() - start < 4
