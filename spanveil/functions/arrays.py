@@ -63,12 +63,12 @@ def settle(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*kept, F.expr(f"inline(array(named_struct({fields})))"))
 
 
-def with_scans(df: DataFrame, arrays: dict[str, str], zero: int,
-               combine: Callable[[str, str], str]) -> DataFrame:
-    """Add integer arrays that hold, for each element, the combination of all before it.
+def with_scans(df: DataFrame, arrays: dict[str, str], zero: int | str,
+               combine: Callable[[str, str], str], kind: str = "INT") -> DataFrame:
+    """Add arrays that hold, for each element, the combination of all before it.
 
-    ``combine`` makes SQL from (so far, next). Works block by block, so that
-    appending copies BLOCK-sized arrays and not the whole array: a text with a
+    ``combine`` makes SQL of type ``kind`` from (so far, next). Works block by block, so
+    that appending copies BLOCK-sized arrays and not the whole array: a text with a
     million matches stays affordable. Null stays null.
     """
     cut, head = {n: f"_cut_{n}" for n in arrays}, {n: f"_head_{n}" for n in arrays}
@@ -81,16 +81,35 @@ def with_scans(df: DataFrame, arrays: dict[str, str], zero: int,
     # optimizer and then be computed again for each element.
     df = add_columns(df, {n: (
         f"flatten(zip_with({cut[n]}, slice({head[n]}, 1, size({cut[n]})), (b, h) -> aggregate(b, "
-        f"named_struct('at', h, 'out', CAST(array() AS ARRAY<INT>)), "
+        f"named_struct('at', h, 'out', CAST(array() AS ARRAY<{kind}>)), "
         f"(s, x) -> named_struct('at', {combine('s.at', 'x')}, "
         f"'out', array_append(s.out, s.at)), s -> s.out)))") for n in arrays})
     return df.drop(*cut.values(), *head.values())
 
 
-
 def total(so_far: str, x: str) -> str:
     return f"{so_far} + {x}"
 
 
 def maximum(so_far: str, x: str) -> str:
     return f"greatest({so_far}, {x})"
+
+
+def with_ranks(df: DataFrame, ranks: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Add integer arrays: for each query how many keys are less than it.
+
+    An entry is (queries, keys, "<" or "<="), both integer arrays; null where one is null.
+    One sort of both together and a running count, so the cost does not multiply.
+    """
+    steps, counts = {n: f"_steps_{n}" for n in ranks}, {n: f"_counts_{n}" for n in ranks}
+    events = {}
+    for n, (queries, keys, relation) in ranks.items():
+        query, key = (0, 1) if relation == "<" else (1, 0)  # who goes first among equals
+        events[steps[n]] = (
+            f"sort_array(concat(transform({queries}, (x, i) -> named_struct('at', x, 'turn', {query}, 'i', i, 'one', 0)), "
+            f"transform({keys}, x -> named_struct('at', x, 'turn', {key}, 'i', -1, 'one', 1))))")
+    df = add_columns(df, events)
+    df = with_scans(df, {counts[n]: f"transform({steps[n]}, e -> e.one)" for n in ranks}, 0, total)
+    return add_columns(df, {n: (
+        f"transform(sort_array(filter(zip_with({steps[n]}, {counts[n]}, (e, c) -> named_struct('i', e.i, 'c', c)), "
+        f"x -> x.i >= 0)), x -> x.c)") for n in ranks}).drop(*steps.values(), *counts.values())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanveil.functions.arrays import add_columns, blocks, settle, total, with_scans
+from spanveil.functions.arrays import add_columns, blocks, settle, total, with_ranks, with_scans
 from spanveil.functions.pseudonyms import SEED, Generator, fake
 
 GROUP = 64  # spans per cut: keeps the repeated walks into a long text short
@@ -65,13 +65,18 @@ def redact_runs(df: DataFrame, runs: str = "runs", spans: str = "spans", *,
     df = with_scans(df, {"_offset": (
         f"if(size(_hits) > 0, transform({runs}, r -> length(coalesce(r.run_text, ''))), NULL)")},
         0, total)
-    # Per run: its offset and the hits that touch it, in local offsets.
+    # Per run: the hits that touch it, in local offsets. They are a slice of all hits: between
+    # those that end before the run and those that start before its end.
+    df = add_columns(df, {"_ends": f"zip_with({runs}, _offset, (r, o) -> o + length(coalesce(r.run_text, '')))"})
+    df = with_ranks(df, {"_over": ("_offset", "transform(_hits, h -> h.end)", "<="),
+                         "_begun": ("if(_offset IS NULL, NULL, _ends)", "transform(_hits, h -> h.start)", "<")})
+    df = add_columns(df, {"_slices": "zip_with(_over, _begun, (a, b) -> named_struct('after', a, 'n', greatest(b - a, 0)))"})
     local = ("named_struct('from', greatest(h.start, _offset[i]) - _offset[i], "
              "'to', least(h.end - _offset[i], length(r.run_text)), "
              "'put', if(h.start >= _offset[i], h.fake, ''))")
     df = add_columns(df, {"_parts": (
-        f"transform({runs}, (r, i) -> named_struct('run', r, 'hits', transform(filter(_hits, "
-        f"h -> h.end > _offset[i] AND h.start < _offset[i] + length(r.run_text)), h -> {local})))")})
+        f"if(_offset IS NULL, NULL, transform({runs}, (r, i) -> named_struct('run', r, 'hits', transform("
+        f"slice(_hits, _slices[i].after + 1, _slices[i].n), h -> {local}))))")})
     before = "if(j = 0, 0, p.hits[greatest(j - 1, 0)].to)"
     new_text = (f"concat(array_join(transform(p.hits, (h, j) -> concat(substring(p.run.run_text, "
                 f"{before} + 1, h.from - {before}), h.put)), ''), "
@@ -80,7 +85,7 @@ def redact_runs(df: DataFrame, runs: str = "runs", spans: str = "spans", *,
         output: (f"if(size(_hits) = 0, {runs}, transform(_parts, p -> if(size(p.hits) = 0, p.run, "
                  f"named_struct('run_no', p.run.run_no, 'run_text', {new_text}))))"),
         changed: "size(_hits)"})
-    return df.drop("_hits", "_offset", "_parts")
+    return df.drop("_hits", "_offset", "_ends", "_over", "_begun", "_slices", "_parts")
 
 
 def replace_text(text: Column, replacements: dict[str, str]) -> Column:

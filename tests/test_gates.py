@@ -185,3 +185,44 @@ def test_dedupe_and_resolve_by_brute_force(spark):
         assert [(x.start, x.end, x.text) for x in row.r if x.reason is None] == kept
         assert sum(x.reason == "duplicate" for x in row.u) == duplicates
         assert sum(x.reason == "overlap" for x in row.r) == overlaps
+
+
+def touching(a, b):
+    return a[0] < b[1] and b[0] < a[1]
+
+
+def test_sweep_equals_all_pairs(spark):
+    """Random intervals, empty ones too, with equal ends, inside each other, of several sources."""
+    import random
+    from spanveil.operators.gates import with_touched
+    rng, rows = random.Random(3), []
+    for k in range(300):
+        some = lambda n: [(a, a + rng.randint(0, 6), rng.choice(["regex", "spacy", "presidio", "own"]))
+                          for a in (rng.randint(0, 20) for _ in range(n))]
+        rows.append((k, some(rng.randint(0, 12)), some(rng.randint(0, 9))))
+    kind = "array<struct<start:int,end:int,source:string>>"
+    df = spark.createDataFrame(rows, f"id int, spans {kind}, others {kind}")
+    df = with_touched(with_touched(df, "spans", "others", "any"), "spans", "others", "other", other_source=True)
+    for r in df.collect():
+        spans, others = rows[r.id][1:]
+        if not spans or not others:
+            assert not r.any and not r.other
+            continue
+        assert r["any"] == [any(touching(s, o) for o in others) for s in spans]
+        assert r.other == [any(touching(s, o) and s[2] != o[2] for o in others) for s in spans]
+
+
+def test_sweep_of_a_long_text(spark):
+    import time
+    from spanveil.operators.gates import with_touched
+    kind = "array<struct<start:int,end:int,source:string>>"
+    df = spark.range(1).selectExpr(
+        "transform(sequence(0, 19999), i -> named_struct('start', i * 7, 'end', i * 7 + 5, 'source', if(i % 3 = 0, 'a', 'b'))) AS spans",
+        "transform(sequence(0, 4999), i -> named_struct('start', i * 28 + 3, 'end', i * 28 + 9, 'source', 'a')) AS others")
+    df = with_touched(with_touched(df, "spans", "others", "any"), "spans", "others", "other", other_source=True)
+    start = time.time()
+    r = df.selectExpr("size(filter(any, x -> x)) AS a", "size(filter(other, x -> x)) AS o").first()
+    assert time.time() - start < 20
+    others = [(28 * i + 3, 28 * i + 9) for i in range(5000)]
+    hit = [i for i in range(20000) if any(touching((7 * i, 7 * i + 5), others[j]) for j in range(max(0, i // 4 - 2), min(5000, i // 4 + 2)))]
+    assert (r.a, r.o) == (len(hit), sum(i % 3 != 0 for i in hit))

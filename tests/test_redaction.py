@@ -226,3 +226,29 @@ def test_unreadable_mapping(spark, tmp_path):
     assert read_mapping(spark, str(folder)).count() == 0
     with pytest.raises(Exception, match="parquet"):
         read_mapping(spark, str(folder), unreadable="error")
+
+
+def test_many_runs_and_spans(spark):
+    """10,000 runs and 5,000 spans in one paragraph, cuts inside the values, empty runs between them."""
+    import time
+    runs = []
+    for i in range(5_000):
+        runs += [(2 * i, f"Mail a{i:04d}"), (2 * i + 1, "@b.co; " if i % 7 else "")]
+    text = "".join(t for _, t in runs)
+    spans, at = [], 0
+    for i in range(5_000):
+        if i % 7:
+            spans.append((at + 5, at + 15, text[at + 5:at + 15], "EMAIL", 1.0, "regex"))
+        at += len(runs[2 * i][1]) + len(runs[2 * i + 1][1])
+    df = spark.createDataFrame([(runs, spans)], "runs array<struct<run_no:int,run_text:string>>, spans "
+                               "array<struct<start:int,end:int,text:string,entity_type:string,score:double,source:string>>")
+    start = time.time()
+    out = redact_runs(df).collect()[0]
+    assert time.time() - start < 20
+    assert out.replacements == len(spans)
+    for i in range(5_000):
+        first, second = out.redacted_runs[2 * i].run_text, out.redacted_runs[2 * i + 1].run_text
+        if i % 7:
+            assert first.startswith("Mail ") and f"a{i:04d}" not in first and second == "; "
+        else:
+            assert (first, second) == (f"Mail a{i:04d}", "")
