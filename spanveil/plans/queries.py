@@ -31,7 +31,8 @@ from spanveil.schema import CANDIDATES, MAPPING
 from spanveil.sources.docx import register_docx
 from spanveil.sources.html import page_paragraphs, page_runs, rebuild_pages
 from spanveil.sources.tables import paragraphs, spread, write_mapping
-from spanveil.streaming.redaction import redact_stream, redact_with_mapping, stream_mapping_table
+from spanveil.streaming.redaction import redact_stream, redact_with_mapping
+from spanveil.streaming.store import stream_mapping_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 MASKS = constant_masks(ENTITY_TYPES)

@@ -12,6 +12,7 @@ from spanveil.operators.detect import detect, explode_spans
 from spanveil.operators.mapping import extend_mapping, first_types, with_replacements
 from spanveil.operators.redact import redact
 from spanveil.schema import MAPPING
+from spanveil.streaming import store
 
 
 def redact_stream(texts: DataFrame, text_col: str = "text", *, seed: int = SEED,
@@ -24,54 +25,14 @@ def redact_stream(texts: DataFrame, text_col: str = "text", *, seed: int = SEED,
     return redact(detect(texts, text_col, **options), text_col, seed=seed, generators=generators)
 
 
-BUCKETS = 64
-
-
-def _bucket(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-
-
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
-
-
-def stream_entries(spark: SparkSession, mapping_path: str) -> DataFrame:
-    """All entries of a mapping folder, with the job and batch that made them.
-
-    Entries that ``write_mapping`` put there have no job. Streams keep theirs in job=../batch_id=../bucket=...
-    """
-    system, root = _files(spark, mapping_path)
-    there = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
-    found = spark.createDataFrame([], f"{MAPPING}, job string, batch_id bigint, bucket int")
-    if any(n.startswith("job=") for n in there):
-        found = spark.read.schema(found.schema).option("basePath", mapping_path).parquet(f"{mapping_path}/job=*")
-    plain = [f"{mapping_path}/{n}" for n in there if n.startswith("part-")]
-    if plain:
-        found = found.unionByName(spark.read.schema(MAPPING).parquet(*plain).withColumns(
-            {"job": F.lit(None).cast("string"), "batch_id": F.lit(None).cast("bigint"), "bucket": _bucket("original")}))
-    return found
-
-
-def stream_mapping_table(spark: SparkSession, mapping_path: str) -> DataFrame:
-    """The mapping in a folder that streams have written, ready for ``write_mapping``.
-
-    An entry made twice (by jobs that ran side by side) counts once: the one that was there
-    before any stream, else that of the first job by name.
-    """
-    rank = F.struct(F.col("job").isNotNull(), "job", "batch_id")
-    return stream_entries(spark, mapping_path).groupBy("original").agg(F.min_by(
-        F.struct("entity_type", "replacement"), rank).alias("e")).select("original", "e.entity_type", "e.replacement")
-
-
 def job_of(spark: SparkSession, checkpoint: str) -> str:
     """The name of the job of a checkpoint: made once, kept beside the stream's own state."""
-    system, path = _files(spark, f"{checkpoint}/mapping-job")
+    folder = f"{checkpoint}/mapping-job"
+    system, path = store.files(spark, folder)
     if not system.exists(path):
         system.mkdirs(path)
         system.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(path, uuid.uuid4().hex))
-    return sorted(s.getPath().getName() for s in system.listStatus(path))[0]
+    return store.names(spark, folder)[0]
 
 
 def mapped_batch(detected: DataFrame, batch_id: int, keys: list[str], mapping_path: str, *,
@@ -86,8 +47,8 @@ def mapped_batch(detected: DataFrame, batch_id: int, keys: list[str], mapping_pa
     """
     spark = detected.sparkSession
     values = first_types(explode_spans(detected, keys), keys)
-    touched = [r[0] for r in values.select(_bucket("original").alias("b")).distinct().collect()]
-    entries = stream_entries(spark, mapping_path).where(F.col("bucket").isin(touched))
+    touched = [r[0] for r in values.select(store.bucket_of("original").alias("b")).distinct().collect()]
+    entries = store.stream_entries(spark, mapping_path).where(F.col("bucket").isin(touched))
     own = F.coalesce((F.col("job") == job) & (F.col("batch_id") >= batch_id), F.lit(False))
     known = entries.where(~own).select("original", "entity_type", "replacement", F.struct(
         F.lit(1).alias("place"), "job", "batch_id").alias("rank"))
@@ -101,8 +62,7 @@ def mapped_batch(detected: DataFrame, batch_id: int, keys: list[str], mapping_pa
         "original", "e.entity_type", "e.replacement")
     new = extend_mapping(values.join(relevant, "original", "left_anti"), seed=seed,
                          generators=generators)
-    folder = f"{mapping_path}/job={job}/batch_id={batch_id}"
-    new.withColumn("bucket", _bucket("original")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    folder = store.append(new, mapping_path, job, batch_id)
     mapping = relevant.unionByName(spark.read.schema(f"{MAPPING}, bucket int").parquet(folder).drop("bucket"))
     return redact(with_replacements(detected, keys, mapping), text_col, fakes="fakes", seed=seed,
                   generators=generators).drop("fakes")
@@ -118,12 +78,14 @@ def redact_with_mapping(texts: DataFrame, keys: list[str], mapping_path: str, ou
     Output and mapping are written per batch number, the mapping also per job (kept with the
     checkpoint), so both are exactly-once and a new checkpoint never touches older entries.
     The mapping starts from ``existing`` and from all that ``mapping_path`` holds, whether a
-    stream or ``write_mapping`` put it there.
+    stream or ``write_mapping`` put it there. Closed batches are sealed into segments on the
+    way (``streaming.store``), so a batch opens a bounded number of files however long the stream is.
     """
     job = job_of(texts.sparkSession, checkpoint)
     staging = f"{checkpoint}/staging"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        store.compact(batch.sparkSession, mapping_path, job, batch_id)
         # A batch is read several times: write what was detected and go on from the table.
         # Batches follow each other, so one folder per stream is enough.
         detect(batch, text_col, **options).write.mode("overwrite").parquet(staging)

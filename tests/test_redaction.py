@@ -196,7 +196,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_stream_mapping_starts_from_saved_and_survives_new_checkpoints(spark, tmp_path):
     from spanveil.sources.tables import write_mapping
-    from spanveil.streaming.redaction import redact_with_mapping, stream_entries, stream_mapping_table
+    from spanveil.streaming.redaction import redact_with_mapping
+    from spanveil.streaming.store import stream_entries, stream_mapping_table
 
     source, mapping = str(tmp_path / "in"), str(tmp_path / "map")
     write_mapping(spark.createDataFrame([("u1@m.com", "EMAIL", "OLD")], "original string, entity_type string, replacement string"), mapping)
