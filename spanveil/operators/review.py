@@ -2,147 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanveil.functions.text import is_yes
+from spanveil.operators.mapping import join_by_value
 from spanveil.operators.metrics import ratio
+from spanveil.operators.occurrences import occurrences
 from spanveil.operators.stats import metric_row
 
-RADIUS = 100          # characters of context on each side
-PREFIX = 8            # long values are first looked for by their first 8 characters
-BITS = 24             # the broadcast bit sets have 2^24 bits (2 MB), however many values there are
-BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, BASE, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
-    """h with hash(i, j) = h[j] - h[i], to be scaled by a power of BASE (all modulo 2^64)."""
-    out = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes + np.uint64(1)) * _powers(len(codes) + 1)[:-1], dtype=np.uint64, out=out[1:])
-    return out
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    return (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
-
-
-def _at(h: np.ndarray, starts: np.ndarray, length: int, back: np.ndarray) -> np.ndarray:
-    """Buckets of the substrings [start, start + length), independent of their place."""
-    return _bucket((h[starts + length] - h[starts]) * back[starts])
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(pow(int(BASE), -1, 2 ** 64)), dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _value_buckets(values: pd.Series) -> pd.DataFrame:
-    def of(codes: np.ndarray) -> int:
-        h = _prefix_hashes(codes)
-        return int(_at(h, np.zeros(1, dtype=np.int64), len(codes), np.ones(1, np.uint64))[0])
-    coded = [_codes(v) for v in values]
-    return pd.DataFrame({"whole": [of(c) for c in coded], "prefix": [of(c[:PREFIX]) for c in coded]})
-
-
-def _bit_sets(numbers: DataFrame) -> dict[str, np.ndarray]:
-    """Sets of numbers below 2^BITS, by kind, as bits in arrays of fixed size.
-
-    Gathered as bitmaps: at most 512 parts of 4 KB per kind reach the driver.
-    """
-    # Bitmap numbers start at 1: number v + 1 stands at bit v of the whole set.
-    parts = numbers.select("kind", (F.col("v") + 1).alias("v")).groupBy(
-        "kind", F.bitmap_bucket_number("v").alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
-    out = {k: np.zeros((2 ** BITS // 32768, 4096), dtype=np.uint8) for k in ("whole", "prefix", "length")}
-    for row in parts:
-        out[row["kind"]][row["b"] - 1] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return {k: v.reshape(-1) for k, v in out.items()}
-
-
-def occurrences(texts: DataFrame, values: DataFrame, order: list[str], text_col: str = "text",
-                value_col: str = "value", context: bool = False) -> DataFrame:
-    """Count each value in all texts: case-insensitive, substrings too, not overlapping.
-
-    Returns (value_col, occurrences[, source_context]) with a row for each value that
-    occurs; the context is the surroundings of the first hit in the first text by
-    ``order``.
-
-    There is no join of texts with values. Each task hashes the substrings of its
-    texts at the lengths that values have and keeps those whose hash is in a bit
-    set of fixed size; what is left (all true hits and a few chance ones) is joined
-    with the values by equality, after each task has added up its own.
-    """
-    spark = texts.sparkSession
-    wanted = values.select(F.lower(value_col).alias("v")).where("v <> ''").distinct()
-    buckets = F.pandas_udf(_value_buckets, "struct<whole:bigint,prefix:bigint>")
-    numbers = wanted.select(F.length("v").cast("bigint").alias("n"), buckets("v").alias("h")).select(
-        F.inline(F.expr(f"filter(array(named_struct('kind', 'length', 'v', n), "
-                        f"named_struct('kind', 'whole', 'v', h.whole), "
-                        f"if(n >= {PREFIX}, named_struct('kind', 'prefix', 'v', h.prefix), NULL)), "
-                        f"x -> x IS NOT NULL)")))
-    sets = _bit_sets(numbers)
-    lengths = np.flatnonzero(np.unpackbits(sets["length"], bitorder="little")).tolist()
-    whole = spark.sparkContext.broadcast(sets["whole"])
-    prefix = spark.sparkContext.broadcast(sets["prefix"])
-    short = [n for n in lengths if n < PREFIX]
-    long = [n for n in lengths if n >= PREFIX]
-
-    @F.pandas_udf("array<struct<v:string,n:int,at:int>>")
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        whole_set = np.unpackbits(whole.value, bitorder="little")
-        prefix_set = np.unpackbits(prefix.value, bitorder="little")
-
-        def find(text: str | None) -> list[dict]:
-            if not text:
-                return []
-            codes = _codes(text)
-            h, back = _prefix_hashes(codes), _inverse_powers(len(codes) + 1)
-            last: dict[str, int] = {}
-            counts: dict[str, list[int]] = {}
-            every = np.arange(len(codes), dtype=np.int64)
-            seeds = every[:max(0, len(codes) - PREFIX + 1)]
-            if long:
-                seeds = seeds[prefix_set[_at(h, seeds, PREFIX, back)] == 1]
-            for n in short + long:
-                starts = every if n < PREFIX else seeds
-                starts = starts[starts <= len(codes) - n]
-                for s in starts[whole_set[_at(h, starts, n, back)] == 1].tolist():
-                    value = text[s:s + n]
-                    if s >= last.get(value, 0):
-                        last[value] = s + n
-                        counts.setdefault(value, [0, s])[0] += 1
-            return [{"v": v, "n": n, "at": at} for v, (n, at) in counts.items()]
-
-        for batch in batches:
-            yield batch.map(find)
-
-    found = texts.select(*order, text_col, F.explode(hits(F.lower(text_col))).alias("hit"))
-    aggregates = [F.sum("hit.n").alias("occurrences")]
-    if context:
-        start = F.greatest(F.col("hit.at") - RADIUS, F.lit(0))
-        window = F.translate(F.substring(
-            text_col, start + 1, F.col("hit.at") + F.length("hit.v") + RADIUS - start), "\r\n", "  ")
-        aggregates.append(F.min_by(window, F.struct(*order)).alias("source_context"))
-    counted = found.groupBy(F.col("hit.v").alias("v")).agg(*aggregates)
-    keyed = values.select(value_col, F.lower(value_col).alias("v")).distinct()
-    return keyed.join(counted, "v").drop("v")
-
 
 def document_text(runs: DataFrame, keys: list[str], stories: list[str] | None = None) -> DataFrame:
     """Texts of documents for review: paragraphs of the chosen stories joined by line ends."""
@@ -162,8 +29,8 @@ def review_sheet(mapping: DataFrame, originals: DataFrame, redacted: DataFrame,
                          ).withColumnRenamed("occurrences", "original_occurrences")
     after = occurrences(redacted, mapping, order, text_col, "replacement"
                         ).withColumnRenamed("occurrences", "replacement_occurrences")
-    sheet = mapping.select("original", "replacement").join(before, "original", "left").join(
-        after, "replacement", "left")
+    # many originals may share a replacement
+    sheet = join_by_value(mapping.select("original", "replacement"), after, "replacement").join(before, "original", "left")
     zero, blank = F.lit(0).cast("bigint"), F.lit("")
     return sheet.select(
         "original", "replacement", F.coalesce("original_occurrences", zero).alias(

@@ -115,11 +115,15 @@ def test_binary_metrics(spark):
         M.binary_counts(spark.createDataFrame([(1, None)], "t int, p int"), "t", "p").collect()
 
 
-def test_occurrences_by_brute_force(spark):
+@pytest.mark.parametrize("slices", [1, 5])
+def test_occurrences_by_brute_force(spark, monkeypatch, slices):
+    from spanveil.operators import occurrences as O
     rng = random.Random(9)
     texts = ["".join(rng.choice("abAB é\n") for _ in range(rng.randint(0, 200))) for _ in range(120)]
     values = sorted({texts[i][5:5 + n] for i in range(60) for n in (1, 2, 3, 7, 8, 9, 12, 30)
                      if texts[i][5:5 + n]} | {"zzz", "aa", "abab", "a" * 9})
+    if slices > 1:
+        monkeypatch.setattr(O, "PASS_VALUES", len(values) // slices)
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(6)
     got = {r.value: r for r in V.occurrences(
         df, spark.createDataFrame([(v,) for v in values], "value string"), ["id"],
@@ -134,6 +138,53 @@ def test_occurrences_by_brute_force(spark):
             assert got[v].source_context == want
 
 
+def test_value_filter_lets_few_strangers_pass(spark):
+    """100,000 values: all pass, and less than one in a hundred of other strings."""
+    import numpy as np
+    from spanveil.operators import occurrences as O
+    n = 100_000
+    whole, prefix = O.build_filters(spark.range(n).selectExpr("'value number ' || id AS v"), n)
+    assert whole.bits.nbytes <= n * 2 + 8192
+    h = lambda words: np.array([O.Hashes(O.codes_of(w)).at(np.zeros(1, np.int64), len(w))[0] for w in words])
+    assert len(whole.passes(h([f"value number {i}" for i in range(0, n, 7)]))) == len(range(0, n, 7))
+    assert len(whole.passes(h([f"other number {i}" for i in range(20_000)]))) < 0.01 * 20_000
+    assert len(prefix.passes(h(["value nu"]))) == 1 and len(prefix.passes(h([f"va{i:06d}" for i in range(5_000)]))) < 50
+
+
+def test_hits_without_overlaps(spark):
+    """Also where different substrings share a hash."""
+    from spanveil.operators import occurrences as O
+    every = O.Filter(1, O.np.full(4096, 255, dtype=O.np.uint8))
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choice("ab\U0001f600") for _ in range(rng.randint(1, 60)))
+        lengths = [1, 2, 3, 9, 10]
+        got = {h["v"]: (h["n"], h["at"]) for h in O.hits_in(text, lengths, every, every)}
+        want = {text[i:i + n] for n in lengths for i in range(len(text) - n + 1)}
+        assert got == {v: (text.count(v), text.find(v)) for v in want}
+    real = O.Hashes.at
+    try:
+        O.Hashes.at = lambda self, starts, length: real(self, starts, length) & O.np.uint64(1)
+        got = {h["v"]: (h["n"], h["at"]) for h in O.hits_in("abcabcabbaabc" * 3, [3, 8], every, every)}
+    finally:
+        O.Hashes.at = real
+    text = "abcabcabbaabc" * 3
+    assert got == {v: (text.count(v), text.find(v)) for n in (3, 8) for v in {text[i:i + n] for i in range(len(text) - n + 1)}}
+
+
+def test_review_of_a_shared_replacement(spark):
+    """A thousand originals with one replacement, and texts that are blank or null."""
+    mapping = spark.createDataFrame([(f"name{i:04d}", "PERSON", "<P>" if i % 3 else f"<Q{i}>") for i in range(1500)], MAPPING)
+    before = spark.createDataFrame([(i, f"x NAME{i:04d} y") for i in range(0, 1500, 2)] + [(9001, None), (9002, "")], "id int, text string")
+    after = spark.createDataFrame([(i, "x <p> y <P><Q3>") for i in range(10)] + [(9001, None)], "id int, text string")
+    rows = {r.original: r for r in V.review_sheet(mapping, before, after, ["id"]).collect()}
+    assert len(rows) == 1500
+    for i in range(1500):
+        r = rows[f"name{i:04d}"]
+        assert r.original_occurrences == (i % 2 == 0)
+        assert r.replacement_occurrences == (20 if i % 3 else 10 if i == 3 else 0)
+
+
 def test_review_sheet_and_metrics(spark, tmp_path):
     mapping = spark.createDataFrame([("Bob", "PERSON", "Al"), ("amy", "PERSON", "X9"),
                                      ("gone", "ORG", "n/a")], MAPPING)
