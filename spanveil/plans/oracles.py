@@ -249,6 +249,11 @@ def oracle_sql() -> dict[str, str]:
             || '<b>1111 1111</b> 1111 twice</p><p>4111 1111</p><p>1111 1111</p>' AS html FROM pages""",
         "literal_replace": """SELECT doc_id, replace(replace(replace(replace(text, 'ingtion', '<it>'),
             'tion', '<t>'), 'ing', '_'), 'e', '3') AS text FROM documents""",
+        "table_replace": """WITH words AS (SELECT DISTINCT string_split(text, ' ')[1] AS o FROM documents
+                WHERE length(string_split(text, ' ')[1]) >= 3),
+            entries AS (SELECT list({'o': o, 'r': substr(o, 2) || 'e'} ORDER BY length(o) DESC, o) AS e FROM words)
+            SELECT doc_id, list_reduce(list_prepend({'o': text, 'r': ''}, e),
+                lambda a, x: {'o': replace(a.o, x.o, x.r), 'r': ''}).o AS text FROM documents, entries""",
         "exact_match_metrics": f"""WITH {TRUTH_CTE} SELECT tp, fp, fn,
             round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
             round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM cells""",

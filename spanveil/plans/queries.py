@@ -27,6 +27,7 @@ from spanveil.operators.redact import redact, redact_runs, replace_text, runs_te
 from spanveil.operators.resolve import dedupe, resolve_overlaps
 from spanveil.plans.planted import gate_cases, notes
 from spanveil.plans.redaction import keep, new_folder, redact_table
+from spanveil.plans.replacement import replace_by_table
 from spanveil.schema import CANDIDATES, MAPPING
 from spanveil.sources.docx import register_docx
 from spanveil.sources.html import page_paragraphs, page_runs, rebuild_pages
@@ -347,6 +348,15 @@ def literal_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", replace_text(F.col("text"), WORDS).alias("text"))
 
 
+def table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries from the texts: the first word of each, to lose its first letter and gain another; so
+    replacements make words that further entries replace."""
+    texts = documents(spark, sf_dir)
+    words = texts.select(F.element_at(F.split("text", " "), 1).alias("original")).where("length(original) >= 3").distinct()
+    entries = words.withColumn("replacement", F.expr("substring(original, 2) || 'e'"))
+    return replace_by_table(texts, entries, ["doc_id"]).select("doc_id", F.col("replaced").alias("text"))
+
+
 # --- scoring ---------------------------------------------------------------------------
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,6 +543,7 @@ def queries() -> dict[str, Query]:
         "redact_documents": redact_documents, "redact_notes": redact_notes,
         "redact_runs": redact_note_runs, "page_round_trip": page_round_trip,
         "redact_pages": redact_pages, "redact_page_bodies": redact_page_bodies, "literal_replace": literal_replace,
+        "table_replace": table_replace,
         "exact_match_metrics": exact_match_metrics, "span_type_totals": span_type_totals,
         "char_accuracy": char_accuracy, "span_metrics_report": span_metrics_report,
         "binary_metrics": binary_metrics, "review_sheet": review_sheet,
