@@ -329,6 +329,16 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
                   FROM (SELECT doc_id, string_split(regexp_replace(text,
                         '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), chr(10)) AS p FROM documents))""",
+        "docx_redaction": f"""WITH {NOTES_CTE}, masked AS (
+                SELECT *, kind IS NOT NULL AS found, CASE WHEN kind IS NOT NULL THEN '<' || kind || '>' ELSE value END AS v FROM notes)
+            SELECT note_id, 'body' AS story, 0::BIGINT AS para_no, run_no, CASE run_no
+                WHEN 0 THEN prefix WHEN 1 THEN CASE WHEN found THEN v ELSE left(value, 2) END
+                WHEN 2 THEN CASE WHEN found THEN '' ELSE substr(value, 3, 3) END
+                ELSE CASE WHEN found THEN '' ELSE substr(value, 6) END || suffix END AS run_text
+            FROM masked, (SELECT unnest(range(0, 4)) AS run_no)
+            UNION ALL SELECT note_id, 'table', 1, run_no, CASE run_no WHEN 0 THEN prefix || v ELSE suffix END
+            FROM masked, (SELECT unnest(range(0, 2)) AS run_no)
+            UNION ALL SELECT note_id, 'header', 2, 0, prefix || v || suffix FROM masked""",
         "redact_pages": f"""SELECT page_id, {MASKED_PAGE} || {PLANTED_TAIL} AS redacted_html FROM pages""",
         "redact_page_bodies": f"""WITH {NOTES_CTE} SELECT page_id, replace({MASKED_PAGE}, '<article>', '<article><p>' ||
                 CASE WHEN note_id IS NULL THEN '' ELSE prefix || CASE WHEN kind IS NULL THEN left(value, 2) || '<b>'

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanveil.functions.pseudonyms import constant_masks
@@ -29,7 +31,7 @@ from spanveil.plans.planted import gate_cases, notes
 from spanveil.plans.redaction import keep, new_folder, redact_table
 from spanveil.plans.replacement import replace_by_table
 from spanveil.schema import CANDIDATES, MAPPING
-from spanveil.sources.docx import register_docx
+from spanveil.sources.docx import paragraph_runs, read_docx, register_docx
 from spanveil.sources.html import page_paragraphs, page_runs, rebuild_pages
 from spanveil.sources.tables import paragraphs, spread, write_mapping
 from spanveil.streaming.redaction import redact_stream, redact_with_mapping
@@ -522,6 +524,54 @@ def docx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "FROM {files}, LATERAL docx_runs(content) r", files=files)
 
 
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def _note_docx(runs: list[list[str]]) -> bytes:
+    """A document with the runs of one paragraph in its body, one in a table cell, one in the header."""
+    body, cell, head = ("<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>' for t in some) + "</w:p>"
+                        for some in runs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", (
+            f'<w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>{body}<w:tbl><w:tr><w:tc>{cell}</w:tc></w:tr></w:tbl>'
+            '<w:sectPr><w:headerReference w:type="default" r:id="h"/></w:sectPr></w:body></w:document>'))
+        archive.writestr("word/_rels/document.xml.rels", (
+            f'<Relationships xmlns="{RELS}"><Relationship Id="h" Target="header1.xml"/></Relationships>'))
+        archive.writestr("word/header1.xml", f'<w:hdr xmlns:w="{W}">{head}</w:hdr>')
+    return out.getvalue()
+
+
+def _write_docx(folder: str):
+    """Write each note's document under its number: a task that runs again writes the same files."""
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with system.open_output_stream(f"{root}/{r['note_id']}.docx") as out:
+                    out.write(_note_docx(r["runs"]))
+            yield pa.RecordBatch.from_arrays([batch.column("note_id")], ["note_id"])
+    return run
+
+
+def docx_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word files of notes, read from a folder and redacted run by run: body, table cell and header."""
+    folder = _scratch(spark)
+    whole = _notes(spark, sf_dir).selectExpr("note_id", (
+        "array(array(prefix, left(value, 2), substring(value, 3, 3), substring(value, 6) || suffix), "
+        "array(prefix || value, suffix), array(prefix || value || suffix)) AS runs"))
+    written = whole.mapInArrow(_write_docx(folder), "note_id bigint")
+    written.agg(F.count("*")).collect()
+    runs = read_docx(spark, folder)
+    paras = paragraph_runs(runs.withColumn("note_id", F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("bigint")), ["note_id"])
+    out = redact_runs(detect(paras), generators=MASKS)
+    return out.select("note_id", "story", F.col("para_no").cast("bigint").alias("para_no"), F.inline("redacted_runs")).select(
+        "note_id", "story", "para_no", F.col("run_no").cast("bigint").alias("run_no"), "run_text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "email_spans": _recognized("email"), "ip_spans": _recognized("ip"),
@@ -550,5 +600,5 @@ def queries() -> dict[str, Query]:
         "word_occurrences": word_occurrences, "review_metrics": review_metrics,
         "stream_redaction": stream_redaction, "stream_mapping": stream_mapping,
         "stream_mapped_texts": stream_mapped_texts,
-        "docx_runs": docx_runs,
+        "docx_runs": docx_runs, "docx_redaction": docx_redaction,
     }

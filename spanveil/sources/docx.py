@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spanveil.schema import RUNS_TABLE
 
@@ -111,15 +116,86 @@ def register_docx(spark: SparkSession) -> None:
     spark.udtf.register("docx_runs", F.udtf(DocxRuns, returnType=RUNS_TABLE))
 
 
-def read_docx(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
-    """Runs of all documents under a folder: path, story, para_no, run_no, run_text.
+FILE_BYTES = 32 << 20  # files that a partition reads
+BATCH_CHARS = 1 << 20  # text in a batch
+_COLUMNS = pa.schema([("path", pa.string()), ("story", pa.string()), ("para_no", pa.int32()), ("run_no", pa.int32()),
+                      ("run_text", pa.string())])
 
-    Each file is one row of the binary source and is parsed where it is read.
+
+@dataclass
+class DocxFiles(InputPartition):
+    paths: list[str]
+
+
+class DocxSource(DataSource):
+    """Data source ``docx``: path, story, para_no, run_no, run_text of all documents under a folder.
+
+    Options: ``glob`` (*.docx), ``partitionBytes`` (the size of files that one task reads) and
+    ``mode``: FAILFAST, or PERMISSIVE to leave out files that are no documents. The path is a
+    local one or a URI of a file system that driver and executors share.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", True).load(path).select("path", "content")
-    register_docx(spark)
-    return spark.sql("SELECT path, r.* FROM {files}, LATERAL docx_runs(content) r", files=files)
+
+    @classmethod
+    def name(cls) -> str:
+        return "docx"
+
+    def schema(self) -> str:
+        return f"path string, {RUNS_TABLE}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return DocxReader(self.options)
+
+
+class DocxReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.glob = options["path"], options.get("glob", "*.docx")
+        self.most, self.mode = int(options.get("partitionBytes", FILE_BYTES)), options.get("mode", "FAILFAST").upper()
+
+    def _files(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def partitions(self) -> list[InputPartition]:
+        """Files of the folder, packed in order of their paths until a partition is full."""
+        system, root = self._files()
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        parts, size = [], 0
+        for info in sorted((i for i in found if i.is_file and fnmatch.fnmatch(i.base_name, self.glob)), key=lambda i: i.path):
+            if not parts or size + info.size > self.most:
+                parts.append(DocxFiles([]))
+                size = 0
+            parts[-1].paths.append(info.path)
+            size += info.size
+        return parts or [DocxFiles([])]
+
+    def read(self, partition: DocxFiles) -> Iterator[pa.RecordBatch]:
+        system, rows, chars = self._files()[0], [], 0
+        for path in partition.paths:
+            with system.open_input_stream(path) as stream:
+                content = stream.read()
+            try:
+                found = list(document_runs(content))
+            except (zipfile.BadZipFile, KeyError, ET.ParseError) as error:
+                if self.mode == "PERMISSIVE":
+                    continue
+                raise ValueError(f"{path} is no document: {error}") from error
+            for run in found:
+                rows.append((path, *run))
+                chars += len(run[3])
+                if chars > BATCH_CHARS:
+                    yield _batch(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COLUMNS)], schema=_COLUMNS)
+
+
+def read_docx(spark: SparkSession, path: str, glob: str = "*.docx", **options: str) -> DataFrame:
+    """Runs of all documents under a folder: path, story, para_no, run_no, run_text."""
+    spark.dataSource.register(DocxSource)
+    return spark.read.format("docx").options(path=path, glob=glob, **options).load()
 
 
 def paragraph_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -348,3 +348,22 @@ def test_docx(spark, tmp_path):
                    ("footer", "footer1")]
     text = V.document_text(runs, ["path"], ["body", "table"]).first().text
     assert text == "Hello\na\tb\nlink\nend\ncell"
+
+
+def test_docx_source_plans_partitions(spark, tmp_path):
+    """Small files share a partition, large ones do not; broken files fail or are left out."""
+    for i in range(9):
+        _docx(tmp_path / f"{i}.docx")
+    size = (tmp_path / "0.docx").stat().st_size
+    runs = read_docx(spark, str(tmp_path), partitionBytes=str(size * 4))
+    assert runs.rdd.getNumPartitions() == 3 and runs.select("path").distinct().count() == 9
+    each = [tuple(r) for r in runs.where(F.col("path").endswith("3.docx")).orderBy("para_no", "run_no").collect()]
+    assert [r[1:] for r in each] == list(document_runs((tmp_path / "3.docx").read_bytes()))
+    assert read_docx(spark, str(tmp_path), partitionBytes="1").rdd.getNumPartitions() == 9
+    assert read_docx(spark, f"file://{tmp_path}", glob="[12].docx").select("path").distinct().count() == 2
+    (tmp_path / "broken.docx").write_bytes(b"PK no archive")
+    with pytest.raises(Exception, match="broken.docx is no document"):
+        read_docx(spark, str(tmp_path)).collect()
+    assert read_docx(spark, str(tmp_path), mode="permissive").select("path").distinct().count() == 9
+    (tmp_path / "none").mkdir()
+    assert read_docx(spark, str(tmp_path / "none")).collect() == []
