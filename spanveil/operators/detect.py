@@ -36,11 +36,11 @@ def with_candidates(df: DataFrame, text: str, external: list[str] | None = None,
 def judge(df: DataFrame, *, confidence: float = D.DEFAULT_CONFIDENCE,
           thresholds: dict[str, float] | None = None,
           source_thresholds: dict[str, float] | None = None,
-          frequency_limit: int = D.FREQUENCY_LIMIT) -> DataFrame:
+          frequency_limit: int = D.FREQUENCY_LIMIT, recheck: bool = False) -> DataFrame:
     """Replace ``_found`` and ``_protected`` by ``_judged``: every candidate with its fate."""
     df = apply_validity(df, "_found", "_protected", "_valid")
     df = apply_confidence(df, "_valid", "_sure", confidence=confidence, thresholds=thresholds,
-                          source_thresholds=source_thresholds)
+                          source_thresholds=source_thresholds, recheck=recheck)
     df = apply_semantics(df, "_sure", "_gated")
     df = add_columns(df, {"_open": open_ones("_gated")})
     df = suppress_frequent(df, "_open", "_counted", frequency_limit)
@@ -69,7 +69,8 @@ def detect(df: DataFrame, text_col: str = "text", *, output: str = "spans",
     external: columns with candidates from ``external.ner_candidates`` / ``analyzer_candidates``.
     rejected: name of a further column for the candidates that were turned down.
     recognizers: names of the pattern recognizers to run (default all).
-    options: confidence, thresholds, source_thresholds, frequency_limit.
+    options: confidence, thresholds, source_thresholds, frequency_limit, recheck (the dictionary
+    gates once more on what passed the confidence gate).
     """
     judged = judge(with_candidates(df, text_col, external, recognizers, phrases), **options)
     columns = {output: accepted("_judged")}

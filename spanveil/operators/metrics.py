@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanveil.functions.text import to_sorted_json
-from spanveil.operators.stats import metric_row
+from spanveil.operators.stats import metric_row, metrics_frame
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -110,14 +110,14 @@ def span_report(compared: DataFrame, accuracy: DataFrame) -> DataFrame:
         F.max("accuracy").alias("accuracy"), counts("fn").alias("truths"),
         counts("fp").alias("predictions"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return one.select(F.inline(F.array(
+    return metrics_frame(one, F.array(
         metric_row("Total ground-truth entities", tp + fn),
         metric_row("Total detected entities", tp + fp), metric_row("True positives", tp),
         metric_row("False positives", fp), metric_row("False negatives", fn),
         metric_row("Precision", ratio(tp, tp + fp)), metric_row("Recall", ratio(tp, tp + fn)),
         metric_row("F1 Score", f1(tp, fp, fn)), metric_row("Accuracy", F.col("accuracy")),
         metric_row("Ground-truth entity counts", F.expr(to_sorted_json("truths"))),
-        metric_row("Detected entity counts", F.expr(to_sorted_json("predictions"))))))
+        metric_row("Detected entity counts", F.expr(to_sorted_json("predictions")))))
 
 
 def binary_counts(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -145,4 +145,4 @@ def binary_report(metrics: DataFrame) -> DataFrame:
     names = {"Accuracy": "accuracy", "Precision": "precision", "Recall": "recall",
              "F1 Score": "f1", "Total entities evaluated": "total", "False positives": "fp",
              "False negatives": "fn"}
-    return metrics.select(F.inline(F.array(*[metric_row(n, F.col(c)) for n, c in names.items()])))
+    return metrics_frame(metrics, F.array(*[metric_row(n, F.col(c)) for n, c in names.items()]))

@@ -8,7 +8,7 @@ from spanveil.functions.text import is_yes
 from spanveil.operators.mapping import join_by_value
 from spanveil.operators.metrics import ratio
 from spanveil.operators.occurrences import occurrences
-from spanveil.operators.stats import metric_row
+from spanveil.operators.stats import metric_row, metrics_frame
 
 
 def document_text(runs: DataFrame, keys: list[str], stories: list[str] | None = None) -> DataFrame:
@@ -101,4 +101,4 @@ def review_report(metrics: DataFrame) -> DataFrame:
         metric_row("Accuracy", either("accuracy", NO_NEGATIVES)),
         metric_row("Missed PII", F.col("missed")),
         metric_row("True negatives", F.col("true_negatives")))
-    return metrics.select(F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
+    return metrics_frame(metrics, F.filter(rows, lambda r: r["value"].isNotNull()))

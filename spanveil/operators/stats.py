@@ -75,6 +75,11 @@ def metric_row(name: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("metric"), value.cast("string").alias("value"))
 
 
+def metrics_frame(df: DataFrame, rows: Column) -> DataFrame:
+    """One row per metric: position, metric, value. The position keeps a report in order."""
+    return df.select(F.posexplode(rows).alias("position", "row")).select("position", "row.metric", "row.value")
+
+
 def detection_report(spans: DataFrame, replacements: DataFrame) -> DataFrame:
     """Metrics frame of a run without ground truth; types in alphabetical order.
 
@@ -96,4 +101,4 @@ def detection_report(spans: DataFrame, replacements: DataFrame) -> DataFrame:
             F.concat(F.lit("Detected "), t["entity_type"]).alias("metric"),
             t["n"].cast("string").alias("value"))),
         F.array(*[metric_row(n, F.lit(NO_TRUTH)) for n in NO_TRUTH_METRICS]))
-    return gathered.select(F.inline(lines))
+    return metrics_frame(gathered, lines)

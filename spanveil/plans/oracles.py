@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from spanveil.functions import pseudonyms as N
-from spanveil.plans.planted import CASES, FATES_CTE, K, NOTES_CTE
+from spanveil.operators.protected import PHRASES as PROTECTED_PHRASES
+from spanveil.plans.planted import CASES, FATES_CTE, K, NOTES_CTE, dictionary_entries
 
 TYPES = ("PERSON", "EMAIL", "PHONE", "ADDRESS", "ORG", "SSN", "CREDIT_CARD", "IP_ADDRESS", "DOB")
 
@@ -67,9 +70,9 @@ def _pick(h: str, i: int, words) -> str:
     return f"([{items}])[1 + {_number(h, i)} % {len(words)}]"
 
 
-def _fake(kind: str, value: str) -> str:
+def _fake(kind: str, value: str, seed: int = N.SEED) -> str:
     """The fakes by type, from the same hash."""
-    h = f"md5('{N.SEED}|' || {kind} || '|' || {value})"
+    h = f"md5('{seed}|' || {kind} || '|' || {value})"
     n = lambda i: _number(h, i)
     person = f"{_pick(h, 0, N.FIRST_NAMES)} || ' ' || {_pick(h, 1, N.LAST_NAMES)}"
     body = f"'4' || lpad(CAST({n(0)} % 10000000 AS STRING), 7, '0') || lpad(CAST({n(1)} % 10000000 AS STRING), 7, '0')"
@@ -349,4 +352,53 @@ def oracle_sql() -> dict[str, str]:
         f"WHEN {i} THEN {c.prefix} || {c.value} || {c.suffix}" for i, c in enumerate(CASES)) + " END")
     sql["confidence_gate"] = sql["confidence_gate"].replace("{TEXT}", texts)
     sql["distinct_type_counts"] = sql["type_counts"]
-    return sql
+    return sql | _item_sql(sql)
+
+
+def _item_sql(sql: dict[str, str]) -> dict[str, str]:
+    """Twins of ``item_queries``."""
+    values = f"WITH {NOTES_CTE}, v AS (SELECT DISTINCT value, kind FROM notes WHERE kind IS NOT NULL)"
+    entries = dictionary_entries()
+    inside = lambda entry: any(re.search(rf"(?<!\w){re.escape(p)}(?!\w)", f"x{entry}0") for p in PROTECTED_PHRASES)
+    fates = {i: "protected_span_skipped" if inside(entry) else fate for i, (entry, fate) in enumerate(entries)}
+    rechecked = " ".join(f"WHEN {i} THEN '{c.fate}'" for i, c in enumerate(CASES)
+                         if c.fate in ("public_organization", "protected_term", "confidence"))
+    gone = ", ".join(str(i) for i, c in enumerate(CASES) if c.fate is None)
+    return {
+        "saved_mapping": f"{values} SELECT value AS original, kind AS entity_type, 'x-' || value AS replacement FROM v",
+        "legacy_mapping": f"{values} SELECT value AS original, 'x-' || value AS replacement FROM v",
+        "ground_truth": f"""WITH {NOTES_CTE} SELECT CAST(note_id AS STRING) AS id, text, CASE WHEN kind IS NULL THEN 0 ELSE 1 END
+            AS entities, CASE WHEN kind IS NOT NULL THEN s END AS first_start, kind AS first_type FROM notes""",
+        "saved_review": f"""{values} SELECT value AS original, 'x, "' || value || '"' AS replacement, length(value) AS original_occurrences,
+            'a' || chr(10) || value AS source_context, CASE WHEN kind = 'ORG' THEN 'no' ELSE 'yes' END AS is_actual_pii FROM v""",
+        "saved_metrics": f"""SELECT row_number() OVER (ORDER BY rank, metric) - 1 AS position, metric, value FROM ({_ranked(sql)})""",
+        "saved_report": f"""SELECT row_number() OVER (ORDER BY rank, line) - 1 AS line_no, line FROM (
+            SELECT -2 AS rank, 'PII Redaction Evaluation Report' AS line UNION ALL SELECT -1, repeat('=', 34)
+            UNION ALL SELECT rank, metric || ': ' || value FROM ({_ranked(sql)}))""",
+        "saved_redacted": f"""WITH {NOTES_CTE} SELECT note_id, coalesce(kind, 'none') AS part, prefix || CASE WHEN kind IS NULL
+            THEN value ELSE '<' || kind || '>' END || suffix AS redacted FROM notes""",
+        "recheck": f"""SELECT {K} AS note_id, CASE {K} % {len(CASES)} {rechecked} ELSE 'kept' END AS fate FROM customer
+            WHERE {K} % {len(CASES)} NOT IN ({gone})""",
+        "blank_texts": f"SELECT {K} AS note_id, CASE WHEN {K} % 4 < 3 THEN 0 ELSE 2 END AS spans FROM customer",
+        "binary_report": f"""SELECT metric, value FROM (SELECT unnest(['Accuracy', 'Precision', 'Recall', 'F1 Score',
+            'Total entities evaluated', 'False positives', 'False negatives']) AS metric,
+            unnest([format('{{:.6f}}', accuracy), format('{{:.6f}}', precision), format('{{:.6f}}', recall), format('{{:.6f}}', f1),
+            CAST(total AS STRING), CAST(fp AS STRING), CAST(fn AS STRING)]) AS value FROM ({sql["binary_metrics"]}))""",
+        "first_types": """SELECT value AS original, min_by(kind, l_orderkey * 10 + l_linenumber) AS entity_type, count(*) AS n
+            FROM (SELECT *, 'Value ' || CAST(l_partkey % 500 AS STRING) AS value, CASE l_suppkey % 3 WHEN 0 THEN 'PERSON'
+                WHEN 1 THEN 'ORG' ELSE 'EMAIL' END AS kind FROM lineitem) GROUP BY value""",
+        "sheet_order": f"""{values} SELECT row_number() OVER (ORDER BY lower(value), value) - 1 AS position, value AS original
+            FROM (SELECT DISTINCT value FROM v)""",
+        "document_texts": f"""WITH {NOTES_CTE} SELECT note_id, prefix || value || chr(10) || suffix || chr(10) || value AS text FROM notes""",
+        "seeded_fakes": f"{values} SELECT value AS original, kind AS entity_type, {_fake('kind', 'value', 7)} AS replacement FROM v",
+        "dictionary_gates": f"""SELECT {K} AS note_id, CASE {K} % {len(entries)} """ + " ".join(
+            f"WHEN {i} THEN '{fate}'" for i, fate in fates.items()) + " END AS fate FROM customer",
+    }
+
+
+def _ranked(sql: dict[str, str]) -> str:
+    """The detection report with the order of its lines: totals, types by name, then what needs a truth."""
+    last = ["False positives", "False negatives", "Precision", "Recall", "F1 Score", "Accuracy"]
+    cases = " ".join(f"WHEN '{n}' THEN {i}" for i, n in
+                     [(0, "Total entities detected"), (1, "Unique replacements"), *((10 + i, n) for i, n in enumerate(last))])
+    return f"SELECT *, CASE metric {cases} ELSE 5 END AS rank FROM ({sql['detection_report']})"

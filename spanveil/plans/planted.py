@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanveil.functions import dictionaries as D
+
 K = "c_custkey"
 
 
@@ -166,3 +168,11 @@ def _fate_rows() -> str:
 
 
 FATES_CTE = f"fates AS ({_fate_rows()})"
+
+
+def dictionary_entries() -> list[tuple[str, str]]:
+    """Every dictionary entry of the gates, with the reason that it is turned down for."""
+    protected = D.PROTECTED_TERMS + D.LEGAL_REFERENCE_WORDS
+    reasons = {**dict.fromkeys(D.GENERIC_TERMS, "blacklist"), **dict.fromkeys(protected, "protected_term"),
+               **dict.fromkeys(D.PUBLIC_ORGANIZATIONS, "public_organization")}
+    return sorted(reasons.items())

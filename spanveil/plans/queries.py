@@ -27,6 +27,7 @@ from spanveil.operators.protected import with_protected
 from spanveil.operators.recognizers import recognize
 from spanveil.operators.redact import redact, redact_runs, replace_text, runs_text
 from spanveil.operators.resolve import dedupe, resolve_overlaps
+from spanveil.plans import item_queries
 from spanveil.plans.planted import gate_cases, notes
 from spanveil.plans.redaction import keep, new_folder, redact_table
 from spanveil.plans.replacement import replace_by_table
@@ -243,7 +244,7 @@ def distinct_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = keep(explode_spans(detect(_notes(spark, sf_dir)), ["note_id"]))
-    return A.detection_report(spans, A.unique_values(spans))
+    return A.detection_report(spans, A.unique_values(spans)).drop("position")
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +403,7 @@ def span_metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     detected = _predicted(spark, sf_dir)
     truth, predicted = _truth(spark, sf_dir), explode_spans(detected, ["note_id"])
     accuracy = M.character_accuracy(M.character_counts(detected, truth, predicted, ["note_id"]))
-    report = M.span_report(M.compare_spans(truth, predicted, ["note_id"]), accuracy)
+    report = M.span_report(M.compare_spans(truth, predicted, ["note_id"]), accuracy).drop("position")
     return report.withColumn("value", F.when(
         F.col("metric").isin("Precision", "Recall", "F1 Score", "Accuracy"),
         F.format_number(F.col("value").try_cast("double"), 6)).otherwise(F.col("value")))
@@ -601,4 +602,5 @@ def queries() -> dict[str, Query]:
         "stream_redaction": stream_redaction, "stream_mapping": stream_mapping,
         "stream_mapped_texts": stream_mapped_texts,
         "docx_runs": docx_runs, "docx_redaction": docx_redaction,
+        **item_queries.queries(),
     }

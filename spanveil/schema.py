@@ -29,4 +29,4 @@ REVIEW = ("original string, replacement string, original_occurrences bigint, "
           "replacement_occurrences bigint, source_context string, "
           "is_actual_pii string, entity_type string, notes string")
 
-METRICS = "metric string, value string"
+METRICS = "position int, metric string, value string"

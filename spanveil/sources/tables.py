@@ -91,10 +91,22 @@ def write_review(review: DataFrame, path: str) -> None:
                                        emptyValue="")
 
 
+def _placed(metrics: DataFrame) -> DataFrame:
+    """A metrics frame with positions; one without them counts as it comes."""
+    return metrics if "position" in metrics.columns else metrics.withColumn("position", F.monotonically_increasing_id())
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Two-column CSV (Metric, Value), in the order of the metrics."""
-    metrics.select(F.col("metric").alias("Metric"), F.col("value").alias("Value")).coalesce(
-        1).write.mode("overwrite").csv(path, header=True, escape='"')
+    """Two-column CSV (Metric, Value), in the order of the positions: one file, a metrics frame is small."""
+    _placed(metrics).coalesce(1).sortWithinPartitions("position").select(
+        F.col("metric").alias("Metric"), F.col("value").alias("Value")).write.mode("overwrite").csv(
+        path, header=True, escape='"')
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A metrics frame from what ``write_metrics`` wrote."""
+    return spark.read.schema("metric string, value string").csv(path, header=True, escape='"').select(
+        F.monotonically_increasing_id().cast("int").alias("position"), "metric", "value")
 
 
 # Head of the text report.
@@ -110,8 +122,8 @@ def report_lines(metrics: DataFrame) -> DataFrame:
     value = F.when(F.col("value").rlike(r"^-?\d+\.\d+(?:[eE]-?\d+)?$"),
                    F.format_string("%.4f", F.col("value").try_cast("double"))).otherwise(
         F.col("value"))
-    lines = metrics.select(F.concat_ws(": ", "metric", value).alias("line"))
-    rows = lines.agg(F.collect_list("line").alias("lines"))
+    lines = _placed(metrics).select(F.struct("position", F.concat_ws(": ", "metric", value).alias("line")).alias("l"))
+    rows = lines.agg(F.transform(F.sort_array(F.collect_list("l")), lambda l: l["line"]).alias("lines"))
     head = F.array(F.lit(REPORT_TITLE), F.lit(REPORT_RULE))
     return rows.select(F.explode(F.concat(head, "lines")).alias("value"))
 
@@ -126,5 +138,5 @@ def write_redacted(df: DataFrame, path: str, partition_by: list[str] | None = No
 
 
 __all__ = ["METRICS", "paragraphs", "read_ground_truth", "read_legacy_mapping", "read_mapping",
-           "read_review", "report_lines", "spread", "write_mapping", "write_metrics",
+           "read_metrics", "read_review", "report_lines", "spread", "write_mapping", "write_metrics",
            "write_redacted", "write_report", "write_review"]
