@@ -55,13 +55,13 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_secrets(docs, infer(labelled(docs)))
+    found = find_secrets(docs, infer(labelled(docs)), scores="likelihoods")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     told = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(told(F.filter("secrets", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
-                        told(F.col("secrets")).alias("spans"))
+                        told(F.col("secrets")).alias("spans"), "likelihoods")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

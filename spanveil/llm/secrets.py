@@ -7,10 +7,12 @@ from them. The result is a small probabilistic automaton of the format.
 
 Scoring: every token of 16 or more credential characters, with a letter and a digit, outside the
 spans of the patterns, gets its best mean log-likelihood per character over the kinds. It is a
-secret when that is no less than the credentials' own lower quantile, less a margin.
+secret when that is no less than the credentials' own lower quantile, less a margin. What the patterns
+find stays, and is scored by the same automata, so that all candidates have a format likelihood.
 
 The labelled strings are a bounded sample: per kind the ``SAMPLE`` distinct ones with the smallest
-hash, from all documents. Everything else covers all rows. Without credentials nothing is added.
+hash, of at most ``LONGEST`` characters, from all documents. Everything else covers all rows. Without
+credentials nothing is added.
 
 A null text is empty. Offsets are code points, ends exclusive. Repeated rows are scanned each.
 Columns other than the text are kept.
@@ -20,7 +22,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 6, 20, 24, 16
 HINTS = ("passw", "secret", "token", "api")
-SAMPLE, ALPHA, QUANTILE, MARGIN = 400, 0.05, 0.02, 0.15
+SAMPLE, LONGEST, ALPHA, QUANTILE, MARGIN = 400, 1024, 0.05, 0.02, 0.15
 
 
 def _class_table(*ranges: str) -> np.ndarray:
@@ -95,7 +99,9 @@ def scan(column: pa.Array) -> Iterator[tuple[list[tuple[str, int, int, str]], li
             found += [("hex", *(s := at(a, b)), value[s[0]:s[1]]) for a, b in places]
             found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
             spans = [(*(s := at(a, b)), value[s[0]:s[1]]) for a, b in others]
-            spans = [s for s in spans if not any(f[1] < s[1] and s[0] < f[2] for f in found)]
+            # the spans that begin before a token's end are the first ones; do they reach into it?
+            begins, reach = [f[1] for f in found], list(accumulate((f[2] for f in found), max))
+            spans = [s for s in spans if not (k := bisect_left(begins, s[1])) or reach[k - 1] <= s[0]]
         else:
             found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
             spans = []
@@ -204,7 +210,7 @@ def labelled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[
                                               pa.array([f[1] for f in found], pa.string())], ["kind", "value"])
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(
-        run, "kind string, value string").where("length(value) <= 1024").distinct()
+        run, "kind string, value string").where(F.length("value") <= LONGEST).distinct()
     # the smallest hashes of each task first, so that no kind meets whole in one task
     order, top = [F.xxhash64("value"), "value"], rows.withColumn("part", F.spark_partition_id())
     for keys in (["kind", "part"], ["kind"]):
@@ -220,21 +226,31 @@ def infer(credentials: list[tuple[str, str]]) -> dict[str, Automaton]:
     return {kind: Automaton(strings) for kind, strings in sorted(kinds.items())}
 
 
+def likelihood(token: str, automata: dict[str, Automaton]) -> float:
+    """The best mean log-likelihood per character over the kinds; minus infinity without any."""
+    string = symbols(token)
+    return max((a.score(string) for a in automata.values()), default=-math.inf)
+
+
 def is_secret(token: str, automata: dict[str, Automaton]) -> bool:
     string = symbols(token)
     return any(a.score(string) >= a.least for a in automata.values())
 
 
-def _spans(column: pa.Array, automata: dict[str, Automaton]) -> Iterator[list[tuple[str, int, int]]]:
+def _spans(column: pa.Array, automata: dict[str, Automaton]) -> Iterator[list[tuple[str, int, int, str]]]:
     for found, others in scan(column):
-        spans = [f[:3] for f in found] + [("model", a, b) for a, b, t in others if is_secret(t, automata)]
+        spans = found + [("model", a, b, t) for a, b, t in others if is_secret(t, automata)]
         spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         yield spans
 
 
-def find_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", into: str = "secrets") -> DataFrame:
-    """The rows with an array of spans (kind, start, end) added, by start and kind."""
-    docs = docs.drop(into)
+def find_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", into: str = "secrets",
+                 scores: str | None = None) -> DataFrame:
+    """The rows with an array of spans (kind, start, end) added, by start and kind.
+
+    ``scores``: a further column for the likelihood of each span, null for one that no automaton accepts.
+    """
+    docs = docs.drop(into, *([scores] if scores else []))
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row")
                         if len(docs.columns) > 1 else F.lit(None).cast("int").alias("_row"),
                         F.col(f"`{text}`").cast("string").alias("text"))
@@ -242,13 +258,16 @@ def find_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches, "text", 4 << 20):
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in _spans(batch.column("text"), automata)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], ["_row", "text", "spans"])
+            found = list(_spans(batch.column("text"), automata))
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b, _ in s] for s in found]
+            told = [[v if math.isfinite(v := likelihood(t, automata)) else None for *_, t in s] if scores else [] for s in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(told, pa.list_(pa.float64()))],
+                                             ["_row", "text", "spans", "scores"])
 
     out = given.mapInArrow(run, f"_row {given.schema['_row'].dataType.simpleString()}, text string, "
-                                "spans array<struct<kind: string, start: int, end: int>>")
+                                "spans array<struct<kind: string, start: int, end: int>>, scores array<double>")
     return out.select(*[F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns],
-                      F.col("spans").alias(into))
+                      F.col("spans").alias(into), *([F.col("scores").alias(scores)] if scores else []))
 
 
 def mask_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", mask: str = "[SECRET]") -> DataFrame:

@@ -3,7 +3,8 @@
 Writing. Each record is one row of text; the sink ends rows with the two line ends that close a
 record, so the part files are plain WARC/1.1 files with one record after the other. Records with
 equal payloads (SHA-1 and length) are one response, that of the smallest id, and revisits of it.
-The larger a record, the fewer share its file (``FILES``), so no file passes 1 GiB but by one record.
+The larger a record, the fewer share its file (``FILES``): no file passes 64 MiB but by one record.
+A record of more than 1 GiB (``MOST_RECORD``) is more than the reader takes; writing one is an error.
 
 Reading. A file is one row of a task; its records stream out. Bytes are consumed from good record to
 good record. Where a version line, a header, a length, the closing line ends or the payload digest
@@ -30,8 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from spanveil.llm.common import hold, join_checked, new_folder
 
 VERSION, MEMBER, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
+VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 MOST_RECORD = 1 << 30
-FILES = ((1 << 18, 4000), (1 << 25, 32), (None, 1))  # records of at most so many bytes: so many a file
+FILES = ((1 << 14, 4000), (1 << 18, 256), (1 << 22, 16), (None, 1))  # records of at most so many bytes: so many a file
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 URN = "urn:spanveil:page:"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -73,7 +76,9 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         F.concat(F.lit("WARC-Payload-Length: "), "bytes"),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block"))]
-    records = rows.select(F.concat_ws("\r\n", *fields, F.concat(F.lit("\r\n"), "block")).alias("value"))
+    fits = F.octet_length("block") <= MOST_RECORD
+    block = F.when(fits, F.col("block")).otherwise(F.raise_error(F.lit("a record of more than 1 GiB")))
+    records = rows.withColumn("block", block).select(F.concat_ws("\r\n", *fields, F.concat(F.lit("\r\n"), "block")).alias("value"))
     size, least = F.octet_length("value"), -1
     for most, together in FILES:
         some = records.where((size > least) if most is None else (size > least) & (size <= most))
@@ -82,23 +87,51 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         least = most
 
 
-def _plain(data: bytes, at: int, check: bool):
-    """The record at a version line: (record, end), or (None, reason)."""
-    head, line, to = None, b"", at
-    while head is None or line:  # line by line: a header may be of any length
-        since, to = to, data.find(b"\r\n", to)
-        if to < 0:
-            return None, "no end of header"
-        line, to = data[since:to], to + 2
-        if head is None:
-            if not re.fullmatch(rb"WARC/1\.[01]", line):
-                return None, "version line"
-            head = {}
-        elif line:
+USED = ("warc-type", "content-length", "content-type", "warc-payload-digest", "warc-payload-length", "warc-record-id",
+        "warc-target-uri", "warc-refers-to")
+
+
+class Header:
+    """The lines up to the next header end, read once for all starts that may stand among them."""
+
+    def __init__(self, data: bytes, since: int, before: Header | None):
+        self.since, self.bad, self.fields = since, None, {}
+        if before and before.end >= since - 2:
+            self.end = before.end
+        else:  # the version line's end may be part of it
+            found = data.find(END, since - 2)
+            self.end = len(data) if found < 0 else found
+        to = since
+        if self.end == len(data):
+            self.bad = self.end
+            return
+        while to < self.end:  # line by line: a header may be of any length
+            line = data[to:data.find(b"\r\n", to)]
             field, colon, value = line.decode("utf-8", "replace").partition(":")
             if not colon:
-                return None, "header line"
-            head[field.strip().lower()] = value.strip()
+                self.bad = to
+                break
+            if (name := field.strip().lower()) in USED:
+                self.fields[name] = to, value.strip()
+            to += len(line) + 2
+
+    def serves(self, to: int) -> bool:
+        return self.since <= to <= self.end + 2 and (self.bad is None or to <= self.bad)
+
+
+def _plain(data: bytes, at: int, check: bool, seen: dict[str, Header]):
+    """The record at a version line: (record, end), or (None, reason)."""
+    version = data[at:at + len(VERSIONS[0])]
+    if version not in VERSIONS:
+        return None, "no end of header" if any(v.startswith(version) for v in VERSIONS) else "version line"
+    to = at + len(version)
+    if "header" not in seen or not seen["header"].serves(to):
+        seen["header"] = Header(data, to, seen.get("header"))
+    header = seen["header"]
+    if header.bad is not None:
+        return None, "header line" if header.bad < len(data) else "no end of header"
+    head = {name: value for name, (place, value) in header.fields.items() if place >= to}
+    to = header.end + len(END)
     if not re.fullmatch(r"[0-9]{1,12}", head.get("content-length", "")) or "warc-type" not in head:
         return None, "missing field"
     start, size = to, int(head["content-length"])
@@ -133,9 +166,9 @@ def _member(data: bytes, at: int, check: bool):
         return None, "member"
     if not unpack.eof:
         return None, "truncated member"
-    records, inner = [], 0
+    records, inner, seen = [], 0, {}
     while inner < len(plain):
-        record, end = _plain(plain, inner, check)
+        record, end = _plain(plain, inner, check, seen)
         if record is None:
             return None, f"{end} in member"
         records.append(record)
@@ -145,11 +178,10 @@ def _member(data: bytes, at: int, check: bool):
 
 def salvage(data: bytes, check: bool = True) -> Iterator[dict]:
     """Records and gaps of an archive, in order. Gaps have record_type 'gap' and a reason."""
-    at, n, gap, reason = 0, len(data), None, ""
-    following = {VERSION: -1, MEMBER: -1}  # next place of each start, -1: not searched yet
+    at, n, gap, reason, seen = 0, len(data), None, "", {}
     while at < n:
         if data.startswith(VERSION, at):
-            found, end = _plain(data, at, check)
+            found, end = _plain(data, at, check, seen)
             found = None if found is None else [found]
         elif data.startswith(MEMBER, at):
             found, end = _member(data, at, check)
@@ -168,11 +200,8 @@ def salvage(data: bytes, check: bool = True) -> Iterator[dict]:
             continue
         if gap is None:
             gap, reason = at, end
-        for start in following:
-            if following[start] <= at:
-                place = data.find(start, at + 1)
-                following[start] = n if place < 0 else place
-        at = min(following.values())
+        start = START.search(data, at + 1)
+        at = start.start() if start else n
     if gap is not None:
         yield {"offset": gap, "length": n - gap, "record_type": "gap", "reason": reason}
 

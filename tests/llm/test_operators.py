@@ -452,6 +452,36 @@ def test_inferred_formats(spark):
     assert [s.kind for s in found] in ([], ["model"])
 
 
+def test_formats_of_held_out_credentials(spark):
+    """Automata of half of the credentials: the other half is likely and found bare, words and slugs are not."""
+    from spanveil.llm.secrets import find_secrets, infer
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = [draw("ABCDEFGHJKLMNP", 2) + draw("0123456789", 6) + "-" + draw("abcdef0123456789", 12) for _ in range(200)]
+    automata = infer([("assign", k) for k in keys[:100]])
+    slugs = ["-".join(draw("aeioulnrst", rng.randint(3, 8)) for _ in range(4)) + str(rng.randint(1, 99)) for _ in range(100)]
+    rows = [(0, f"x {k} y") for k in keys[100:]] + [(1, f"x {k} y") for k in slugs] + [(2, f"token = {k}") for k in keys[100:120]] + [
+        (3, f"token = {k}") for k in slugs[:20]]
+    found = find_secrets(spark.createDataFrame(rows, "side int, text string"), automata, scores="likely").collect()
+    side = lambda n: [r for r in found if r.side == n]
+    assert sum([s.kind for s in r.secrets] == ["model"] for r in side(0)) >= 90
+    assert sum(bool(r.secrets) for r in side(1)) <= 5
+    for r in side(2) + side(3):  # spans of the patterns stay, and are scored as well
+        assert [s.kind for s in r.secrets] == ["assign"] and len(r.likely) == 1
+    mean = lambda rs: sum(-99 if r.likely[0] is None else r.likely[0] for r in rs) / len(rs)
+    assert mean(side(2)) > mean(side(3)) + 0.5
+
+
+def test_many_tokens_beside_many_spans(spark):
+    import time
+    import pyarrow as pa
+    from spanveil.llm.secrets import scan
+    text = " ".join(f"token=abc{i:05d}x QRST{i:06d}ABCDEFGH9z{i}" for i in range(20_000))
+    start = time.time()
+    ((found, others),) = scan(pa.array([text]))
+    assert time.time() - start < 10 and len(found) == len(others) == 20_000
+
+
 def test_warc_round_trip(spark, empty):
     from spanveil.llm.warc import round_trip
     pages = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>é</p>"), (5, "u", "WARC/1.1\r\n\r\nfake\r\n\r\n"),
@@ -525,6 +555,19 @@ def test_salvage():
     assert [r["record_type"] for r in salvage(b"no archive at all")] == ["gap"] and not list(salvage(b""))
 
 
+def test_salvage_takes_linear_time():
+    """50 MB of what nearly starts a record, and headers that never end."""
+    import time
+    from spanveil.llm.warc import salvage
+    good = record(1, b"page")
+    for junk in (b"WARC/1.1 " * 5_500_000, b"WARC/1.1\r\n" * 300_000, b"x:WARC/1.1\r\n" * 300_000, b"WARC/1.1\r\na: b\r\n" * 200_000,
+                 b"WARC/1.1\r\na: b\r\n" * 2_000 + b"a: b\r\n" * 100_000 + b"no line\r\n" + b"a: b\r\n" * 100_000):
+        start = time.time()
+        out = list(salvage(junk + b"\r\n" + good))
+        assert time.time() - start < 10, junk[:20]
+        assert [r["record_type"] for r in out] == ["gap", "response"] and out[1]["record_id"] == "1"
+
+
 def quality(t):
     t = t or ""
     w = WORD.findall(t)
