@@ -40,8 +40,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from spanveil.llm.common import components, hold, join_checked
-from spanveil.llm.words import Words, mix, slices, whole_windows, windows, words
+from spanveil.llm.common import components, hold, join_checked, outlive, release, scratch
+from spanveil.llm.words import Words, mix, slices, windows, words
 
 U = np.uint64
 SKETCH_BITS, SKETCH_PARTS = 20, 64
@@ -50,7 +50,7 @@ RADIUS = 0.2
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row."""
-    size, fits = np.diff(w.first), whole_windows(w, k)
+    size = np.diff(w.first)
     hashes = windows(w.hash, k)
     short = {}
     for m in range(1, k):  # fewer words than a shingle: all of them
@@ -64,7 +64,6 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
             out.append(np.unique(hashes[a:b - k + 1]))
         else:
             out.append(np.array([short[r]], U) if b > a else np.zeros(0, U))
-    del fits
     return out
 
 
@@ -211,10 +210,17 @@ def _pivots(regions: DataFrame, most: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4,
                        percent: int = 85) -> DataFrame:
-    """Per row: key, n_shingles, component_id (smallest id reachable by links), class_id.
+    """Per row: key, n_shingles, component_id (smallest id reachable by links), class_id, group_id.
 
-    Linked are sets with 100 * |x & y| >= percent * |x | y|. Rows of one class_id have equal sets.
+    Linked are sets with 100 * |x & y| >= percent * |x | y|. Rows of one class_id have equal sets, rows
+    of one group_id are linked; both are null without words. (Where ids repeat, groups may share a
+    component_id.)
     """
+    with scratch(docs.sparkSession):
+        return outlive(_classed(docs, key, text, shingle, percent))
+
+
+def _classed(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = given.schema["doc"].dataType.simpleString()
@@ -225,16 +231,29 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.min("doc").alias("doc"), F.max("n").cast("int").alias("n"), F.first("sig").alias("sig")), "classes")
     links = _links(spark, given, features, classes, shingle, percent)
 
-    names = classes.select("cls", "doc")
-    edges = (links.join(names.withColumnRenamed("doc", "a"), links.x == names.cls).drop("cls")
-             .join(names.withColumnRenamed("doc", "b"), F.col("p") == F.col("cls")).select("a", "b"))
-    merged = components(edges)
-    component = names.join(merged, names.doc == merged.node, "left").select(
-        F.col("cls").alias("c"), F.coalesce("component", "doc").alias("component"))
-    return points.join(component, (points.cls == component.c) & (points.n > 0), "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc").alias("component_id"),
-        F.when(F.col("n") > 0, F.col("cls")).alias("class_id"))
+    merged = components(links.select(F.col("x").alias("a"), F.col("p").alias("b")))
+    grouped = classes.select("cls", "doc").join(merged, F.col("cls") == F.col("node"), "left").select(
+        F.col("cls").alias("c"), "doc", F.coalesce("component", "cls").alias("group_id"))
+    least = grouped.groupBy("group_id").agg(F.min("doc").alias("component"))
+    component = grouped.drop("doc").join(least, "group_id")
+    some = points.n > 0
+    return hold(points.join(component, (points.cls == component.c) & some, "left").select(
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"),
+        F.when(some, F.col("cls")).alias("class_id"), "group_id"), "components")
+
+
+def with_class(docs: DataFrame, into: str, text: str = "text", shingle: int = 4) -> DataFrame:
+    """The rows with the class of their text added, null for a text without words."""
+    names = docs.columns
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            classes = [class_of(s) if len(s) else None for s in shingle_sets(words(batch.column("text")), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(classes, pa.int64())], ["_row", "cls"])
+
+    out = given.mapInArrow(run, f"_row {given.schema['_row'].dataType.simpleString()}, cls long")
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names], F.col("cls").alias(into))
 
 
 def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes: DataFrame, k: int,
@@ -255,7 +274,8 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
     kept = 100 - radius - reach
     sets, merged, pivots = None, None, 1
     while True:
-        regions = hold(_open(regions, merged), "regions")
+        regions, last = hold(_open(regions, merged), "regions"), regions
+        release(last)
         if regions.isEmpty():
             break
         chosen = hold(_pivots(regions, pivots), "pivots")
@@ -275,14 +295,17 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
                                   (F.col("sum") - F.col("both")).cast("long").alias("either")), "known")
         new = known.where(f"100 * both >= {percent} * either").select(F.col("u").alias("x"), F.col("v").alias("p"))
         links = new.select(F.col("x").alias("a"), F.col("p").alias("b"))
-        if merged is None:
-            merged = hold(components(links), "merged")
-        elif not new.isEmpty():
-            merged = hold(components(links.unionByName(_stars(merged))), "merged")
+        if merged is None or not new.isEmpty():
+            with scratch(spark):
+                joined = outlive(hold(components(links if merged is None else links.unionByName(_stars(merged))), "merged"))
+            release(merged)
+            merged = joined
         near = near.join(known, (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v")), "left").select(
             "g", "x", "n", "home", "p", F.coalesce(1 - F.col("both") / F.col("either"), F.lit(1.0)).alias("d"))
         near = near.join(chosen.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")  # pivots leave
+        done = regions, chosen, pairs, known
         regions = hold(_next(near, reach / 100, RADIUS), "rows")
+        release(*done)
         pivots = min(pivots * 4, 1 << 20)
     if merged is None:
         return spark.createDataFrame([], "x long, p long")
@@ -304,6 +327,7 @@ def _fetch(given: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFra
         _sets(k), "x long, members array<bigint>").join(
         wanted.select(F.col("cls").alias("x")), "x", "left_semi").dropDuplicates(["x"])
     new = hold(new, "sets")
+    release(wanted)
     return new if sets is None else sets.unionByName(new)
 
 
