@@ -11,9 +11,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanveil.llm.common import crc_fold, free_name, hold, table
+from spanveil.llm.common import crc_fold, free_name, hold, join_checked, outlive, release, scratch, table
 from spanveil.llm.decontaminate import decontaminate
-from spanveil.llm.jaccard_join import similar_components
+from spanveil.llm.jaccard_join import similar_components, with_class
 from spanveil.llm.languages import UNDETERMINED, learn, predict
 from spanveil.llm.secrets import infer, labelled, mask_secrets
 from spanveil.llm.tokenize import encode
@@ -37,18 +37,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Of rows that repeat an id one stays. Empty texts are linked with nothing; rows with a null id
-    make no link and stay.
+    Each row is judged by its own text: it goes if a row of its group has a smaller id. Of rows of
+    a group that share the smallest id (and may differ in text), one stays. Empty texts are
+    linked with nothing; rows with a null id make no link and stay.
     """
-    groups = similar_components(docs, shingle=SHINGLE, percent=PERCENT)
-    gone = hold(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = hold(groups.where("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count().where(
-        "count > 1").select("doc_id"), "again")
+    cls = free_name(docs, "_class")
+    with scratch(spark):
+        rows = similar_components(docs, shingle=SHINGLE, percent=PERCENT).where(
+            "doc_id IS NOT NULL AND class_id IS NOT NULL").select("doc_id", F.col("class_id").alias(cls), "group_id")
+        row = F.struct("doc_id", cls)
+        firsts = rows.groupBy("group_id").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+        grouped = rows.join(firsts, "group_id")
+        gone = outlive(hold(grouped.where(row != F.col("first")).select("doc_id", cls).distinct(), "gone"))
+        again = outlive(hold(grouped.where(row == F.col("first")).groupBy("doc_id", cls).count().where("count > 1").select(
+            "doc_id", cls), "again"))
+    kept = join_checked(with_class(docs, cls, shingle=SHINGLE), gone, ["doc_id", cls], "left_anti")
     if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(docs.columns)
+    once = kept.join(again, ["doc_id", cls], "left_semi").dropDuplicates(["doc_id", cls])
+    return kept.join(again, ["doc_id", cls], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,5 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = hold(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            after = outlive(hold(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
