@@ -18,6 +18,7 @@ from spanveil.operators.recognizers import recognize
 from spanveil.operators.resolve import (
     closed_ones, dedupe, open_ones, resolve_overlaps, suppress_frequent,
 )
+from spanveil.operators.skew import join_salted
 from spanveil.schema import CANDIDATES, SPANS
 
 
@@ -95,15 +96,16 @@ def explode_fates(df: DataFrame, keys: list[str], spans: str = "spans",
 
 
 def detect_distinct(df: DataFrame, key_cols: list[str], text_col: str = "text", *,
-                    output: str = "spans", copies: int = 16, **options) -> DataFrame:
+                    output: str = "spans", **options) -> DataFrame:
     """Detect once per distinct text instead of once per row.
 
-    Worth it when texts repeat often and are long to scan. Copies of one text are
-    spread over ``copies`` salts by row key, so that a text that makes up a third
-    of the table does not end in one task; each salt detects the text once. The
-    text itself is the join key together with the salt, so no hash can collide.
+    Worth it when texts repeat often and are long to scan. Texts are told apart by their
+    SHA-256 and length, so that rows meet their spans on 40 bytes; copies of one text are spread
+    over as many salts as their measured number asks for (``skew.join_salted``), by row key.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*key_cols), F.lit(copies)))
-    once = detect(salted.select("_salt", text_col).distinct(), text_col, output=output, **options)
-    return salted.join(once, ["_salt", text_col], "left").drop("_salt").withColumn(
+    known = F.struct(F.sha2(text_col, 256).alias("hash"), F.length(text_col).alias("length"))
+    digested = df.withColumn("_text", known)
+    once = detect(digested.where(F.col(text_col).isNotNull()).select("_text", text_col).dropDuplicates(["_text"]),
+                  text_col, output=output, **options)
+    return join_salted(digested, once.select("_text", output), "_text", by=key_cols).drop("_text").withColumn(
         output, F.coalesce(output, F.array().cast(SPANS)))

@@ -8,8 +8,8 @@ from spanveil.functions import dictionaries as D
 from spanveil.functions.pseudonyms import SEED, Generator, fake
 from spanveil.functions.text import casefold
 from spanveil.operators.detect import explode_spans
+from spanveil.operators.skew import join_by_value
 
-HOT_SHARE = 1000  # a value is hot if it makes up at least 1/HOT_SHARE of all spans
 
 
 def first_types(spans: DataFrame, order: list[str]) -> DataFrame:
@@ -52,23 +52,6 @@ def shared_fakes(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("replacement").agg(F.count("*").alias("originals")).where("originals > 1")
 
 
-def join_by_value(rows: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """Left join of rows with a table that has one row per ``value`` (and no null columns).
-
-    Safe for values that fill the rows: those with at least 1/1000 of all rows (so at
-    most 1000 of them) are joined by broadcast and not shuffled; the others hold too
-    few rows each to make a large partition.
-    """
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.where(F.col("n") * HOT_SHARE >= total).select(value)
-    hot_part = table.join(F.broadcast(hot), value, "left_semi").withColumn("_hot", F.lit(True))
-    tagged = rows.join(F.broadcast(hot_part), value, "left")
-    added = [c for c in table.columns if c != value]
-    cold = tagged.where("_hot IS NULL").drop(*added).join(table, value, "left")
-    return tagged.where("_hot").unionByName(cold).drop("_hot")
-
-
 def look_up(spans: DataFrame, mapping: DataFrame, value: str = "text") -> DataFrame:
     """Add ``replacement`` to spans by value; null where the mapping has none."""
     return join_by_value(spans, mapping.select(F.col("original").alias(value), "replacement"), value)

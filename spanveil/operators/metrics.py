@@ -45,35 +45,55 @@ def exact_metrics(compared: DataFrame) -> DataFrame:
         ratio(tp, tp + fn).alias("recall"), f1(tp, fp, fn).alias("f1"))
 
 
+#: Positions of one text that one task sweeps; a text has at most 32,768 such blocks.
+SWEEP = 1 << 16
+
+
+def _invalid(bad: Column, start: Column, end: Column, value: Column) -> Column:
+    return F.when(bad, F.raise_error(F.concat_ws(
+        " ", F.lit("Invalid entity span:"), start, end))).otherwise(value)
+
+
 def character_counts(texts: DataFrame, truth: DataFrame, predicted: DataFrame, keys: list[str],
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", *, sweep: int = SWEEP) -> DataFrame:
     """One row: characters, and those on which both sides agree (covered by any span or not).
 
-    Spans become +1/-1 events per position; a running sum per text gives the
-    cover between two positions. Nothing grows with the number of characters.
+    Spans become +1/-1 events per position, and a running sum gives the cover between two
+    positions. The sum has two levels: blocks of ``sweep`` positions are added up apart, and
+    each block starts from the total of those before it, so that a text with millions of
+    spans is swept by many tasks. Nothing grows with the number of characters.
     Spans outside their text, or of no text, raise an error.
     """
+    start, end = F.col("start"), F.col("end")
     lengths = texts.select(*keys, F.length(text_col).alias("_len"))
     spans = truth.select(*keys, "start", "end", F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
         predicted.select(*keys, "start", "end", F.lit(0).alias("t"), F.lit(1).alias("p")))
-    bad = (F.col("start") < 0) | (F.col("end") < F.col("start")) | (F.col("end") > F.col("_len"))
-    bad = bad | F.col("_len").isNull()  # of a text that is not there
-    checked = spans.join(lengths, keys, "left").select(
-        *keys, "t", "p", F.when(bad, F.raise_error(F.concat_ws(
-            " ", F.lit("Invalid entity span:"), F.col("start"), F.col("end")))).otherwise(
-            F.col("start")).alias("start"), "end")
-    events = checked.select(*keys, F.inline(F.array(
-        F.struct(F.col("start").alias("pos"), "t", "p"),
-        F.struct(F.col("end").alias("pos"), (-F.col("t")).alias("t"), (-F.col("p")).alias("p")))))
-    steps = events.groupBy(*keys, "pos").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    covered = steps.select(
-        (F.sum("t").over(order) > 0).alias("t"), (F.sum("p").over(order) > 0).alias("p"),
-        (F.lead("pos").over(order) - F.col("pos")).alias("n"))
+    # The furthest span stands for all of its text, so that spans need not meet their texts.
+    far = spans.groupBy(*keys).agg(F.max(F.struct("end", "start")).alias("_far")).join(lengths, keys, "left")
+    beyond = F.col("_len").isNull() | (F.col("_far.end") > F.col("_len"))
     zero = F.lit(0).cast("bigint")
+    checked = far.agg(F.sum(_invalid(beyond, F.col("_far.start"), F.col("_far.end"), zero)).alias("differ"))
+
+    events = spans.withColumn("start", _invalid((start < 0) | (end < start), start, end, start)).select(
+        *keys, F.inline(F.array(
+            F.struct(F.col("start").alias("pos"), "t", "p"),
+            F.struct(F.col("end").alias("pos"), (-F.col("t")).alias("t"), (-F.col("p")).alias("p")))))
+    steps = events.groupBy(*keys, F.floor(F.col("pos") / sweep).alias("_block"), "pos").agg(
+        F.sum("t").alias("t"), F.sum("p").alias("p"))
+    across = Window.partitionBy(*keys).orderBy("_block")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.groupBy(*keys, "_block").agg(
+        F.sum("t").alias("t"), F.sum("p").alias("p"), F.min("pos").alias("first")).select(
+        *keys, "_block", F.coalesce(F.sum("t").over(before), zero).alias("_t"),
+        F.coalesce(F.sum("p").over(before), zero).alias("_p"), F.lead("first").over(across).alias("_next"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("pos")
+    covered = steps.join(carried, [*keys, "_block"]).select(
+        (F.sum("t").over(inside) + F.col("_t") > 0).alias("t"),
+        (F.sum("p").over(inside) + F.col("_p") > 0).alias("p"),
+        (F.coalesce(F.lead("pos").over(inside), "_next") - F.col("pos")).alias("n"))
+    differ = covered.agg(F.sum(F.when(F.col("t") != F.col("p"), F.col("n"))).alias("differ"))
     parts = lengths.agg(F.sum("_len").alias("characters")).withColumn("differ", zero).unionByName(
-        covered.agg(F.sum(F.when(F.col("t") != F.col("p"), F.col("n"))).alias("differ")).withColumn(
-            "characters", zero))
+        differ.unionByName(checked).withColumn("characters", zero))
     return parts.agg(F.coalesce(F.sum("characters"), zero).alias("characters"),
                      F.coalesce(F.sum("differ"), zero).alias("differ")).select(
         "characters", (F.col("characters") - F.col("differ")).alias("agree"))

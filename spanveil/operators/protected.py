@@ -56,10 +56,9 @@ def with_protected(df: DataFrame, text: str = "text", *, output: str = "protecte
         f"if({condition}, sort_array(array_distinct(transform(concat({', '.join(bodies)}), "
         f"s -> named_struct('start', s.start, 'end', s.end, 'reason', CAST(NULL AS STRING))))), "
         f"CAST(array() AS {_PLACES}))")})
-    marked = ("named_struct('start', x.c.start, 'end', x.c.end, 'reason', "
-              f"if(exists(acc, k -> k.reason IS NULL AND {overlap('k', 'x.c')}), 'overlap', NULL))")
     df = resolve_overlaps(df, "_places", "_settled", key=LONGEST_FIRST, element=_PLACES,
-                          marked=marked)
+                          marked=lambda c, reason: (
+                              f"named_struct('start', {c}.start, 'end', {c}.end, 'reason', {reason})"))
     return settle(df, {output: (
         f"CAST(transform(filter(_settled, s -> s.reason IS NULL), "
         f"s -> named_struct('start', s.start, 'end', s.end)) AS {INTERVALS})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanveil.functions.text import is_yes
-from spanveil.operators.mapping import join_by_value
+from spanveil.operators.skew import join_by_value
 from spanveil.operators.metrics import ratio
 from spanveil.operators.occurrences import occurrences
 from spanveil.operators.stats import metric_row, metrics_frame

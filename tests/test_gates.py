@@ -226,3 +226,28 @@ def test_sweep_of_a_long_text(spark):
     others = [(28 * i + 3, 28 * i + 9) for i in range(5000)]
     hit = [i for i in range(20000) if any(touching((7 * i, 7 * i + 5), others[j]) for j in range(max(0, i // 4 - 2), min(5000, i // 4 + 2)))]
     assert (r.a, r.o) == (len(hit), sum(i % 3 != 0 for i in hit))
+
+
+@pytest.mark.parametrize("kind", ["equal", "rising", "random", "long"])
+def test_resolve_a_long_chain(spark, kind):
+    """One text, one island of very many spans, each overlapping its neighbours."""
+    import bisect
+    import time
+    rng, n = random.Random(kind), 20_000
+    spans = {(3 * i, 3 * i + (5 if kind != "random" else rng.randint(4, 9))): 0.5 for i in range(n)}
+    if kind == "long":  # half of them reach over many others
+        spans |= {(3 * i, 3 * i + rng.randint(10, 60_000)): 0.4 for i in range(n)}
+    if kind in ("rising", "random"):
+        spans = {k: j / n if kind == "rising" else rng.random() for j, k in enumerate(spans)}
+    group = [(s, e, score, "regex") for (s, e), score in sorted(spans.items())]
+    starts, kept = [], []
+    for s, e, _, _ in sorted(group, key=lambda x: (-x[2], x[0] - x[1], x[0])):
+        at = bisect.bisect_left(starts, s)
+        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or e <= kept[at][0]):
+            starts.insert(at, s)
+            kept.insert(at, (s, e))
+    df = _candidates(spark, [group])
+    begin = time.time()
+    row = resolve_overlaps(df, "c", "r").selectExpr("transform(filter(r, x -> x.reason IS NULL), x -> struct(x.start, x.end)) k").first()
+    assert time.time() - begin < 40
+    assert [tuple(x) for x in row.k] == kept

@@ -58,12 +58,30 @@ def test_exact_and_character_metrics(spark):
     total = sum(map(len, texts.values()))
     assert acc.characters == total
     assert acc.agree == total - len(labels(t) ^ labels(p))
+    for sweep in (1, 7, 1000):
+        assert M.character_counts(docs, *df, ["doc"], sweep=sweep).first().agree == acc.agree
     totals = {r.entity_type: (r.truth, r.predicted) for r in M.type_totals(
         M.compare_spans(*df, ["doc"])).collect()}
     assert totals["A"] == (sum(x[3] == "A" for x in t), sum(x[3] == "A" for x in p))
     bad = spark.createDataFrame([(0, 5, 999, "A")], SPAN)
     with pytest.raises(Exception, match="Invalid entity span"):
         M.character_counts(docs, bad, df[1], ["doc"]).collect()
+    for span in ((0, -1, 3, "A"), (0, 6, 5, "A"), (999, 0, 1, "A")):
+        with pytest.raises(Exception, match="Invalid entity span"):
+            M.character_counts(docs, spark.createDataFrame([span], SPAN), df[1], ["doc"]).collect()
+
+
+def test_character_accuracy_of_one_long_text(spark):
+    """A text with very many spans is swept by many tasks: blocks of positions are shuffled apart."""
+    n = 200_000
+    docs = spark.range(1).selectExpr("CAST(id AS INT) AS doc", f"repeat('x', {5 * n}) AS text")
+    side = lambda k: spark.range(n).selectExpr("0 AS doc", "CAST(5 * id AS INT) AS start", f"CAST(5 * id + {k} AS INT) AS end")
+    wide = spark.createDataFrame([(0, 0, 5 * n)], "doc int, start int, end int")
+    got = M.character_counts(docs, side(3), side(2), ["doc"], sweep=4096)
+    assert tuple(got.first()) == (5 * n, 4 * n)
+    assert tuple(M.character_counts(docs, side(3), wide, ["doc"], sweep=4096).first()) == (5 * n, 3 * n)
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(doc#" in plan and ", _block#" in plan
 
 
 def test_metrics_with_nothing(spark):

@@ -14,6 +14,7 @@ from spanveil.operators.mapping import (
     build_mapping, extend_mapping, first_types, look_up, shared_fakes, with_replacements,
 )
 from spanveil.operators.redact import redact, redact_runs, replace_text, runs_text
+from spanveil.operators.skew import join_salted
 from spanveil.plans.redaction import redact_table
 from spanveil.schema import MAPPING, SPANS
 
@@ -69,6 +70,29 @@ def test_look_up_with_hot_value(spark):
         assert r.replacement == want
 
 
+def test_salts_by_measured_counts(spark):
+    """100 values with 0.09 % of all rows each, others rare: partitions are alike, the join is whole."""
+    rows = spark.range(200_000).selectExpr(
+        "id", "CASE WHEN id % 1000 < 90 THEN 'v' || id % 1000 % 100 WHEN id % 1000 < 91 THEN NULL "
+              "ELSE 'u' || id END AS v")
+    table = spark.range(95).selectExpr("'v' || id AS v", "id AS fake")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = join_salted(rows, table, "v", least=1)
+        sizes = [r["count"] for r in got.where("v IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+        out = got.agg(F.count("*"), F.count_distinct("id"), F.sum(F.expr(
+            "if(fake <=> if(v LIKE 'v%', CAST(substr(v, 2) AS BIGINT), NULL), 0, 1)"))).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tuple(out) == (200_000, 200_000, 0)
+    assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
+
+
 def _random_case(rng):
     text = "".join(rng.choice("aé😀 b\n") for _ in range(rng.randint(0, 400)))
     cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), 2 * rng.randint(0, 90))))
@@ -151,7 +175,7 @@ def test_runs_text(spark):
 
 def test_distinct_detection(spark):
     df = spark.range(500).selectExpr("id", "if(id % 3 = 0, 'hot@x.com', 'n' || id % 5 || '@y.com') AS text")
-    a = {(r.id, r.spans[0].text) for r in detect_distinct(df, ["id"], copies=4).collect()}
+    a = {(r.id, r.spans[0].text) for r in detect_distinct(df, ["id"]).collect()}
     assert a == {(r.id, r.text) for r in df.collect()}
 
 
