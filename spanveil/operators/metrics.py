@@ -68,23 +68,22 @@ def character_counts(texts: DataFrame, truth: DataFrame, predicted: DataFrame, k
     lengths = texts.select(*keys, F.length(text_col).alias("_len"))
     spans = truth.select(*keys, "start", "end", F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
         predicted.select(*keys, "start", "end", F.lit(0).alias("t"), F.lit(1).alias("p")))
-    # The furthest span stands for all of its text, so that spans need not meet their texts.
-    far = spans.groupBy(*keys).agg(F.max(F.struct("end", "start")).alias("_far")).join(lengths, keys, "left")
-    beyond = F.col("_len").isNull() | (F.col("_far.end") > F.col("_len"))
     zero = F.lit(0).cast("bigint")
-    checked = far.agg(F.sum(_invalid(beyond, F.col("_far.start"), F.col("_far.end"), zero)).alias("differ"))
-
     events = spans.withColumn("start", _invalid((start < 0) | (end < start), start, end, start)).select(
         *keys, F.inline(F.array(
             F.struct(F.col("start").alias("pos"), "t", "p"),
             F.struct(F.col("end").alias("pos"), (-F.col("t")).alias("t"), (-F.col("p")).alias("p")))))
+    # Read twice with the same columns, so that Spark computes the spans and shuffles them once.
     steps = events.groupBy(*keys, F.floor(F.col("pos") / sweep).alias("_block"), "pos").agg(
         F.sum("t").alias("t"), F.sum("p").alias("p"))
     across = Window.partitionBy(*keys).orderBy("_block")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.groupBy(*keys, "_block").agg(
-        F.sum("t").alias("t"), F.sum("p").alias("p"), F.min("pos").alias("first")).select(
-        *keys, "_block", F.coalesce(F.sum("t").over(before), zero).alias("_t"),
+    blocks = steps.groupBy(*keys, "_block").agg(
+        F.sum("t").alias("t"), F.sum("p").alias("p"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    beyond = F.col("_len").isNull() | (F.col("last") > F.col("_len"))  # or of a text that is not there
+    carried = blocks.join(lengths, keys, "left").select(
+        *keys, "_block", _invalid(beyond, F.col("last"), F.lit("is not inside its text"), F.coalesce(
+            F.sum("t").over(before), zero)).alias("_t"),
         F.coalesce(F.sum("p").over(before), zero).alias("_p"), F.lead("first").over(across).alias("_next"))
     inside = Window.partitionBy(*keys, "_block").orderBy("pos")
     covered = steps.join(carried, [*keys, "_block"]).select(
@@ -93,7 +92,7 @@ def character_counts(texts: DataFrame, truth: DataFrame, predicted: DataFrame, k
         (F.coalesce(F.lead("pos").over(inside), "_next") - F.col("pos")).alias("n"))
     differ = covered.agg(F.sum(F.when(F.col("t") != F.col("p"), F.col("n"))).alias("differ"))
     parts = lengths.agg(F.sum("_len").alias("characters")).withColumn("differ", zero).unionByName(
-        differ.unionByName(checked).withColumn("characters", zero))
+        differ.withColumn("characters", zero))
     return parts.agg(F.coalesce(F.sum("characters"), zero).alias("characters"),
                      F.coalesce(F.sum("differ"), zero).alias("differ")).select(
         "characters", (F.col("characters") - F.col("differ")).alias("agree"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from spanveil.functions import dictionaries as D
 from spanveil.functions.arrays import add_columns, indexes, let, literal, maximum, with_ranks, with_scans
-from spanveil.functions.text import casefold
+from spanveil.functions.text import casefold, overlap
 from spanveil.schema import CANDIDATES
 
 FIELDS = ("start", "end", "text", "entity_type", "score", "source")
@@ -68,25 +68,28 @@ def resolve_overlaps(df: DataFrame, candidates: str, output: str, *, key: str =
     by a chain of overlaps, so the array is cut into such islands; a large island is cut into cells
     of places, and a candidate is compared only with those kept in the cells that it
     reaches, which are few because kept ones do not overlap. A chain of n costs n * sqrt(n) at
-    most. Texts without any overlap (most) skip all of it.
+    most. Texts without any overlap (most) skip all of it, and texts whose islands have at most
+    ``LEAST_CELL`` candidates compare them directly, with the same result.
     """
     previous = f"{candidates}[greatest(i - 1, 0)]"
     df = add_columns(df, {"_touch": (
         f"exists({indexes(f'size({candidates})')}, i -> i > 0 "
         f"AND {candidates}[i].start < {previous}.end)")})
-    df = with_ranks(df, {"_to": (f"if(_touch, transform({candidates}, c -> c.end), NULL)",
-                                 f"if(_touch, transform({candidates}, c -> c.start), NULL)", "<")})
-    df = with_scans(df, {"_reach": "_to"}, -1, maximum)
-    df = add_columns(df, {
-        "_heads": "filter(transform(_reach, (r, i) -> if(i >= r, i, -1)), i -> i >= 0)",
-        "_keyed": f"zip_with({candidates}, _to, (c, t) -> named_struct({key}, 'to', t))"})
+    df = with_scans(df, {"_reach": f"if(_touch, transform({candidates}, c -> c.end), NULL)"}, -1, maximum)
+    df = add_columns(df, {"_heads": (
+        f"filter(transform(zip_with({candidates}, _reach, (c, r) -> c.start >= r), "
+        "(first, i) -> if(first, i, -1)), i -> i >= 0)")})
     size = f"(coalesce(get(_heads, j + 1), size({candidates})) - b)"
+    df = add_columns(df, {"_long": f"exists(transform(_heads, (b, j) -> {size}), n -> n > {LEAST_CELL})"})
+    df = with_ranks(df, {"_to": (f"if(_long, transform({candidates}, c -> c.end), NULL)",
+                                 f"if(_long, transform({candidates}, c -> c.start), NULL)", "<")})
+    df = add_columns(df, {"_keyed": f"zip_with({candidates}, _to, (c, t) -> named_struct({key}, 'to', t))"})
     cell = lambda place, side: f"CAST(({place}) DIV {side} AS INT)"
     df = add_columns(df, {
         "_islands": f"transform(_heads, (b, j) -> slice({candidates}, b + 1, {size}))",
-        "_sides": f"transform(_heads, (b, j) -> greatest({LEAST_CELL}, CAST(ceil(sqrt({size})) AS INT)))"})
+        "_sides": f"if(_long, transform(_heads, (b, j) -> greatest({LEAST_CELL}, CAST(ceil(sqrt({size})) AS INT))), NULL)"})
     df = add_columns(df, {"_turns": let("keyed", "_keyed", (
-        f"transform(_heads, (b, j) -> transform(slice(keyed, b + 1, {size}), "
+        f"transform(if(keyed IS NULL, NULL, _heads), (b, j) -> transform(slice(keyed, b + 1, {size}), "
         "(x, i) -> named_struct('x', x, 'i', i, 'to', x.to - b)))"))})
     df = add_columns(df, {"_turns": (
         f"zip_with(_turns, _sides, (t, side) -> sort_array(transform(t, x -> named_struct('x', x.x, 'i', x.i, 'to', x.to, "
@@ -104,10 +107,15 @@ def resolve_overlaps(df: DataFrame, candidates: str, output: str, *, key: str =
         f"zip_with(_cells, _sides, (cells, side) -> if(cells IS NULL, NULL, named_struct('side', side, "
         f"'cells', transform(cells, g -> transform(g, k -> CAST(shiftright(k, 32) AS INT))))))")})
     reason = f"if(array_contains(kept.cells[{cell('i', 'kept.side')}], i), NULL, 'overlap')"
+    direct = f"if(exists(acc, k -> k.reason IS NULL AND {overlap('k', 'x.c')}), 'overlap', NULL)"
+    greedy = (f"sort_array(aggregate(sort_array(transform(g, c -> named_struct({key}, 'c', c))), "
+              f"CAST(array() AS {element}), (acc, x) -> array_append(acc, {marked('x.c', direct)})))")
     df = add_columns(df, {output: (
-        f"if(_touch, flatten(zip_with(_islands, _kept, (g, kept) -> if(kept IS NULL, CAST(g AS {element}), "
-        f"transform(g, (c, i) -> {marked('c', reason)})))), CAST({candidates} AS {element}))")})
-    return df.drop("_touch", "_to", "_reach", "_heads", "_keyed", "_islands", "_sides", "_turns", "_cells", "_kept")
+        f"CASE WHEN _long THEN flatten(zip_with(_islands, _kept, (g, kept) -> if(kept IS NULL, CAST(g AS {element}), "
+        f"transform(g, (c, i) -> {marked('c', reason)})))) "
+        f"WHEN _touch THEN flatten(transform(_islands, g -> if(size(g) = 1, CAST(g AS {element}), {greedy}))) "
+        f"ELSE CAST({candidates} AS {element}) END")})
+    return df.drop("_touch", "_reach", "_heads", "_long", "_to", "_keyed", "_islands", "_sides", "_turns", "_cells", "_kept")
 
 
 def suppress_frequent(df: DataFrame, candidates: str, output: str,
