@@ -50,6 +50,10 @@ class Suffixes:
         for d in range(window):
             keep = mix(keep ^ np.where(d < self.depth, self.columns[d], U(0)), d + 3)
         _, self.one, self.of = np.unique(keep, return_index=True, return_inverse=True)
+        # the items of each distinct window, one after the other
+        held = np.unique(self.of * max(len(ids), 1) + self.item) if len(self.at) else np.zeros(0, np.int64)
+        self.holder = held % max(len(ids), 1)
+        self.first = np.searchsorted(held // max(len(ids), 1), np.arange(len(self.one) + 1))
 
     def _gram(self, columns) -> np.ndarray:
         h = np.zeros(len(columns[0]), U)
@@ -93,26 +97,39 @@ class Suffixes:
 
         return bound(False), bound(True)
 
-    def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All matches in a shard: test suffix, word position, length in words."""
+    def places(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows stand in a shard: distinct window, word position. A place has one per depth at most."""
         none = np.zeros(0, np.int64)
         if not len(self.at) or not len(w.hash):
-            return none, none, none
+            return none, none
         columns, positions = self.array_of(w)
         if not len(positions):
-            return none, none, none
+            return none, none
         low, high = self.search(columns, len(positions))
-        low, count = low[self.of], (high - low)[self.of]
-        suffix = np.repeat(np.arange(len(self.at)), count)
-        inner = np.arange(len(suffix)) - np.repeat(np.cumsum(count) - count, count)
-        return suffix, positions[np.repeat(low, count) + inner], self.depth[suffix]
+        window, inner = expand(high - low)
+        return window, positions[low[window] + inner]
+
+    def matches(self, window: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places by test suffix: suffix, word position, length in words."""
+        order = np.argsort(self.of, kind="stable")
+        first = np.searchsorted(self.of[order], np.arange(len(self.one) + 1))
+        at, inner = expand(np.diff(first)[window])
+        suffix = order[first[window[at]] + inner]
+        return suffix, position[at], self.depth[suffix]
+
+
+def expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as its count says, and which time it is."""
+    index = np.repeat(np.arange(len(count)), count)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _scan(tests: Suffixes, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             w = words(batch.column("text"), True, NOT_ALPHANUMERIC)
-            suffix, position, length = tests.matches(w)
+            window, position = tests.places(w)
+            length = tests.depth[tests.one[window]]
             row = np.searchsorted(w.first, position, side="right") - 1
             cover = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(cover, position, 1)
@@ -120,12 +137,19 @@ def _scan(tests: Suffixes, spans: bool):
             hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
             n_hit = hit[w.first[1:]] - hit[w.first[:-1]]
             n = len(batch)
-            pairs = np.unique(row * len(tests.ids) + tests.item[suffix]) if len(suffix) else np.zeros(0, np.int64)
+            # a window counts once a row before its items are listed, however often it stands there
+            seen = np.unique(row * max(len(tests.one), 1) + window)
+            seen_row, seen_window = np.divmod(seen, max(len(tests.one), 1))
+            at, inner = expand(np.diff(tests.first)[seen_window])
+            holder = tests.holder[tests.first[seen_window[at]] + inner]
+            pairs = np.unique(seen_row[at] * max(len(tests.ids), 1) + holder)
             items: list[list[str]] = [[] for _ in range(n)]
             for pair in pairs.tolist():
                 items[pair // len(tests.ids)].append(tests.ids[pair % len(tests.ids)])
             longest: list[list[dict]] = [[] for _ in range(n)]
-            if spans and len(suffix):
+            if spans and len(window):
+                suffix, position, length = tests.matches(window, position)
+                row = np.searchsorted(w.first, position, side="right") - 1
                 # a match whose suffix and place both follow another's continues it
                 order = np.lexsort((position, position - suffix))
                 s, p, k, r = suffix[order], position[order], length[order], row[order]

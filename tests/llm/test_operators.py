@@ -635,6 +635,23 @@ def test_decontaminate(spark, docs, empty, block):
         assert decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_a_window_in_many_items_and_places():
+    """Places are found per distinct window, and items per row: no product of items and places."""
+    import numpy as np
+    import pyarrow as pa
+    from spanveil.llm import decontaminate as D
+    common = " ".join(f"w{i}" for i in range(13))
+    ids, texts = [str(i) for i in range(2000)], [f"{common} only{i}" for i in range(2000)]
+    tests = D.Suffixes(ids, texts)
+    docs = [" . ".join([common] * 2000), f"{common} only7", "clean words only"]
+    window, position = tests.places(D.words(pa.array(docs, pa.large_string()), True, D.NOT_ALPHANUMERIC))
+    assert len(window) == 2000 + 2  # one for each place, and one for the window that ends in only7
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(docs)], ["key", "text"])
+    out = [r for b in D._scan(tests, False)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["key"], r["n_words"], r["n_hit"], len(r["items"])) for r in out] == [(1, 26000, 26000, 2000), (2, 14, 14, 2000), (3, 3, 0, 0)]
+    assert np.all(np.diff(tests.first) >= 1)
+
+
 URLS = ["http://a.example.net/en/1", "http://example.net/en", "https://EXAMPLE.com/de/x?y=1", "http://m.example.com/dex", "http://x.org/fr/1#t", "http://org/fr/",
         "http://net", "http://net/", "http://notnet/", "http://a.net:80/", "no scheme", "", None, "x://", "http://É.NET/a", "http://a.net?x=/en/", "ftp://ex.com/a//b?c&d=#e",
         "http://bad.ads.com/en/1", "http://u@h.net/"]
