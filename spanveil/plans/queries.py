@@ -36,7 +36,7 @@ from spanveil.sources.docx import paragraph_runs, read_docx, register_docx
 from spanveil.sources.html import page_paragraphs, page_runs, rebuild_pages
 from spanveil.sources.tables import paragraphs, spread, write_mapping
 from spanveil.streaming.redaction import redact_stream, redact_with_mapping
-from spanveil.streaming.store import stream_mapping_table
+from spanveil.streaming.store import files, stream_mapping_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 MASKS = constant_masks(ENTITY_TYPES)
@@ -461,9 +461,13 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = "conversations.parquet"
-    schema = spark.read.parquet(f"{sf_dir}/{name}").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
+    path = f"{sf_dir}/conversations.parquet"
+    turns = spark.readStream.schema(spark.read.parquet(path).schema)
+    system, place = files(spark, path)
+    if system.getFileStatus(place).isDirectory():
+        turns = turns.parquet(path)
+    else:  # a stream reads folders: the one of a single file, for that file
+        turns = turns.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     return turns.select("conv_id", "turn", F.expr(
         "text || ' Mail to user' || CAST(conv_id AS STRING) || '@mail.example.com now.'").alias("text"))
 
