@@ -1,7 +1,10 @@
 """Queries on tables in other shapes, and steps that have to share their work out."""
 
+import random
+
 import pytest
 
+from spanveil.operators import occurrences as O
 from spanveil.plans import queries as registered
 
 
@@ -14,3 +17,18 @@ def test_streams_read_tables_of_one_or_more_files(spark, tmp_path, files):
         found = {(r.conv_id, r.turn) for r in registered.queries()[name](spark, str(tmp_path)).collect()}
         assert found == {(i % 10, i) for i in range(40)}, name
     assert registered.queries()["stream_mapping"](spark, str(tmp_path)).count() == 10
+
+
+def test_texts_searched_together_stay_apart():
+    """Texts that are searched as one: no hit crosses an end, empty and null texts keep their place."""
+    rng = random.Random(5)
+    texts = [None if i % 9 == 4 else "".join(rng.choice("abé") for _ in range(rng.randint(0, 40))) for i in range(60)]
+    every, lengths = O.Filter(1, O.np.full(4096, 255, dtype=O.np.uint8)), [1, 2, 7, 8, 11]
+    given = [(since, some) for since, some in O.pieces(texts * 3)]
+    assert [t for _, some in given for t in some] == [t or "" for t in texts * 3]
+    for since, some in given:
+        hits = O.hits_of(some, lengths, every, every)
+        got = {(row, v): (n, at) for row, v, n, at in zip(hits.row.tolist(), hits.v, hits.n.tolist(), hits.at.tolist())}
+        assert len(got) == len(hits.v) and hits.row.tolist() == sorted(hits.row.tolist())
+        assert got == {(i, t[a:a + n]): (t.count(t[a:a + n]), t.find(t[a:a + n]))
+                       for i, t in enumerate(some) for n in lengths for a in range(len(t) - n + 1)}
