@@ -118,7 +118,7 @@ def saved_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External spans that come to the confidence gate as they are: dictionaries are asked there too."""
-    cases = gate_cases(_table(spark, sf_dir, "customer"))
+    cases = T.spread(gate_cases(_table(spark, sf_dir, "customer")))
     joined = attach_spans(cases.select("note_id", "text", "source"), cases.select("note_id", "start", "end", "label", "score"), "note_id")
     some = lambda source: F.when(F.col("source") == source, F.col("raw_spans")).otherwise(F.slice("raw_spans", 1, 0))
     split = joined.withColumn("_ner", some("spacy")).withColumn("_an", some("presidio"))
@@ -129,7 +129,7 @@ def recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that reports a name in every text, blank ones too."""
-    texts = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS note_id", (
+    texts = T.spread(_table(spark, sf_dir, "customer").select("c_custkey")).selectExpr("c_custkey AS note_id", (
         "CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '  \\n ' WHEN 2 THEN '\\t\\u00a0' ELSE 'Rashi Patil at a@b.com' END AS text"))
     raw = F.expr("array(named_struct('start', 0, 'end', 11, 'text', 'Rashi Patil', 'label', 'PERSON', 'score', 0.99D))")
     found = detect(analyzer_candidates(texts.withColumn("raw", raw), "raw", "analyzer"), external=["analyzer"])
@@ -177,7 +177,7 @@ def dictionary_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry of every dictionary as an external span, in small and in capital letters."""
     entries = dictionary_entries()
     chosen = f"element_at(array({', '.join(literal(e) for e, _ in entries)}), CAST(c_custkey % {len(entries)} AS INT) + 1)"
-    texts = _table(spark, sf_dir, "customer").selectExpr(
+    texts = T.spread(_table(spark, sf_dir, "customer").select("c_custkey")).selectExpr(
         "c_custkey AS note_id", f"if(c_custkey % 2 = 0, {chosen}, upper({chosen})) AS entry").selectExpr(
         "note_id", "concat('Tag x', entry, note_id) AS text",
         "array(named_struct('start', 5, 'end', 5 + length(entry), 'text', entry, 'label', 'EMAIL_ADDRESS', 'score', 0.99D)) AS raw")

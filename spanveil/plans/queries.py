@@ -98,7 +98,7 @@ PHRASE_TEXT = """CASE p_partkey % 6
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{PHRASE_TEXT} AS text")
+    return spread(table(spark, sf_dir, "part").selectExpr("p_partkey", f"{PHRASE_TEXT} AS text"))
 
 
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +116,12 @@ def protected_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- gates -----------------------------------------------------------------------------
 
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(gate_cases(table(spark, sf_dir, "customer")))
+
+
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = gate_cases(table(spark, sf_dir, "customer"))
+    cases = _cases(spark, sf_dir)
     texts = cases.select("note_id", "text", "source")
     joined = attach_spans(texts, cases.select("note_id", "start", "end", "label", "score"),
                           "note_id")
@@ -142,7 +146,7 @@ def gate_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower bars let more through: PERSON spans under relaxed thresholds."""
-    cases = gate_cases(table(spark, sf_dir, "customer"))
+    cases = _cases(spark, sf_dir)
     texts = cases.withColumn("raw", F.array(F.struct(
         "start", "end", F.expr("substring(text, start + 1, end - start)").alias("text"), "label",
         "score")))
@@ -155,7 +159,7 @@ def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frequency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name that a model finds 45 to 56 times in one text."""
-    texts = table(spark, sf_dir, "supplier").selectExpr(
+    texts = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).selectExpr(
         "s_suppkey", "CAST(45 + s_suppkey % 12 AS INT) AS n").withColumn(
         "text", F.expr("repeat('Rashi Patil met us; ', n)"))
     raw = F.expr("transform(sequence(0, n - 1), i -> named_struct('start', i * 20, 'end', "
@@ -185,7 +189,7 @@ def _find_names(texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
 
 def model_recognizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's model, loaded once per task, as analyzer."""
-    cases = gate_cases(table(spark, sf_dir, "customer")).select("note_id", "text")
+    cases = _cases(spark, sf_dir).select("note_id", "text")
     raw = cases.withColumn("raw", model_spans(F.col("text"), lambda: _find_names))
     df = analyzer_candidates(raw, "raw", "analyzer")
     found = explode_spans(detect(df, external=["analyzer"]), ["note_id"])

@@ -32,3 +32,11 @@ def test_texts_searched_together_stay_apart():
         assert len(got) == len(hits.v) and hits.row.tolist() == sorted(hits.row.tolist())
         assert got == {(i, t[a:a + n]): (t.count(t[a:a + n]), t.find(t[a:a + n]))
                        for i, t in enumerate(some) for n in lengths for a in range(len(t) - n + 1)}
+
+
+@pytest.mark.parametrize("name", ["frequency_gate", "model_recognizer", "confidence_gate", "protected_spans"])
+def test_small_tables_are_searched_by_all_cores(spark, sf, name):
+    """One small file is one split; what is detected in its rows is worth more tasks."""
+    cores = spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{sf}/supplier.parquet").rdd.getNumPartitions() < cores
+    assert registered.queries()[name](spark, sf).rdd.getNumPartitions() >= cores
