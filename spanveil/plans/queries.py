@@ -576,7 +576,9 @@ def docx_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     written.agg(F.count("*")).collect()
     runs = read_docx(spark, folder)
     paras = paragraph_runs(runs.withColumn("note_id", F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("bigint")), ["note_id"])
-    out = redact_runs(detect(paras), generators=MASKS)
+    # headers and cells repeat what bodies say: each text is searched once
+    found = detect_distinct(keep(paras), ["note_id", "story", "para_no"])
+    out = redact_runs(found, generators=MASKS)
     return out.select("note_id", "story", F.col("para_no").cast("bigint").alias("para_no"), F.inline("redacted_runs")).select(
         "note_id", "story", "para_no", F.col("run_no").cast("bigint").alias("run_no"), "run_text")
 

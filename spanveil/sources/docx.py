@@ -117,6 +117,7 @@ def register_docx(spark: SparkSession) -> None:
 
 
 FILE_BYTES = 32 << 20  # files that a partition reads
+MOST_FILES = 1024  # and their number: a small file costs its opening and parsing
 BATCH_CHARS = 1 << 20  # text in a batch
 _COLUMNS = pa.schema([("path", pa.string()), ("story", pa.string()), ("para_no", pa.int32()), ("run_no", pa.int32()),
                       ("run_text", pa.string())])
@@ -155,12 +156,12 @@ class DocxReader(DataSourceReader):
         return fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
 
     def partitions(self) -> list[InputPartition]:
-        """Files of the folder, packed in order of their paths until a partition is full."""
+        """Files of the folder, packed in order of their paths until a partition is full, by bytes or by number."""
         system, root = self._files()
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         parts, size = [], 0
         for info in sorted((i for i in found if i.is_file and fnmatch.fnmatch(i.base_name, self.glob)), key=lambda i: i.path):
-            if not parts or size + info.size > self.most:
+            if not parts or size + info.size > self.most or len(parts[-1].paths) == MOST_FILES:
                 parts.append(DocxFiles([]))
                 size = 0
             parts[-1].paths.append(info.path)

@@ -40,3 +40,14 @@ def test_small_tables_are_searched_by_all_cores(spark, sf, name):
     cores = spark.sparkContext.defaultParallelism
     assert spark.read.parquet(f"{sf}/supplier.parquet").rdd.getNumPartitions() < cores
     assert registered.queries()[name](spark, sf).rdd.getNumPartitions() >= cores
+
+
+def test_many_small_documents_are_read_by_many_tasks(tmp_path, monkeypatch):
+    from spanveil.sources import docx
+
+    for i in range(25):
+        (tmp_path / f"{i:02d}.docx").write_bytes(b"small")
+    monkeypatch.setattr(docx, "MOST_FILES", 10, raising=False)
+    parts = docx.DocxReader({"path": str(tmp_path)}).partitions()
+    assert [len(p.paths) for p in parts] == [10, 10, 5]
+    assert sorted(x for p in parts for x in p.paths) == [str(tmp_path / f"{i:02d}.docx") for i in range(25)]
