@@ -47,6 +47,7 @@ ADDED = (0.05, 0.1, 0.2, 0.4)  # added to each count
 PRIOR = (60.0, 100.0, 80.0, 0.0)  # counts at which a context is trusted by half
 TOPICS, MARKERS = 8, 512
 BLOCK, FREQUENT, CHUNK = 1024, 1 << 20, 3 << 20
+PIECE = 1 << 17  # symbols whose contexts are hashed at once
 PART_BITS, WORDS_PER_TABLE = 16, 1_000_000
 START, RATE, BIAS_RATE, SCALE, LIMIT = 1.05, 0.02, 0.02, 16.0, 14.0
 END_WORD = int(mix(np.array([0x0A], U), 77)[0])
@@ -180,20 +181,33 @@ def find_markers(given: DataFrame, vocabulary: DataFrame) -> tuple[np.ndarray, n
 
 
 def contexts(symbols: np.ndarray, starts: np.ndarray, topic: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
-    """Slot of the first bit of each symbol, under each context. ``starts``: where words begin; their topics."""
+    """Slot of the first bit of each symbol, under each context. ``starts``: where words begin; their topics.
+
+    Contexts end at the start of their word, so pieces of whole words are hashed apart: only the slots are held for all.
+    """
+    place = offsets(bits)
+    out = np.empty((len(ORDERS), len(symbols)), np.int32 if place[-1] < 1 << 31 else np.int64)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(symbols), PIECE)))
+    cuts = np.append(cuts[cuts < len(starts)], len(starts))
+    ends = np.append(starts, len(symbols))
+    for a, b in zip(cuts, cuts[1:]):
+        since, until = ends[a], ends[b]
+        _contexts(symbols[since:until], starts[a:b] - since, topic[a:b], bits, place, out[:, since:until])
+    return out
+
+
+def _contexts(symbols: np.ndarray, starts: np.ndarray, topic: np.ndarray, bits: tuple[int, ...], place: tuple[int, ...],
+              out: np.ndarray) -> None:
     p, inverse = powers(len(symbols))
     total = np.zeros(len(symbols) + 1, U)
     np.cumsum((symbols.astype(U) + U(1)) * p[:len(symbols)], out=total[1:], dtype=U)
     at = np.arange(len(symbols))
     length = np.diff(np.append(starts, len(symbols)))
     begin, about = np.repeat(starts, length), np.repeat(mix(topic.astype(U), 49), length)
-    place = offsets(bits)
-    out = np.empty((len(ORDERS), len(symbols)), np.int32 if place[-1] < 1 << 31 else np.int64)
     for c, order in enumerate(ORDERS):
         since = np.maximum(begin, at - order) if order else begin
         h = mix((total[at] - total[since]) * inverse[since] + (at - since).astype(U) + about, 50 + c)
         out[c] = (h >> U(64 - bits[c])).astype(out.dtype) + place[c]
-    return out
 
 
 def _nodes(bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:

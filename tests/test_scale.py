@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from spanveil.operators import occurrences as O
@@ -51,3 +52,19 @@ def test_many_small_documents_are_read_by_many_tasks(tmp_path, monkeypatch):
     parts = docx.DocxReader({"path": str(tmp_path)}).partitions()
     assert [len(p.paths) for p in parts] == [10, 10, 5]
     assert sorted(x for p in parts for x in p.paths) == [str(tmp_path / f"{i:02d}.docx") for i in range(25)]
+
+
+def test_contexts_are_hashed_in_pieces(monkeypatch):
+    """Pieces of whole words give the slots of the whole stream, and no array of hashes is as long as it."""
+    from spanveil.llm import mixing
+
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 32, 20_000).astype(np.uint8)
+    starts = np.unique(np.concatenate([[0], rng.integers(0, 15_000, 3_000)]))  # the last word is a long one
+    topic = rng.integers(0, 9, len(starts))
+    whole, longest, real = mixing.contexts(symbols, starts, topic), [0], mixing.powers
+    monkeypatch.setattr(mixing, "powers", lambda n: (longest.append(n), real(n))[1])
+    monkeypatch.setattr(mixing, "PIECE", 700, raising=False)
+    assert (mixing.contexts(symbols, starts, topic) == whole).all() and max(longest) < 8_000
+    none = np.zeros(0, np.int64)
+    assert mixing.contexts(symbols[:0], none, none).shape == (4, 0)
