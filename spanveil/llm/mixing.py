@@ -11,7 +11,7 @@ The topic is the one of most marker words before, in the same row; markers come
 A mixer adds the log odds, each for the share of trust that longer contexts leave, with weights
 gated by the bit's place, and learns from every bit as it reads; a bias per place refines its
 output. Weights start anew every ``BLOCK`` symbols, so blocks of many documents are read side by
-side. The sum of the log probabilities is the score, spelling of unknown words included.
+side. What the tables say is looked up once per distinct word of ``GROUP`` symbols, before the mixer reads. The sum of the log probabilities is the score, spelling of unknown words included.
 
 The base score is that of a unigram model with one added to each count. Training counts every word
 of every training row. Words with the highest counts, at most ``FREQUENT`` of them (whole levels of
@@ -48,6 +48,8 @@ PRIOR = (60.0, 100.0, 80.0, 0.0)  # counts at which a context is trusted by half
 TOPICS, MARKERS = 8, 512
 BLOCK, FREQUENT, CHUNK = 1024, 1 << 20, 3 << 20
 PIECE = 1 << 17  # symbols whose contexts are hashed at once
+GROUP = 1 << 20  # symbols that are scored at once
+LOOKED_UP = 1 << 14  # symbols whose slots are looked up at once, as many as fit in a cache
 PART_BITS, WORDS_PER_TABLE = 16, 1_000_000
 START, RATE, BIAS_RATE, SCALE, LIMIT = 1.05, 0.02, 0.02, 16.0, 14.0
 END_WORD = int(mix(np.array([0x0A], U), 77)[0])
@@ -102,9 +104,16 @@ def symbol_stream(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
-def topics(w: Words, markers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _kinds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and the number of each word's among them."""
+    coded = pa.array(hashes).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def topics(w: Words, markers: tuple[np.ndarray, np.ndarray], kinds: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
     """Topic of each word and end mark: that of most markers before it in its row; TOPICS if none."""
-    kinds, of = np.unique(w.hash, return_inverse=True)
+    if kinds is None:
+        kinds, of = _kinds(w.hash)
     topic = np.full(len(kinds), TOPICS, np.int8)
     if len(markers[0]):
         at = np.searchsorted(markers[0], kinds)
@@ -253,66 +262,156 @@ def log_odds(table: np.ndarray, offset: int = 0, bits: tuple[int, ...] = TABLE_B
     return (odds << 8 | np.rint(255 * trust).astype(np.int16)).astype(np.int16)
 
 
-def mix_scores(symbols: np.ndarray, first: np.ndarray, slots: np.ndarray, table: np.ndarray,
-               bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
-    """Natural-log probability of each row of a symbol stream.
-
-    Weights start at 1: a context speaks for the share that it is trusted with (by its counts) of
-    what longer ones leave. The mixer then learns how far to follow each.
-    """
+def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and length of each block of a symbol stream."""
     blocks = -(-np.diff(first) // BLOCK)
     row = np.repeat(np.arange(len(blocks)), blocks)
     start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-    length = np.minimum(first[row + 1] - start, BLOCK)
+    return row, start, np.minimum(first[row + 1] - start, BLOCK)
+
+
+def mixer_inputs(symbols: np.ndarray, slots: np.ndarray, table: np.ndarray, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
+    """What each context says of each bit of each symbol: (symbol, context * ``BITS`` + bit).
+
+    A context speaks for the share that it is trusted with (by its counts) of what longer ones leave.
+    """
+    change, place = _nodes(bits), offsets(bits)
+    out = np.empty((len(symbols), len(ORDERS) * BITS), np.float32)
+    for since in range(0, len(symbols), LOOKED_UP):
+        here = symbols[since:since + LOOKED_UP].astype(np.int64)
+        found = np.empty((len(ORDERS), BITS, len(here)), np.float32)
+        for b in range(BITS):
+            node, left = here >> (BITS - b) | 1 << b, None
+            for c, (start, end) in enumerate(zip(place, place[1:])):  # longer contexts first
+                entry = table[start:end].take((slots[c, since:since + LOOKED_UP] - slots.dtype.type(start)) ^ change[c].take(node))
+                odds, share = (entry >> 8).astype(np.float32), (entry & 255).astype(np.float32)
+                odds /= np.float32(SCALE)
+                share /= np.float32(255)
+                if left is None:
+                    left = 1 - share
+                else:
+                    share *= left
+                    left -= share
+                np.multiply(odds, share, out=found[c, b])
+        out[since:since + LOOKED_UP] = found.reshape(-1, len(here)).T
+    return out
+
+
+def _mix_blocks(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, inputs: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each block; ``inputs[of[i]]`` are those of symbol i.
+
+    Blocks are read side by side, and so are the bits of a symbol: each place has weights of its own.
+    """
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    lanes, change, place = len(start), _nodes(bits), offsets(bits)
-    weights = np.full((BITS, len(ORDERS), lanes), START, np.float32)
+    lanes = len(start)
+    weights = np.full((len(ORDERS), BITS, lanes), START, np.float32)
     bias, logs = np.zeros((BITS, lanes), np.float32), np.zeros(lanes)
     rate, bias_rate = np.float32(RATE), np.float32(BIAS_RATE)
-    odds_of = (np.arange(-128, 128) / SCALE).astype(np.float32)
-    trust_of = (np.arange(256) / 255).astype(np.float32)
-    slots = slots - np.array(place[:-1], slots.dtype)[:, None]
-    tables = [table[a:b] for a, b in zip(place, place[1:])]
+    against_of = (1 - 2 * (np.arange(1 << BITS)[None] >> np.arange(BITS - 1, -1, -1)[:, None] & 1)).astype(np.float32)  # -1 where a bit is 1
+    last = 0
     for t in range(int(length[0]) if lanes else 0):
         n = int(np.searchsorted(-length, -t, side="left"))  # lanes still open
+        if n != last:
+            w, lean, last = weights[:, :, :n], bias[:, :n], n
+            x = np.empty((len(ORDERS), BITS, n), np.float32)
+            z, e, q, against = (np.empty((BITS, n), np.float32) for _ in range(4))
         at = start[:n] + t
-        here, slot = symbols[at].astype(np.int32), slots[:, at]
-        node, odds = np.ones(n, np.int32), np.ones(n, np.float32)
-        for b in range(BITS):
-            inputs, left = np.empty((len(ORDERS), n), np.float32), None
-            for c, part in enumerate(tables):  # longer contexts first; each leaves what it is not trusted with
-                entry = part.take(slot[c] ^ change[c].take(node))
-                np.take(odds_of, (entry >> 8) + 128, out=inputs[c])
-                share = trust_of.take(entry & 255)
-                if left is None:
-                    left = 1 - share
-                else:
-                    rest = left * share
-                    left -= rest
-                    share = rest
-                inputs[c] *= share
-            w, lean = weights[b, :, :n], bias[b, :n]
-            y = here >> (BITS - 1 - b) & 1
-            sign = (2 * y - 1).astype(np.float32)
-            z = np.einsum("cl,cl->l", w, inputs)
-            z += lean
-            np.clip(z, -LIMIT, LIMIT, out=z)
-            e = np.exp(-z * sign)
-            q = e + np.float32(1)
-            odds *= q
-            e /= q
-            e *= sign
-            inputs *= e * rate
-            w += inputs
-            lean += e * bias_rate
-            node = node * 2 + y
-        logs[:n] -= np.log(odds)
-    out = np.zeros(len(first) - 1)
-    np.add.at(out, row[order], logs)
+        x.reshape(-1, n)[:] = inputs.take(of.take(at), axis=0).T
+        against_of.take(symbols.take(at), axis=1, out=against, mode="clip")
+        np.einsum("cbl,cbl->bl", w, x, out=z)
+        z += lean
+        np.clip(z, -LIMIT, LIMIT, out=z)
+        z *= against
+        np.exp(z, out=e)
+        np.add(e, np.float32(1), out=q)
+        logs[:n] -= np.log(np.multiply.reduce(q, axis=0))
+        e /= q
+        e *= against
+        np.multiply(e, rate, out=z)
+        x *= z
+        w -= x
+        e *= bias_rate
+        lean -= e
+    out = np.empty(lanes)
+    out[order] = logs
     return out
 
 
+def mix_scores(symbols: np.ndarray, first: np.ndarray, slots: np.ndarray, table: np.ndarray,
+               bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
+    """Natural-log probability of each row of a symbol stream, from the slots of its symbols.
+
+    Weights start at 1: the mixer learns how far to follow each context.
+    """
+    row, start, length = _blocks(first)
+    logs = _mix_blocks(symbols, start, length, mixer_inputs(symbols, slots, table, bits), np.arange(len(symbols)))
+    return np.bincount(row, logs, minlength=len(first) - 1)
+
+
+def score_words(data: np.ndarray, first: np.ndarray, begin: np.ndarray, kind: np.ndarray, topic: np.ndarray, table: np.ndarray,
+                bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
+    """Natural-log probability of each row of a byte stream. ``kind``: equal numbers for equal words.
+
+    No context reaches over the start of its word, so each distinct word of a topic is looked up once for
+    all blocks of ``GROUP`` symbols together.
+    """
+    symbols, place = symbol_stream(data)
+    first, begin = place[first], np.append(place[begin], place[-1])
+    row, start, length = _blocks(first)
+    key, logs = kind * (TOPICS + 1) + topic, np.empty(len(row))
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + GROUP)))
+        until = int(np.searchsorted(begin, start[b - 1] + length[b - 1]))
+        while begin[until] - start[b - 1] > GROUP:  # a very long word is looked up once, so its blocks go together
+            b = max(b + 1, int(np.searchsorted(start, begin[until])))
+            until = int(np.searchsorted(begin, start[b - 1] + length[b - 1]))
+        since = int(np.searchsorted(begin, start[a], side="right")) - 1
+        keys = key[since:until]
+        number = np.full(int(keys.max()) + 1, -1, np.int64)
+        number[keys[::-1]] = np.arange(len(keys) - 1, -1, -1)  # the first word of each key
+        one = number[keys]
+        ones = np.flatnonzero(one == np.arange(len(keys)))
+        size = np.diff(begin[since:until + 1])
+        place_of = np.zeros(len(keys), np.int64)
+        place_of[ones[1:]] = np.cumsum(size[ones])[:-1]
+        inner = np.arange(begin[since], begin[until]) - np.repeat(begin[since:until], size)
+        of = (np.repeat(place_of[one], size) + inner).astype(np.int32)
+        held = np.zeros(len(keys), bool)
+        held[ones] = True
+        some = symbols[begin[since]:begin[until]][np.repeat(held, size)]
+        slots = contexts(some, place_of[ones], topic[since:until][ones], bits)
+        logs[a:b] = _mix_blocks(symbols[begin[since]:begin[until]], start[a:b] - begin[since], length[a:b],
+                                mixer_inputs(some, slots, table, bits), of)
+        a = b
+    return np.bincount(row, logs, minlength=len(first) - 1)
+
+
+def _count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of a task with their counts; end marks are words, too."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> None:
+        hashes, of = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        held[:] = [(hashes, np.bincount(of, np.concatenate([n for _, n in held])).astype(np.int64))]
+
+    def rows() -> pa.RecordBatch:
+        hashes, counts = held.pop()
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "n"])
+
+    for batch in slices(batches, "text", GROUP):
+        hashes, of = _kinds(words(batch.column("text")).hash)
+        held.append((np.append(hashes, U(END_WORD)), np.append(np.bincount(of, minlength=len(hashes)), len(batch))))
+        if sum(len(h) for h, _ in held) > 600_000:
+            merge()
+            if len(held[0][0]) > 400_000:
+                yield rows()
+    if held:
+        merge()
+        yield rows()
+
+
 def _count_words(markers):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct words of a task by topic, with their counts; end marks are words, too."""
@@ -320,25 +419,29 @@ def _count_words(markers):
 
         def merge() -> None:
             keys, hashes, topic, counts = (np.concatenate([h[i] for h in held]) for i in range(4))
-            spelled = [s for h in held for s in h[4]]
             _, at, of = np.unique(keys, return_index=True, return_inverse=True)
-            held[:] = [(keys[at], hashes[at], topic[at], np.bincount(of, counts).astype(np.int64), [spelled[i] for i in at.tolist()])]
+            held[:] = [(keys[at], hashes[at], topic[at], np.bincount(of, counts).astype(np.int64),
+                        pa.concat_arrays([h[4] for h in held]).take(pa.array(at)))]
 
         def rows() -> pa.RecordBatch:
             _, hashes, topic, counts, spelled = held.pop()
             return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(topic.astype(np.int32)),
-                                               pa.array(spelled, pa.binary()), pa.array(counts)], ["h", "k", "word", "n"])
+                                               spelled, pa.array(counts)], ["h", "k", "word", "n"])
 
-        for batch in slices(batches, "text", CHUNK):
+        for batch in slices(batches, "text", GROUP):
             w = words(batch.column("text"))
-            topic = topics(w, markers)
-            hashes = np.insert(w.hash, w.first[1:], U(END_WORD))
-            keys = mix(hashes + topic.astype(U), 70)
-            keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            hashes, topic = hashes[at], topic[at]
-            data, first, begin = byte_stream(w)
-            raw, ends = data.tobytes(), np.append(begin[1:], len(data))  # blanks included
-            held.append((keys, hashes, topic, counts, [raw[a:b] for a, b in zip(begin[at].tolist(), ends[at].tolist())]))
+            kinds, of = _kinds(w.hash)
+            topic = topics(w, markers, kinds, of)
+            kind = np.insert(of.astype(np.int64), w.first[1:], len(kinds)) * (TOPICS + 1) + topic
+            counts, at = np.bincount(kind), np.zeros((len(kinds) + 1) * (TOPICS + 1), np.int64)
+            at[kind] = np.arange(len(kind))
+            there = np.flatnonzero(counts)
+            counts, at = counts[there], at[there]
+            hashes, topic = np.append(kinds, U(END_WORD))[there // (TOPICS + 1)], topic[at]
+            data, _, begin = byte_stream(w)
+            spelled = pa.Array.from_buffers(pa.large_binary(), len(begin), [
+                None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)])  # blanks included
+            held.append((mix(hashes + topic.astype(U), 70), hashes, topic, counts, spelled.take(pa.array(at)).cast(pa.binary())))
             if sum(len(h[0]) for h in held) > 600_000:
                 merge()
                 if len(held[0][0]) > 400_000:
@@ -397,10 +500,10 @@ def _score(frequent, odds, markers, bits: tuple[int, ...]):
         counts = np.frombuffer(frequent.value[1], np.int64)
         table = np.frombuffer(odds.value, np.int16)
         logs = np.log10(counts + 1.0)
-        for batch in slices(batches, "text", CHUNK):
+        for batch in slices(batches, "text", GROUP):
             w = words(batch.column("text"))
             rows = len(batch)
-            kinds, of = np.unique(w.hash, return_inverse=True)
+            kinds, of = _kinds(w.hash)
             at = np.searchsorted(known, kinds)
             at[at == len(known)] = 0
             there = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
@@ -411,8 +514,8 @@ def _score(frequent, odds, markers, bits: tuple[int, ...]):
             rest = w.hash[~there[of]].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[~there[of]], minlength=rows))]).astype(np.int32)
             data, first, begin = byte_stream(w)
-            symbols, place = symbol_stream(data)
-            score = mix_scores(symbols, place[first], contexts(symbols, place[begin], topics(w, markers), bits), table, bits) / math.log(10)
+            kind = np.insert(of.astype(np.int64), w.first[1:], len(kinds))  # end marks are words, too
+            score = score_words(data, first, begin, kind, topics(w, markers, kinds, of), table, bits) / math.log(10)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("doc"), pa.array(np.diff(w.first) + 1), pa.array(n_known),
                  pa.array(base), pa.array(score), pa.array(np.diff(first)),
@@ -432,10 +535,9 @@ def language_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     given = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"), train.alias("train"))
     kind = given.schema["doc"].dataType.simpleString()
     learned = given.where("train").select(F.coalesce("text", F.lit("")).alias("text"))
-    schema, unmarked = "h long, k int, word binary, n long", (np.zeros(0, U), np.zeros(0, np.int64))
-    vocabulary = hold(learned.mapInArrow(_count_words(unmarked), schema).groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
+    vocabulary = hold(learned.mapInArrow(_count_kinds, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
     markers = find_markers(learned, vocabulary)
-    pairs = hold(learned.mapInArrow(_count_words(markers), schema).groupBy("h", "k").agg(
+    pairs = hold(learned.mapInArrow(_count_words(markers), "h long, k int, word binary, n long").groupBy("h", "k").agg(
         F.min("word").alias("word"), F.sum("n").alias("n")), "pairs")
     sizes = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     denominator = math.log10(sizes["n"] + sizes["v"] + 1)

@@ -68,3 +68,60 @@ def test_contexts_are_hashed_in_pieces(monkeypatch):
     assert (mixing.contexts(symbols, starts, topic) == whole).all() and max(longest) < 8_000
     none = np.zeros(0, np.int64)
     assert mixing.contexts(symbols[:0], none, none).shape == (4, 0)
+
+
+def test_scores_look_each_distinct_word_up_once(monkeypatch):
+    """Scores are those of looking up every symbol; repeated words are hashed and looked up once a group."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from spanveil.llm import mixing
+
+    rng = np.random.default_rng(4)
+    kinds = [f"w{i}ö" * (1 + i % 3) for i in range(40)] + ["日本", "x" * 9_000]
+    texts = ["", None, " ", "x" * 5_000] + [" ".join(rng.choice(kinds, 900, p=[0.0249] * 40 + [0.002] * 2)) for _ in range(12)]
+    given = mixing.words(pa.array(texts))
+    unique = np.unique(given.hash)
+    markers = unique[::2], np.arange(len(unique[::2])) % mixing.TOPICS
+    data, first, begin = mixing.byte_stream(given)
+    symbols, place = mixing.symbol_stream(data)
+    odds = rng.integers(-32768, 32767, mixing.OFFSETS[-1]).astype(np.int16)
+    slots = mixing.contexts(symbols, place[begin], mixing.topics(given, markers))
+    want = mixing.mix_scores(symbols, place[first], slots, odds) / np.log(10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["rid", "doc", "text"])
+    frequent = SimpleNamespace(value=(b"", b""))
+    hashed, real = [], mixing.contexts
+    monkeypatch.setattr(mixing, "contexts", lambda s, *rest: (hashed.append(len(s)), real(s, *rest))[1])
+    for group in (1 << 20, 3_000):
+        monkeypatch.setattr(mixing, "GROUP", group, raising=False)
+        got = [b.column("score").to_numpy() for b in mixing._score(frequent, SimpleNamespace(value=odds.tobytes()), markers, mixing.TABLE_BITS)([batch])]
+        assert np.allclose(np.concatenate(got), want, rtol=1e-6)
+        if group == 1 << 20:
+            assert sum(hashed) < len(symbols) / 3
+
+
+def test_words_are_counted_by_topic():
+    """Counts per word and topic over several batches are those of counting one by one."""
+    import pyarrow as pa
+
+    from spanveil.llm import mixing
+
+    rng = np.random.default_rng(5)
+    texts = ["", None, "One two", "b" * 70_000] + [" ".join(f"v{i}ß" for i in rng.integers(0, 50, 300)) for _ in range(30)]
+    given = mixing.words(pa.array(texts))
+    unique = np.unique(given.hash)
+    markers = unique[::3], np.arange(len(unique[::3])) % mixing.TOPICS
+    data, _, begin = mixing.byte_stream(given)
+    ends, raw, want = np.append(begin[1:], len(data)), data.tobytes(), {}
+    for a, b, k in zip(begin.tolist(), ends.tolist(), mixing.topics(given, markers).tolist()):
+        want[raw[a:b], k] = want.get((raw[a:b], k), 0) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    out = pa.Table.from_batches(list(mixing._count_words(markers)([batch.slice(0, 9), batch.slice(9)])))
+    rows = out.to_pylist()
+    assert {(r["word"], r["k"]): r["n"] for r in rows} == want and len(rows) == len(want)
+    alone = pa.Table.from_batches(list(mixing._count_kinds([batch.slice(0, 9), batch.slice(9)]))).to_pylist()
+    by_hash = {}
+    for r in rows:
+        by_hash[r["h"]] = by_hash.get(r["h"], 0) + r["n"]
+    assert {r["h"]: r["n"] for r in alone} == by_hash and len(alone) == len(by_hash)
