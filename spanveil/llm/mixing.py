@@ -48,7 +48,8 @@ PRIOR = (60.0, 100.0, 80.0, 0.0)  # counts at which a context is trusted by half
 TOPICS, MARKERS = 8, 512
 BLOCK, FREQUENT, CHUNK = 1024, 1 << 20, 3 << 20
 PIECE = 1 << 17  # symbols whose contexts are hashed at once
-GROUP = 1 << 20  # symbols that are scored at once
+GROUP = 1 << 21  # symbols that are scored at once
+ALIKE = 10  # symbols at the start of words that are compared, in one integer
 LOOKED_UP = 1 << 14  # symbols whose slots are looked up at once, as many as fit in a cache
 PART_BITS, WORDS_PER_TABLE = 16, 1_000_000
 START, RATE, BIAS_RATE, SCALE, LIMIT = 1.05, 0.02, 0.02, 16.0, 14.0
@@ -349,6 +350,28 @@ def mix_scores(symbols: np.ndarray, first: np.ndarray, slots: np.ndarray, table:
     return np.bincount(row, logs, minlength=len(first) - 1)
 
 
+def _prefixes(symbols: np.ndarray, starts: np.ndarray, size: np.ndarray, topic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which symbols to look up, and for each symbol the number of its equal among them.
+
+    Words of a topic that begin alike, up to ``ALIKE`` symbols, have equal contexts there.
+    """
+    code = topic.astype(U) << U(6 * ALIKE)  # in six bits each: 0 past the end of a word
+    for j in range(ALIKE):
+        long = np.flatnonzero(size > j)
+        code[long] |= (symbols[starts[long] + j] + U(1)) << U(6 * (ALIKE - 1 - j))
+    order = np.argsort(code)
+    code, starts, size = code[order], starts[order], size[order]
+    there, equal = np.ones(len(symbols), bool), np.arange(len(symbols), dtype=np.int32)
+    for j in range(ALIKE):
+        part = code >> U(6 * (ALIKE - 1 - j))
+        new = np.append(True, part[1:] != part[:-1])
+        first = starts[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]
+        long = np.flatnonzero(~new & (size > j))
+        there[starts[long] + j] = False
+        equal[starts[long] + j] = first[long] + j
+    return there, (np.cumsum(there, dtype=np.int32) - np.int32(1))[equal]
+
+
 def score_words(data: np.ndarray, first: np.ndarray, begin: np.ndarray, kind: np.ndarray, topic: np.ndarray, table: np.ndarray,
                 bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
     """Natural-log probability of each row of a byte stream. ``kind``: equal numbers for equal words.
@@ -382,8 +405,9 @@ def score_words(data: np.ndarray, first: np.ndarray, begin: np.ndarray, kind: np
         held[ones] = True
         some = symbols[begin[since]:begin[until]][np.repeat(held, size)]
         slots = contexts(some, place_of[ones], topic[since:until][ones], bits)
+        there, at = _prefixes(some, place_of[ones], size[ones], topic[since:until][ones])
         logs[a:b] = _mix_blocks(symbols[begin[since]:begin[until]], start[a:b] - begin[since], length[a:b],
-                                mixer_inputs(some, slots, table, bits), of)
+                                mixer_inputs(some[there], slots[:, there], table, bits), at.take(of))
         a = b
     return np.bincount(row, logs, minlength=len(first) - 1)
 
