@@ -46,6 +46,7 @@ from spanveil.llm.words import Words, mix, slices, windows, words
 U = np.uint64
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 RADIUS = 0.2
+HASHED = 1 << 20  # bytes of text whose shingles are hashed at once
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -101,7 +102,7 @@ def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
         names = ["doc", "n", "cls", "sig", "part", "counts"]
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", HASHED):
             sets, kind = shingle_sets(words(batch.column("text")), k), batch.column("doc").type
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64),
@@ -130,7 +131,7 @@ def _add(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 def _prefixes(k: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = np.frombuffer(counts.value, "<u4"), set()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", HASHED):
             regions, classes, sizes, homes = [], [], [], []
             sets = shingle_sets(words(batch.column("text")), k)
             bounds = band_bounds(percent, max([1, *map(len, sets)]))
@@ -171,7 +172,7 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", HASHED):
             sets = shingle_sets(words(batch.column("text")), k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_of(s) for s in sets], pa.int64()),
@@ -248,7 +249,7 @@ def with_class(docs: DataFrame, into: str, text: str = "text", shingle: int = 4)
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", HASHED):
             classes = [class_of(s) if len(s) else None for s in shingle_sets(words(batch.column("text")), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(classes, pa.int64())], ["_row", "cls"])
 

@@ -125,3 +125,20 @@ def test_words_are_counted_by_topic():
     for r in rows:
         by_hash[r["h"]] = by_hash.get(r["h"], 0) + r["n"]
     assert {r["h"]: r["n"] for r in alone} == by_hash and len(alone) == len(by_hash)
+
+
+@pytest.mark.parametrize("step", ["_features", "_prefixes", "_sets"])
+def test_shingles_are_hashed_in_small_pieces(monkeypatch, step):
+    """However large a batch is, a task hashes the words of a megabyte of text (or of one row) at once."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from spanveil.llm import jaccard_join as J
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"w{i} " * 2_500 for i in range(300)])], ["doc", "text"])
+    seen, real = [], J.words
+    monkeypatch.setattr(J, "words", lambda column: (seen.append(sum(map(len, column.to_pylist()))), real(column))[1])
+    more = (85, SimpleNamespace(value=bytes(4 << J.SKETCH_BITS))) if step == "_prefixes" else ()
+    list(getattr(J, step)(4, *more)([batch]))
+    assert sum(seen) == sum(len(t) for t in batch.column("text").to_pylist()) > 2 << 20 and max(seen) <= 1 << 20
