@@ -8,24 +8,33 @@ obeys the triangle inequality. Linked are sets with d <= r (r = 1 - threshold).
    points are in one band or in neighbouring ones, so each point is replicated into the next band
    when it can reach it. Within a band, points that can be linked share a shingle among the first
    n - o + 1 of their n, o being the least overlap with any partner, in any order that is the same
-   for all. Rare shingles go first (a count sketch of fixed size, filled by all documents, orders
-   them). The points of a band that share such a shingle form a region.
-3. Each region gets pivots. The distances of all its points to its pivots are computed, which finds
-   all links with them, and pivots leave. A distance that a small signature (members counted per
-   hash bucket) shows to be over RADIUS + r is not computed: it matters to no rule below. Every
-   other point belongs to the Voronoi cell of its nearest pivot when that is within ``RADIUS``, else
-   to the rest of the region. By the triangle inequality a point linked with one of cell p is at
-   most 2r further from p than from its own pivot, and at most RADIUS + r away from p: points in
-   that window are replicated into the cell. Where windows would more than double a region it stays
-   in one piece.
-4. Cells and rests are the regions of the next round, with four times as many pivots at most. Links
-   found so far join points to components; a region in which all points are of one component has no
-   pair left to compare and is dropped. Pivots are taken from all but a region's largest component,
-   so it is done when the others are. Rounds go on until no region is left.
-5. Components of the links join the classes; each document takes its class's component.
-
-No pair of a region is made except with pivots, so a group of thousands of near copies costs one
-distance each. Texts are read again only for points that share a region with another.
+   for all, and j among the first n - o + j (``shared_least`` gives j by band). Rare shingles go first (a count sketch of fixed size, filled by all documents, orders
+   them). Only points that share so many of them go on: their texts are read again, and how many of
+   them hold a shingle is counted exactly. The points that share one of the first n - o + 1 in the
+   order of these counts form a region. Shingles of one point alone come first and are not kept.
+3. Each region gets pivots, first the point with the fewest shingles of its own: of near copies one
+   that is close to what they were copied from. The distances of all its points to its pivots are
+   computed, which finds all links with them, and pivots leave. A distance that a small signature
+   (members counted per hash bucket) shows to be over RADIUS + r is not computed: it matters to no
+   rule below. Every other point belongs to the Voronoi cell of its nearest pivot when that is
+   within ``RADIUS``, else to the rest of the region. By the triangle inequality a point linked with
+   one of cell p is at most 2r further from p than from its own pivot, and at most RADIUS + r away
+   from p: points in that window are replicated into the cell. Cells of one pivot are one.
+4. In the cell of p a point x is the set D = x ^ p' of what differs from the pivot (p' is p without
+   shingles that it alone has), and |x ^ y| is |Dx| + |Dy| - 2 |Dx & Dy|. So x and y are linked when w(x) + w(y) <= 2 (1 + t) |Dx & Dy|, where
+   w(x) = (1 + t) |Dx| - (1 - t) |x|. With m the point of least w, all points with w(x) <= -w(m) are
+   linked with m for sure, and no pair of them is made. A pair with another point shares differences:
+   at least (w(x) + w(y)) / (2 + 2t) of them, thus one early in both, rarest of the cell first.
+   Such pairs are compared by their differences.
+5. Rests are the regions of the next round, with four times as many pivots at most. Links found so
+   far join points to components; a region in which all points are of one component has no pair left
+   to compare and is dropped. Pivots are taken from all but a region's largest component, so it is
+   done when the others are. Rounds go on until no region is left.
+6. Components of the links join the classes; each document takes its class's component.
+
+Pairs are made with pivots, and of points that share enough of what differs from their pivot: near
+copies that were changed in different places make none. Texts are read again only for points that
+share a shingle among their first with another.
 
 Lower-casing is of A-Z only. A text with fewer words than a shingle is one shingle; a null or empty
 text is the empty set, linked with nothing, its own component. Repeated ids are classed row by row;
@@ -45,8 +54,9 @@ from spanveil.llm.words import Words, mix, slices, windows, words
 
 U = np.uint64
 SKETCH_BITS, SKETCH_PARTS = 20, 64
-RADIUS = 0.2
+RADIUS = 0.35
 HASHED = 1 << 20  # bytes of text whose shingles are hashed at once
+BROADCAST = 200_000  # ids at most that are sent to all tasks, so that no text is shuffled
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -98,6 +108,11 @@ def band_bounds(percent: int, most: int) -> np.ndarray:
     return np.array([*out, max(out[-1] + 1, -(-100 * out[-1] // percent))])
 
 
+def shared_least(size: int, percent: int) -> int:
+    """How many of their first n - o + that many shingles linked points of a band share, by its least size."""
+    return min(1 + size // 40, -(-percent * size // 100))
+
+
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
@@ -132,7 +147,7 @@ def _prefixes(k: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = np.frombuffer(counts.value, "<u4"), set()
         for batch in slices(batches, "text", HASHED):
-            regions, classes, sizes, homes = [], [], [], []
+            regions, classes, needs, homes = [], [], [], []
             sets = shingle_sets(words(batch.column("text")), k)
             bounds = band_bounds(percent, max([1, *map(len, sets)]))
             for s in sets:
@@ -149,15 +164,16 @@ def _prefixes(k: int, percent: int, counts):
                     if percent * partner > 100 * n:
                         continue
                     overlap = -(-percent * (n + partner) // (100 + percent))
-                    first = s[:n - overlap + 1]
+                    need = shared_least(int(bounds[max(at - 1, 0)]), percent)
+                    first = s[:n - overlap + need]
                     regions.append(mix(first, 100 + at))
                     classes.append(np.full(len(first), cls, np.int64))
-                    sizes.append(np.full(len(first), n, np.int32))
+                    needs.append(np.full(len(first), need, np.int32))
                     homes.append(np.full(len(first), at == band))
             if regions:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.concatenate(classes)),
-                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(homes))], ["g", "x", "n", "home"])
+                     pa.array(np.concatenate(needs)), pa.array(np.concatenate(homes))], ["g", "x", "need", "home"])
 
     return run
 
@@ -182,7 +198,7 @@ def _sets(k: int):
 
 
 def _open(regions: DataFrame, merged: DataFrame | None) -> DataFrame:
-    """Regions with pairs left to compare, each only once: (g, x, n, home, minor).
+    """Regions with pairs left to compare, each only once, with a column ``minor``.
 
     ``minor``: not of the largest component in the region.
     """
@@ -199,13 +215,16 @@ def _open(regions: DataFrame, merged: DataFrame | None) -> DataFrame:
     # regions of the same points, met under several shingles, go on once
     once = per.where("parts > 1 AND any_home").groupBy("rows", "print").agg(
         F.min(F.struct("g", "largest.label")).alias("one")).select(F.col("one.g").alias("g"), F.col("one.label").alias("most"))
-    return rows.join(once, "g").select("g", "x", "n", "home", (F.col("label") != F.col("most")).alias("minor"))
+    return rows.join(once, "g").select(*regions.columns, (F.col("label") != F.col("most")).alias("minor"))
 
 
 def _pivots(regions: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` points per region as pivots (g, p, pn), none of the largest component."""
+    """Up to ``most`` points per region as pivots (g, p, pn), none of the largest component.
+
+    Those with the fewest shingles of their own are the closest to what the others have in common.
+    """
     salt = F.pmod(F.xxhash64("x", F.lit(most)), F.lit(most))
-    return (regions.where("minor").groupBy("g", salt.alias("salt")).agg(F.min(F.struct("x", "n")).alias("m"))
+    return (regions.where("minor").groupBy("g", salt.alias("salt")).agg(F.min(F.struct("alone", "x", "n")).alias("m"))
             .select("g", F.col("m.x").alias("p"), F.col("m.n").alias("pn")))
 
 
@@ -265,48 +284,48 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
     whole = b"".join(r["counts"] for r in sorted(parts, key=lambda r: r["part"]))
     counts = spark.sparkContext.broadcast(whole or bytes(4 << SKETCH_BITS))
     rows = given.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        _prefixes(k, percent, counts), "g long, x long, n int, home boolean")
+        _prefixes(k, percent, counts), "g long, x long, need int, home boolean")
     group = Window.partitionBy("g")
     rows = rows.withColumns({"low": F.min("x").over(group), "high": F.max("x").over(group),
                              "any_home": F.max("home").over(group)}).where("low < high AND any_home")
-    regions = hold(rows.select("g", "x", "n", "home").distinct(), "rows")
+    points = rows.select("g", "x", "need", "home").distinct().groupBy("x", "home").agg(
+        F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select(F.col("x").alias("cls"))
+    sets = hold(_shared(_fetch(given, classes, points, k)), "sets")
+    regions = hold(_regions(sets, percent), "rows")
 
     reach, radius = 100 - percent, round(100 * RADIUS)  # r and the radius, in hundredths
     kept = 100 - radius - reach
-    sets, merged, pivots = None, None, 1
+    merged, pivots = None, 1
     while True:
         regions, last = hold(_open(regions, merged), "regions"), regions
         release(last)
         if regions.isEmpty():
             break
         chosen = hold(_pivots(regions, pivots), "pivots")
-        near = regions.join(chosen, "g").where("x <> p")
+        near = regions.drop("minor").join(chosen, "g").where("x <> p")
         pairs = near.where(f"100 * least(n, pn) >= {kept} * greatest(n, pn)").select(
             F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")).distinct()
         half = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias("s" + c), F.col("n").alias("n" + c))
         pairs = hold(pairs.join(half("u"), "u").join(half("v"), "v").mapInArrow(
             _bounds, "u long, v long, most long, nu int, nv int").where(
             f"100 * most >= {kept} * (nu + nv - most)").select("u", "v"), "pairs")
-        sets = _fetch(given, classes, pairs, sets, k)
-        known = pairs.join(sets.select(F.col("x").alias("u"), F.col("members").alias("su")), "u").join(
-            sets.select(F.col("x").alias("v"), F.col("members").alias("sv")), "v").select(
-            "u", "v", F.size(F.array_intersect("su", "sv")).alias("both"),
-            (F.size("su") + F.size("sv")).alias("sum"))
-        known = hold(known.select("u", "v", F.col("both").cast("long").alias("both"),
-                                  (F.col("sum") - F.col("both")).cast("long").alias("either")), "known")
-        new = known.where(f"100 * both >= {percent} * either").select(F.col("u").alias("x"), F.col("v").alias("p"))
-        links = new.select(F.col("x").alias("a"), F.col("p").alias("b"))
-        if merged is None or not new.isEmpty():
-            with scratch(spark):
-                joined = outlive(hold(components(links if merged is None else links.unionByName(_stars(merged))), "merged"))
-            release(merged)
-            merged = joined
-        near = near.join(known, (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v")), "left").select(
-            "g", "x", "n", "home", "p", F.coalesce(1 - F.col("both") / F.col("either"), F.lit(1.0)).alias("d"))
+        known = hold(_distances(pairs, sets), "known")
+        near = near.join(known.select("u", "v", "gap", "either"), (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v")), "left").select(
+            *regions.drop("minor").columns, "p", F.coalesce(F.col("gap") / F.col("either"), F.lit(1.0)).alias("d"))
         near = near.join(chosen.select("g", F.col("p").alias("x")), ["g", "x"], "left_anti")  # pivots leave
-        done = regions, chosen, pairs, known
-        regions = hold(_next(near, reach / 100, RADIUS), "rows")
-        release(*done)
+        placed = hold(_next(near, reach / 100, RADIUS), "rows")
+        cells = placed.where("p IS NOT NULL").groupBy("p", "x").agg(F.first("n").alias("n"), F.max("home").alias("home"))
+        cells = hold(cells.join(known, (F.least("x", "p") == F.col("u")) & (F.greatest("x", "p") == F.col("v"))).select(
+            "p", "x", "n", "home", (F.col("gap") - F.when(F.col("p") == F.col("u"), F.col("au")).otherwise(F.col("av"))).alias("gap"),
+            "diff"), "cells")
+        links = known.where(f"100 * gap <= {reach} * either").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
+            _cell_links(cells, percent))
+        with scratch(spark):
+            joined = outlive(hold(components(links if merged is None else links.unionByName(_stars(merged))), "merged"))
+        release(merged, regions, chosen, pairs, known, cells)
+        merged = joined
+        regions = hold(placed.where("p IS NULL").drop("p"), "rows")
+        release(placed)
         pivots = min(pivots * 4, 1 << 20)
     if merged is None:
         return spark.createDataFrame([], "x long, p long")
@@ -318,36 +337,96 @@ def _stars(merged: DataFrame) -> DataFrame:
     return merged.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def _fetch(given: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFrame | None, k: int) -> DataFrame:
-    """The sets (x, members) of all points of the pairs, those that are there already included."""
-    wanted = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select(F.col("x").alias("cls")), "cls", "left_anti")
-    wanted = hold(classes.join(wanted, "cls", "left_semi").select("cls", "doc"), "wanted")
-    new = join_checked(given, wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(
+def _fetch(given: DataFrame, classes: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """The sets (x, members) of some classes (cls)."""
+    wanted = hold(classes.join(points, "cls", "left_semi").select("cls", "doc"), "wanted")
+    return hold(join_checked(given, wanted.select("doc").distinct(), "doc", "left_semi", most=BROADCAST).mapInArrow(
         _sets(k), "x long, members array<bigint>").join(
-        wanted.select(F.col("cls").alias("x")), "x", "left_semi").dropDuplicates(["x"])
-    new = hold(new, "sets")
-    release(wanted)
-    return new if sets is None else sets.unionByName(new)
+        wanted.select(F.col("cls").alias("x")), "x", "left_semi").dropDuplicates(["x"]), "members")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(x, n, members): members that another of the sets has too, rarest first; n counts all members."""
+    one = sets.select("x", F.size("members").alias("n"), F.explode("members").alias("s"))
+    count = one.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    return one.join(count, "s").groupBy("x", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all")).select(
+        "x", "n", F.col("all.s").alias("members"))
+
+
+def _regions(sets: DataFrame, percent: int) -> DataFrame:
+    """Points by the shingles that a linked one must share one of: (g, x, n, alone, home)."""
+    partner = f"(n + ({percent} * n + 99) div 100)"  # sizes of a point and the smallest linked one, summed
+    first = f"n - ({percent} * {partner} + {99 + percent}) div {100 + percent} + 1 - alone"
+    return sets.withColumn("alone", F.col("n") - F.size("members")).withColumn("first", F.expr(first).cast("int")).where(
+        "first > 0").select(F.explode(F.expr("slice(members, 1, first)")).alias("g"), "x", "n", "alone", F.lit(True).alias("home"))
+
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with |u | v| as ``either``, |u ^ v| as ``gap``, and its shared members ``diff``.
+
+    ``au`` and ``av`` count the members that no other set has.
+    """
+    half = lambda c: sets.select(F.col("x").alias(c), F.col("n").alias("n" + c), F.col("members").alias("s" + c))
+    met = pairs.join(half("u"), "u").join(half("v"), "v").select(
+        "u", "v", (F.col("nu") + F.col("nv")).cast("long").alias("sum"),
+        (F.col("nu") - F.size("su")).alias("au"), (F.col("nv") - F.size("sv")).alias("av"),
+        F.concat(F.array_except("su", "sv"), F.array_except("sv", "su")).alias("diff"),
+        F.size(F.array_intersect("su", "sv")).cast("long").alias("both"))
+    return met.select("u", "v", (F.col("sum") - F.col("both")).alias("either"),
+                      (F.col("sum") - 2 * F.col("both")).alias("gap"), "au", "av", "diff")
+
+
+def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of cells (p, x, n, home, gap, diff), enough to connect all that their links connect.
+
+    ``gap`` counts the members that are not both the point's and the pivot's, without those that the pivot
+    alone has; ``diff`` are those of them that others have too.
+    """
+    more, less = 100 + percent, 100 - percent
+    cells = cells.withColumn("w", more * F.col("gap") - less * F.col("n"))
+    least = cells.groupBy("p").agg(F.min(F.struct("w", "x")).alias("m"), F.max("w").alias("high")).select(
+        "p", F.col("m.w").alias("wm"), F.col("m.x").alias("m"), "high")
+    cells = hold(cells.join(least, "p").withColumn("outer", F.col("w") + F.col("wm") > 0), "weighed")
+    sure = cells.where("NOT outer AND x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
+
+    # what a linked partner shares at least: an outer point's has w >= wm, and has so many members;
+    # a sure point's is an outer one
+    need = F.expr(f"""CASE WHEN outer THEN w + greatest(wm, w - {2 * less} * floor(100 * n / {percent}))
+                      ELSE w - wm + 1 END""")
+    each = cells.where("high + wm > 0").select(
+        "p", "x", "n", "home", "outer", "w", F.greatest(F.ceil(need / (2 * more)), F.lit(1)).alias("need"),
+        F.explode("diff").alias("e"))
+    seen = each.groupBy("p", "e").agg(F.count("*").alias("c")).where("c > 1")
+    first = each.join(seen, ["p", "e"]).groupBy("p", "x", "n", "home", "outer", "w", "need").agg(
+        F.sort_array(F.collect_list(F.struct("c", "e"))).alias("all"))
+    first = first.select("p", "x", "n", "home", "outer", "w", "need", F.size("all").alias("size"),
+                         F.posexplode("all.e").alias("i", "e")).withColumn(
+        "left", F.col("size") - F.col("i")).where("left >= need").select("p", "e", "x", "n", "home", "outer", "w", "left")
+    first = hold(first, "first")
+    other = first.select("p", "e", *[F.col(c).alias("o" + c) for c in ("x", "n", "home", "outer", "w", "left")])
+    pairs = hold(first.where("outer").join(other, ["p", "e"]).where(
+        f"""x <> ox AND (NOT oouter OR x < ox) AND (home OR ohome) AND w + ow <= {2 * more} * least(left, oleft)
+        AND 100 * least(n, on) >= {percent} * greatest(n, on)""").select("p", F.col("x").alias("a"), F.col("ox").alias("b")).distinct(), "pairs")
+    half = lambda c: cells.select("p", F.col("x").alias(c), F.col("w").alias("w" + c), F.col("diff").alias("d" + c))
+    found = pairs.join(half("a"), ["p", "a"]).join(half("b"), ["p", "b"]).where(
+        F.col("wa") + F.col("wb") <= 2 * more * F.size(F.array_intersect("da", "db"))).select("a", "b")
+    return sure.unionByName(found)
 
 
 def _next(near: DataFrame, r: float, radius: float, slack: float = 1e-9) -> DataFrame:
-    """Cells and rests of all regions (g, x, n, home), or whole regions where windows would blow them up."""
+    """Cells and rests of all regions: as regions, with the pivot ``p`` of a cell (null: a rest)."""
+    others = [c for c in near.columns if c not in ("g", "x", "p", "d", "home")]
     own = near.groupBy("g", "x").agg(
-        F.min(F.struct("d", "p")).alias("nearest"), F.first("n").alias("n"), F.first("home").alias("home"),
+        F.min(F.struct("d", "p")).alias("nearest"), F.first("home").alias("home"), *[F.first(c).alias(c) for c in others],
         F.sort_array(F.collect_list(F.when(F.col("d") <= radius + r + slack, F.struct("d", "p")))).alias("reached"))
     # where a point goes: its own cell (or the rest), then the cells whose windows hold it
     celled = F.col("nearest.d") <= radius
     home = F.struct(F.when(celled, F.xxhash64("g", "nearest.p")).otherwise(F.xxhash64("g", F.lit("rest"))).alias("g"),
-                    F.col("home").alias("home"))
+                    F.col("home").alias("home"), F.when(celled, F.col("nearest.p")).alias("p"))
     more = F.transform(
         F.filter("reached", lambda c: (~celled | (c["p"] != F.col("nearest.p")))
                  & (~celled | (c["d"] <= F.col("nearest.d") + 2 * r + slack))),
         # a point of the rest meets those of a cell only in the cell: it is as much at home there
-        lambda c: F.struct(F.xxhash64("g", c["p"]).alias("g"), (~celled & F.col("home")).alias("home")))
-    own = own.select("g", "x", "n", "home", F.concat(F.array(home), more).alias("places"))
-    whole = own.groupBy("g").agg((F.sum(F.size("places")) > 2 * F.count("*")).alias("whole"))
-    placed = own.join(whole, "g").select("x", "n", F.explode(F.when(
-        F.col("whole"), F.array(F.struct(F.col("g").alias("g"), F.col("home").alias("home")))).otherwise(F.col("places"))).alias("at"))
-    return placed.select("at.g", "x", "n", "at.home")
+        lambda c: F.struct(F.xxhash64("g", c["p"]).alias("g"), (~celled & F.col("home")).alias("home"), c["p"].alias("p")))
+    placed = own.select("x", *others, F.explode(F.concat(F.array(home), more)).alias("at"))
+    return placed.select("at.g", "x", *others, "at.home", "at.p")

@@ -171,6 +171,41 @@ def test_jaccard_across_bands(spark, monkeypatch):
         assert links and got == components_of(sets, links)
 
 
+def edited_copies(rng, many, n, edits, pool):
+    """Texts that are copies of one base, each with runs of words replaced by new ones or by shared ones."""
+    base, out = [f"b{i}" for i in range(n)], []
+    for d in range(many):
+        w = list(base)
+        for e in range(rng.choice(edits)):
+            at, kind = rng.randrange(n - 4), rng.randrange(pool) if pool and rng.random() < 0.5 else f"{d}u{e}"
+            w[at:at + 4] = [f"x{kind}y{i}" for i in range(4)]
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed,many,n,edits,pool", [(1, 120, 64, (1, 2, 3, 4), 12), (2, 120, 64, (2, 3), 3), (3, 90, 110, (1, 4, 6), 0)])
+def test_jaccard_of_edited_copies(spark, seed, many, n, edits, pool):
+    """Groups in which many pairs are just not linked, and every text, pivots too, may have words of its own."""
+    from spanveil.llm.jaccard_join import similar_components
+    values = edited_copies(random.Random(seed), many, n, edits, pool)
+    sets = {i: shingles(t, 1) for i, t in enumerate(values)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar_components(df, shingle=1).collect()}
+    assert links and got == components_of(sets, links)
+
+
+def test_jaccard_compares_few_pairs_of_copies_that_are_just_not_linked(spark, monkeypatch):
+    """Copies changed in different places have the same distance to each other: they are told apart without pairs."""
+    from spanveil.llm import jaccard_join as J
+    values = edited_copies(random.Random(4), 150, 200, (5,), 0)
+    made, real = [], J.hold
+    monkeypatch.setattr(J, "hold", lambda df, name: (held := real(df, name), made.append(held.count()) if name == "pairs" else None)[0])
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string").repartition(4)
+    got = [r.component_id for r in J.similar_components(df, shingle=1).collect()]
+    assert len(set(got)) > 100 and made and sum(made) < 10 * len(values)
+
+
 def test_metric_bounds():
     from spanveil.llm.jaccard_join import band_bounds, most_common, signature
     import numpy as np
