@@ -348,7 +348,7 @@ def _fetch(given: DataFrame, classes: DataFrame, points: DataFrame, k: int) -> D
 def _shared(sets: DataFrame) -> DataFrame:
     """(x, n, members): members that another of the sets has too, rarest first; n counts all members."""
     one = sets.select("x", F.size("members").alias("n"), F.explode("members").alias("s"))
-    count = one.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    count = hold(one.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "counts")  # its shuffle files go
     return one.join(count, "s").groupBy("x", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all")).select(
         "x", "n", F.col("all.s").alias("members"))
 
