@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanveil.llm.words import slices
 
-REMEMBERED, LONGEST_REMEMBERED, SLICE = 400_000, 64, 4 << 20
+#: Merging takes up to 200 bytes of memory per byte of new pre-tokens, so tasks take ``SLICE`` bytes of text at a time.
+REMEMBERED, LONGEST_REMEMBERED, SLICE = 400_000, 64, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,7 +147,7 @@ class Coder:
                     if at + 1 < len(bucket):
                         queue.put(rank, bucket[at + 1:] + buckets.pop(rank, []))
                     break
-        if len(pairs) > REMEMBERED * 4:
+        if len(pairs) > REMEMBERED:
             pairs.clear()
         left = np.array(token)
         left = left[left != -2]
@@ -161,11 +162,12 @@ class Coder:
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set(chain.from_iterable(cut)).difference(known))
-        here = dict(zip(new, self.merge([p.encode("utf-8") for p in new])))
-        known.update((p, ids) for p, ids in here.items() if len(p) <= LONGEST_REMEMBERED)
-        if len(known) < len(here) or any(len(p) > LONGEST_REMEMBERED for p in new):
-            known = known | here
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        known.update(zip(new, self.merge([p.encode("utf-8") for p in new])))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for p in new:
+            if len(p) > LONGEST_REMEMBERED:
+                del known[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -242,6 +242,28 @@ def test_bpe_equals_library(spark, docs, empty):
     assert encode(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_memory_of_a_task(docs, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import public_tokenizers as P
+    import pyarrow as pa
+    from spanveil.llm.tokenize import Coder, encode, read_ranks
+    path, tasks, rng = P.path("byte_bpe_multi_50k.tiktoken"), [], random.Random(4)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run) or self)
+    encode(docs, path, P.PATTERN)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(100)) for _ in range(1000)]
+    texts[500] = "ab" * 50 + " " + texts[500]  # also one that is not remembered
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["key", "text"])
+    tracemalloc.start()
+    got = [pa.compute.list_flatten(b.column("ids")) for b in tasks[0](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Coder(read_ranks(path), P.PATTERN).encode(texts)
+    assert pa.concat_arrays(got).to_pylist() == np.frombuffer(b"".join(want), "<i4").tolist()
+    assert peak < 120e6  # 1 MB of new words in one queue took more
+
+
 def test_rank_queue_order():
     from spanveil.llm.tokenize import RankQueue
     rng, queue, want = random.Random(2), RankQueue(50_000), defaultdict(list)
