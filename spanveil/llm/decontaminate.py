@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training documents.
 
-Each batch of documents is a shard. Its suffix array holds the word positions at which some test
+Each ``SLICE`` of a batch of documents is a shard. Its suffix array holds the word positions at which some test
 suffix can match (those whose first words also begin one), sorted by their words to the depth of a
 window. All suffixes of the test items are searched by bisection at once; the range of positions
 that share a whole window with the suffix are its verbatim matches, with their places. Matches that
@@ -27,6 +27,7 @@ from spanveil.llm.common import hold
 from spanveil.llm.words import NOT_ALPHANUMERIC, Words, mix, slices, whole_windows, words
 
 WINDOW, GRAM, BLOCK_CHARS = 13, 3, 16 << 20
+SLICE = 1 << 20  # bytes of text in a shard
 U = np.uint64
 
 
@@ -126,7 +127,7 @@ def expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _scan(tests: Suffixes, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             w = words(batch.column("text"), True, NOT_ALPHANUMERIC)
             window, position = tests.places(w)
             length = tests.depth[tests.one[window]]

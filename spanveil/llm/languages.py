@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanveil.llm.words import slices
 
 DIMENSIONS, SEED, SCALE, UNDETERMINED = 512, 20240229, 1 << 40, "und"
-CHUNK, BLOCK = 2 << 20, 128
+CHUNK, BLOCK = 1 << 19, 128
 
 
 class Encoder:

@@ -41,6 +41,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 6, 20, 24, 16
 HINTS = ("passw", "secret", "token", "api")
 SAMPLE, LONGEST, ALPHA, QUANTILE, MARGIN = 400, 1024, 0.05, 0.02, 0.15
+SLICE = 1 << 20  # bytes of text that are scanned at once
 
 
 def _class_table(*ranges: str) -> np.ndarray:
@@ -204,7 +205,7 @@ class Automaton:
 def labelled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[tuple[str, str]]:
     """Kind and string of at most ``sample`` distinct credentials per kind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE):
             found = {(f[0], f[3]) for spans, _ in scan(batch.column("text")) for f in spans}
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()),
                                               pa.array([f[1] for f in found], pa.string())], ["kind", "value"])
@@ -257,7 +258,7 @@ def find_secrets(docs: DataFrame, automata: dict[str, Automaton], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE):
             found = list(_spans(batch.column("text"), automata))
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b, _ in s] for s in found]
             told = [[v if math.isfinite(v := likelihood(t, automata)) else None for *_, t in s] if scores else [] for s in found]

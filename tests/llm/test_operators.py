@@ -264,6 +264,30 @@ def test_bpe_memory_of_a_task(docs, monkeypatch):
     assert peak < 120e6  # 1 MB of new words in one queue took more
 
 
+def test_memory_of_row_tasks(spark, docs, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from spanveil.llm.decontaminate import benchmark_matches
+    from spanveil.llm.languages import DIMENSIONS, predict
+    from spanveil.llm.secrets import find_secrets
+    tasks, rng, given = [], random.Random(5), type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: (tasks.append(run), given(self, run, schema))[1])
+    bench = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(30)))], "item_id string, text string")
+    benchmark_matches(docs, bench, spans=False)
+    find_secrets(docs, {})
+    predict(docs, {"x": np.ones(DIMENSIONS, np.float32)})
+    texts = [" ".join("".join(rng.choices("abcdefgh01", k=7)) for _ in range(500)) for _ in range(2000)]
+    for run, row in zip(tasks, ("key", "_row", "_row"), strict=True):  # 8 MB of text took 70 MB and more at once
+        batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], [row, "text"])
+        tracemalloc.start()
+        assert sum(len(b) for b in run(iter([batch]))) == 2000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50e6
+
+
 def test_rank_queue_order():
     from spanveil.llm.tokenize import RankQueue
     rng, queue, want = random.Random(2), RankQueue(50_000), defaultdict(list)
