@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 HERE = "spanveil-llm"
 #: Spark removes an execution's shuffle files when it ends; here each held plan runs once.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SMALL = 256 << 10  # bytes of a table that Spark may broadcast by itself in ``small_broadcasts``
 _scopes: list[list[str]] = []
 
 
@@ -92,6 +94,35 @@ def outlive(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Inside, joins broadcast sides of SMALL bytes at most: Spark builds what it broadcasts in the driver's memory.
+
+    A held table counts as its file, which may be a small part of its rows in memory.
+    """
+    parsed = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    base, own = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {n: spark.conf.get(n, None) for n in (base, own)}
+    used = {base: spark.conf.get(base), own: before[own] or "-1"}
+    more = [n for n, v in used.items() if not v.startswith("-") and int(parsed(v)) > SMALL]
+    for n in more:
+        spark.conf.set(n, str(SMALL))
+    try:
+        yield
+    finally:
+        for n in more:
+            spark.conf.unset(n) if before[n] is None else spark.conf.set(n, before[n])
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let go what plans that are gone have left.
+
+    Spark drops their broadcasts when the driver collects its garbage; the JVM gives back what its heap had grown by.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     while name in df.columns:

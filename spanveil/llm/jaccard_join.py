@@ -49,14 +49,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from spanveil.llm.common import components, hold, join_checked, outlive, release, scratch
+from spanveil.llm.common import collect_garbage, components, hold, outlive, release, scratch, small_broadcasts
 from spanveil.llm.words import Words, mix, slices, windows, words
 
 U = np.uint64
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 RADIUS = 0.35
 HASHED = 1 << 20  # bytes of text whose shingles are hashed at once
-BROADCAST = 200_000  # ids at most that are sent to all tasks, so that no text is shuffled
+PAGE_BITS, MOST_BITS = 15, 26  # bits in a page of the filter of ids (4 KB), and in all of it at most (8 MB)
+BITS_PER_ID, PROBES = 16, 3
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -186,6 +187,39 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           batch.column("nu"), batch.column("nv")], ["u", "v", "most", "nu", "nv"])
 
 
+def _probes(h: np.ndarray) -> list[np.ndarray]:
+    """The bits of hashes in their page; the page itself is in their highest bits."""
+    return [(h >> U(PAGE_BITS * i) & U((1 << PAGE_BITS) - 1)).astype(np.int64) for i in range(PROBES)]
+
+
+def _page(key: tuple[pa.Scalar, ...], ids: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << PAGE_BITS, bool)
+    for at in _probes(ids.column("h").to_numpy().view(U)):
+        bits[at] = True
+    return pa.table({"page": pa.array([key[0].as_py()], pa.int32()),
+                     "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _filter(hashes: DataFrame) -> bytes:
+    """A Bloom filter of 64-bit hashes (h), as big as their number asks for: MOST_BITS at most, more pass then.
+
+    Tasks fill its pages, and only these come to the driver.
+    """
+    bits = min(max(PAGE_BITS, (BITS_PER_ID * hashes.count()).bit_length()), MOST_BITS)
+    page = F.shiftrightunsigned("h", 64 - (bits - PAGE_BITS)).cast("int") if bits > PAGE_BITS else F.lit(0)
+    out = np.zeros((1 << bits - PAGE_BITS, 1 << PAGE_BITS - 3), np.uint8)
+    for r in hashes.withColumn("page", page).groupBy("page").applyInArrow(_page, "page int, bits binary").collect():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter; all that are do."""
+    extra = (len(bits) >> PAGE_BITS - 3).bit_length() - 1
+    page = (h >> U(64 - extra)).astype(np.int64) << PAGE_BITS if extra else np.zeros(len(h), np.int64)
+    return np.logical_and.reduce([bits[page + at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1 for at in _probes(h)])
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", HASHED):
@@ -197,6 +231,15 @@ def _sets(k: int):
     return run
 
 
+def _wanted(k: int, ids):
+    """``_sets`` of the texts whose hash of the id (h) passes the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(ids.value, np.uint8)
+        yield from _sets(k)(b.filter(pa.array(_passes(bits, b.column("h").to_numpy().view(U)))) for b in batches)
+
+    return run
+
+
 def _open(regions: DataFrame, merged: DataFrame | None) -> DataFrame:
     """Regions with pairs left to compare, each only once, with a column ``minor``.
 
@@ -236,7 +279,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     of one group_id are linked; both are null without words. (Where ids repeat, groups may share a
     component_id.)
     """
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), small_broadcasts(docs.sparkSession):
         return outlive(_classed(docs, key, text, shingle, percent))
 
 
@@ -326,6 +369,7 @@ def _links(spark: SparkSession, given: DataFrame, features: DataFrame, classes:
         merged = joined
         regions = hold(placed.where("p IS NULL").drop("p"), "rows")
         release(placed)
+        collect_garbage(spark)
         pivots = min(pivots * 4, 1 << 20)
     if merged is None:
         return spark.createDataFrame([], "x long, p long")
@@ -338,11 +382,18 @@ def _stars(merged: DataFrame) -> DataFrame:
 
 
 def _fetch(given: DataFrame, classes: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """The sets (x, members) of some classes (cls)."""
-    wanted = hold(classes.join(points, "cls", "left_semi").select("cls", "doc"), "wanted")
-    return hold(join_checked(given, wanted.select("doc").distinct(), "doc", "left_semi", most=BROADCAST).mapInArrow(
-        _sets(k), "x long, members array<bigint>").join(
+    """The sets (x, members) of some classes (cls).
+
+    Texts are not shuffled, and their ids not sent to the driver: a filter of the ids leaves few other texts,
+    which go with their classes.
+    """
+    wanted = hold(classes.join(points, "cls", "left_semi").select("cls", F.xxhash64("doc").alias("h")), "wanted")
+    ids = given.sparkSession.sparkContext.broadcast(_filter(wanted.select("h").distinct()))
+    texts = given.where("doc IS NOT NULL").select("text", F.xxhash64("doc").alias("h"))
+    out = hold(texts.mapInArrow(_wanted(k, ids), "x long, members array<bigint>").join(
         wanted.select(F.col("cls").alias("x")), "x", "left_semi").dropDuplicates(["x"]), "members")
+    ids.unpersist()
+    return out
 
 
 def _shared(sets: DataFrame) -> DataFrame:

@@ -124,6 +124,40 @@ def test_jaccard_components(spark, shingle, percent):
     assert len(links) > 100
 
 
+def test_jaccard_driver_holds_no_ids(spark, monkeypatch):
+    """No ids of texts are broadcast, texts are not shuffled for them, and no side over 256 KB is broadcast by Spark."""
+    from spanveil.llm import jaccard_join as J
+    plans, sizes, names, real = {}, set(), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), J.hold
+    monkeypatch.setattr(J, "hold", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}),
+                                                     sizes.add(tuple(spark.conf.get(n, None) for n in names)), real(df, name))[2])
+    same = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{same} end{i}") for i in range(8)] + [(9, "other words")], "doc_id bigint, text string")
+    before = [spark.conf.get(n, None) for n in names]
+    spark.conf.set(names[1], "1m")
+    try:
+        out = {r.doc_id: r.component_id for r in J.similar_components(df).collect()}
+        assert spark.conf.get(names[1]) == "1m"
+    finally:
+        spark.conf.unset(names[1])
+    assert [spark.conf.get(n, None) for n in names] == before and out == dict.fromkeys(range(8), 0) | {9: 9}
+    assert "strategy" not in plans["members"] and plans["members"].count("Join ") == 1
+    assert sizes == {(str(256 << 10),) * 2}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3_000, 300_000])
+def test_id_filter(spark, monkeypatch, n):
+    """All ids pass, few others, also where there are more ids than the filter was made for."""
+    import numpy as np
+    from spanveil.llm import jaccard_join as J
+    h = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h"))
+    numbers = lambda df: np.array([r.h for r in df.collect()], np.int64).view(np.uint64)
+    monkeypatch.setattr(J, "MOST_BITS", 21)
+    bits = np.frombuffer(J._filter(h(0, n)), np.uint8)
+    assert len(bits) == min(max(1 << 12, 1 << (16 * n).bit_length() - 3 if n else 0), 1 << 18)
+    assert J._passes(bits, numbers(h(0, n))).all()
+    assert J._passes(bits, numbers(h(n, n + 20_000))).mean() <= (0.02 if n <= 3_000 else 0.5)
+
+
 def test_jaccard_odd_rows(docs, empty):
     from spanveil.llm.jaccard_join import similar_components
     assert similar_components(empty).count() == 0
