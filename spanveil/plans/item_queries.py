@@ -20,7 +20,7 @@ from spanveil.plans.redaction import keep, new_folder
 from spanveil.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
-FILE_ENTRIES = 5_000  # entries of a written JSON object
+FILE_ENTRIES = 5_000  # entries of a written JSON object, or of a folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,8 @@ def saved_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_mapping(spark, folder, "json")
 
 
-def _object_files(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with the number of the file that they go to; files grow in number, not in size."""
+def numbered_files(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with the number of the file (or folder) that they go to; files grow in number, not in size."""
     files = 1 + rows.count() // FILE_ENTRIES
     return rows.withColumn("file", F.pmod(F.xxhash64(key), F.lit(files)))
 
@@ -56,7 +56,7 @@ def _object_files(rows: DataFrame, key: str) -> DataFrame:
 def legacy_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of JSON objects, original to replacement."""
     folder = new_folder(spark, "legacy")
-    _object_files(_mapping(spark, sf_dir), "original").groupBy("file").agg(F.to_json(F.map_from_entries(
+    numbered_files(_mapping(spark, sf_dir), "original").groupBy("file").agg(F.to_json(F.map_from_entries(
         F.collect_list(F.struct("original", "replacement")))).alias("value")).select("value", "file").repartition(
         "file").write.partitionBy("file").text(folder)
     return T.read_legacy_mapping(spark, folder).select("original", "replacement")
@@ -69,7 +69,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _notes(spark, sf_dir).selectExpr("*", "length(prefix) AS s", "length(prefix) + length(value) AS e").select(
         F.struct(F.col("note_id").cast("string").alias("id"), "text", F.when(F.col("kind").isNull(), F.array().cast(
             "array<struct<start:int,end:int,entity_type:string>>")).otherwise(F.array(entity)).alias("entities")).alias("d"), "note_id")
-    _object_files(docs, "note_id").groupBy("file").agg(F.to_json(F.struct(F.collect_list("d").alias("documents"))).alias(
+    numbered_files(docs, "note_id").groupBy("file").agg(F.to_json(F.struct(F.collect_list("d").alias("documents"))).alias(
         "value")).repartition("file").write.partitionBy("file").text(folder)
     return T.read_ground_truth(spark, f"{folder}/file=*").select(
         "id", "text", F.size("entities").cast("bigint").alias("entities"),

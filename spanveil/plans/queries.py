@@ -554,13 +554,17 @@ def _note_docx(runs: list[list[str]]) -> bytes:
 
 
 def _write_docx(folder: str):
-    """Write each note's document under its number: a task that runs again writes the same files."""
+    """Write each note's document under its number, in a folder of some: a task that runs again writes the same files."""
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
         system.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for r in batch.to_pylist():
-                with system.open_output_stream(f"{root}/{r['note_id']}.docx") as out:
+                if r["file"] not in made:
+                    system.create_dir(f"{root}/{r['file']}")
+                    made.add(r["file"])
+                with system.open_output_stream(f"{root}/{r['file']}/{r['note_id']}.docx") as out:
                     out.write(_note_docx(r["runs"]))
             yield pa.RecordBatch.from_arrays([batch.column("note_id")], ["note_id"])
     return run
@@ -572,7 +576,8 @@ def docx_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = _notes(spark, sf_dir).selectExpr("note_id", (
         "array(array(prefix, left(value, 2), substring(value, 3, 3), substring(value, 6) || suffix), "
         "array(prefix || value, suffix), array(prefix || value || suffix)) AS runs"))
-    written = whole.mapInArrow(_write_docx(folder), "note_id bigint")
+    # folders grow in number, not in size: the driver lists them one by one
+    written = item_queries.numbered_files(whole, "note_id").mapInArrow(_write_docx(folder), "note_id bigint")
     written.agg(F.count("*")).collect()
     runs = read_docx(spark, folder)
     paras = paragraph_runs(runs.withColumn("note_id", F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("bigint")), ["note_id"])

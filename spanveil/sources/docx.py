@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
@@ -125,7 +126,18 @@ _COLUMNS = pa.schema([("path", pa.string()), ("story", pa.string()), ("para_no",
 
 @dataclass
 class DocxFiles(InputPartition):
-    paths: list[str]
+    """The files of a task; compressed, since the driver holds those of all tasks."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, paths: list[str]) -> DocxFiles:
+        return cls(zlib.compress("\0".join(paths).encode("utf-8", "surrogateescape")))
+
+    @property
+    def paths(self) -> list[str]:
+        joined = zlib.decompress(self.packed).decode("utf-8", "surrogateescape")
+        return joined.split("\0") if joined else []
 
 
 class DocxSource(DataSource):
@@ -155,18 +167,25 @@ class DocxReader(DataSourceReader):
     def _files(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
 
-    def partitions(self) -> list[InputPartition]:
-        """Files of the folder, packed in order of their paths until a partition is full, by bytes or by number."""
+    def _listed(self) -> Iterator[fs.FileInfo]:
+        """The files, folder by folder: the listing of one folder is held at a time."""
         system, root = self._files()
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        parts, size = [], 0
-        for info in sorted((i for i in found if i.is_file and fnmatch.fnmatch(i.base_name, self.glob)), key=lambda i: i.path):
-            if not parts or size + info.size > self.most or len(parts[-1].paths) == MOST_FILES:
-                parts.append(DocxFiles([]))
-                size = 0
-            parts[-1].paths.append(info.path)
+        folders = [root]
+        while folders:
+            found = sorted(system.get_file_info(fs.FileSelector(folders.pop())), key=lambda i: i.path)
+            folders += [i.path for i in reversed(found) if i.type == fs.FileType.Directory]
+            yield from (i for i in found if i.is_file and fnmatch.fnmatch(i.base_name, self.glob))
+
+    def partitions(self) -> list[InputPartition]:
+        """Files of the folder, packed in order of their folders until a partition is full, by bytes or by number."""
+        parts, paths, size = [], [], 0
+        for info in self._listed():
+            if paths and (size + info.size > self.most or len(paths) == MOST_FILES):
+                parts.append(DocxFiles.of(paths))
+                paths, size = [], 0
+            paths.append(info.path)
             size += info.size
-        return parts or [DocxFiles([])]
+        return [*parts, DocxFiles.of(paths)]
 
     def read(self, partition: DocxFiles) -> Iterator[pa.RecordBatch]:
         system, rows, chars = self._files()[0], [], 0

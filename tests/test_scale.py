@@ -127,6 +127,47 @@ def test_words_are_counted_by_topic():
     assert {r["h"]: r["n"] for r in alone} == by_hash and len(alone) == len(by_hash)
 
 
+def test_word_files_are_listed_folder_by_folder(tmp_path, monkeypatch):
+    """The driver holds the listing of one folder at a time, and a few bytes a file."""
+    import pickle
+
+    from spanveil.sources import docx
+
+    want = []
+    for folder in ("", "a", "a/b", "c"):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        for i in range(500):
+            (tmp_path / folder / f"{i}\u00e9.docx").write_bytes(b"x" * (i % 3))
+            want.append(str(tmp_path / folder / f"{i}\u00e9.docx"))
+        (tmp_path / folder / "other.txt").write_bytes(b"")
+    seen, real = [], docx.fs.LocalFileSystem
+
+    class Files:
+        def get_file_info(self, selector):
+            out = real().get_file_info(selector)
+            seen.append(len(out))
+            return out
+
+    monkeypatch.setattr(docx.fs, "LocalFileSystem", Files)
+    parts = docx.DocxReader({"path": str(tmp_path)}).partitions()
+    assert sorted(p for part in parts for p in part.paths) == sorted(want) and len(seen) == 4 and max(seen) < 510
+    assert len(pickle.dumps(parts)) < 12 * len(want)
+    assert [p.paths for p in docx.DocxReader({"path": str(tmp_path), "glob": "*.none"}).partitions()] == [[]]
+
+
+def test_word_files_are_written_to_several_folders(spark, tmp_path, monkeypatch):
+    """The folder of docx_redaction grows in folders of few files each."""
+    from spanveil.plans import item_queries, queries
+
+    monkeypatch.setattr(item_queries, "FILE_ENTRIES", 20)
+    monkeypatch.setattr(queries, "_scratch", lambda spark: str(tmp_path / "files"))
+    spark.range(200).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    out = queries.docx_redaction(spark, str(tmp_path))
+    sizes = [len(list(f.iterdir())) for f in (tmp_path / "files").iterdir() if f.is_dir()]
+    assert sum(sizes) == 200 and max(sizes) < 60 and len(sizes) > 4
+    assert out.select("note_id").distinct().count() == 200 and out.where("story = 'body'").count() == 800
+
+
 @pytest.mark.parametrize("step", ["_features", "_prefixes", "_sets"])
 def test_shingles_are_hashed_in_small_pieces(monkeypatch, step):
     """However large a batch is, a task hashes the words of a megabyte of text (or of one row) at once."""
